@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelcast.functions.exprs import all_of, is_finite
@@ -26,7 +27,7 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve_centred(cov: pd.Series, rhs: pd.Series) -> pd.Series:
     """Minimum-norm solution of each row's centred normal equations (packed upper triangle)."""
     out = []
@@ -407,7 +408,7 @@ def nnls_gram(gram: np.ndarray, rhs: np.ndarray, tol: float = 1e-10) -> np.ndarr
     return w
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve_nnls(gram: pd.Series, rhs: pd.Series) -> pd.Series:
     out = []
     for packed, b in zip(gram, rhs, strict=True):
