@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from panelcast.functions.exprs import strict_sum
 from panelcast.schema import PERIOD, SERIES, STAGES
-from panelcast.sources.tables import checkpointed
+from panelcast.sources.tables import materialise
 
 TOTAL = "TOTAL"
 
@@ -86,7 +86,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     # the partition number has to be the same in both uses below: fix it on disk
-    chunked = checkpointed(
+    chunked = materialise(
         counts.repartitionByRange(*keys, "_v").withColumn("_chunk", F.spark_partition_id())
     )
     chunks = chunked.groupBy(*keys, "_chunk").agg(F.sum("_c").alias("_n"))

@@ -45,28 +45,63 @@ def _solve_centred(cov: pd.Series, rhs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _moments_by_window(rows: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """Centred products around the key's own mean, taken from a window over the key."""
+    means = {f"_m{i}": F.avg(c).over(Window.partitionBy(*keys)) for i, c in enumerate(cols)}
+    centred = rows.select(*keys, *cols, *[m.alias(n) for n, m in means.items()]).select(
+        *keys,
+        *[(F.col(c) - F.col(f"_m{i}")).alias(f"_c{i}") for i, c in enumerate(cols)],
+        *means,
+    )
+    n = F.count(F.lit(1))
+    return centred.groupBy(*keys).agg(
+        n.alias("n"),
+        *[F.first(m).alias(m) for m in means],
+        *[
+            (F.sum(F.col(f"_c{i}") * F.col(f"_c{j}")) / n).alias(f"_s{i}_{j}")
+            for i, j in _pairs(len(cols))
+        ],
+    )
+
+
+def _moments_map_side(rows: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """The same moments from ``covar_pop``: partial states merge stably on the map side."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)],
+        *[F.covar_pop(cols[i], cols[j]).alias(f"_s{i}_{j}") for i, j in _pairs(len(cols))],
+    )
+
+
 def fit_linear(
-    df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (SERIES,)
+    df: DataFrame,
+    y: str,
+    xs: Sequence[str],
+    keys: Sequence[str] = (SERIES,),
+    map_side: bool = False,
 ) -> DataFrame:
     """Ordinary least squares with intercept per key: (keys, n, intercept, coef, sse, r2).
 
-    Complete rows only.  Centred second moments come from ``covar_pop``, whose partial
-    states merge stably, so the map side sends p² numbers per key and task.  Collinear
-    regressors get the minimum-norm solution instead of an error.
+    Complete rows only.  For series keys, a group is at most the calendar and usually
+    partitioned by the lag windows already, so means come from a window and the products
+    are plain sums without a further exchange.  With *map_side*, and always without keys,
+    the moments are aggregated below the shuffle instead, which suits groups of any size.
+    Collinear regressors get the minimum-norm solution instead of an error.
     """
     xs, keys = list(xs), list(keys)
     p = len(xs)
     rows = df.filter(all_of([is_finite(c) for c in [y, *xs]]))
-    moments = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(y).alias("_my"),
-        F.array(*[F.avg(x) for x in xs]).alias("_mx"),
-        F.array(*[F.covar_pop(xs[i], xs[j]) for i, j in _pairs(p)]).alias("_cov"),
-        F.array(*[F.covar_pop(x, y) for x in xs]).alias("_rhs"),
-        F.var_pop(y).alias("_vy"),
+    collect = _moments_map_side if map_side or not keys else _moments_by_window
+    moments = collect(rows, [y, *xs], keys).filter(F.col("n") > 0)
+    moments = moments.select(
+        *keys,
+        "n",
+        F.col("_m0").alias("_my"),
+        F.array(*[F.col(f"_m{i}") for i in range(1, p + 1)]).alias("_mx"),
+        F.array(*[F.col(f"_s{i + 1}_{j + 1}") for i, j in _pairs(p)]).alias("_cov"),
+        F.array(*[F.col(f"_s0_{i}") for i in range(1, p + 1)]).alias("_rhs"),
+        F.col("_s0_0").alias("_vy"),
     )
-    if not keys:
-        moments = moments.filter(F.col("n") > 0)
     explained = F.aggregate(
         F.zip_with("coef", "_rhs", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
     )
@@ -214,10 +249,62 @@ def random_walk(
     )
 
 
-def _series_array(value: str) -> Column:
-    """A series' values in time order; one entry per period, so bounded by the calendar."""
-    packed = F.array_sort(F.collect_list(F.struct(PERIOD, F.col(value).alias("v"))))
-    return F.transform(packed, lambda s: s["v"])
+def _packed(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, _t dates, _y values) in time order; one entry per period, so bounded by the calendar."""
+    rows = F.sort_array(F.collect_list(F.struct(PERIOD, F.col(value).cast("double").alias("v"))))
+    return (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys)
+        .agg(rows.alias("_rows"))
+        .select(*keys, F.col(f"_rows.{PERIOD}").alias("_t"), F.col("_rows.v").alias("_y"))
+    )
+
+
+_CHUNK = 512  # series per numpy block, so that a block stays small for long calendars
+
+
+def _blocks(ys: pd.Series):
+    """Series of an Arrow batch as padded (rows × time) blocks with their lengths."""
+    for at in range(0, len(ys), _CHUNK):
+        part = ys.iloc[at : at + _CHUNK]
+        n = np.array([len(y) for y in part])
+        block = np.zeros((len(part), int(n.max(initial=1))))
+        for i, y in enumerate(part):
+            block[i, : n[i]] = y
+        yield block, n
+
+
+def _smooth_block(block: np.ndarray, n: np.ndarray, alpha: np.ndarray, optimal: bool) -> pd.DataFrame:
+    """Best α, final level and squared error of every row of one block.
+
+    The level is carried as a + b·l₀, which is linear in the opening level l₀; with a fixed
+    start the same recursion runs with l₀ known.
+    """
+    rows, periods = block.shape
+    al = alpha[None, :]
+    start = 0 if optimal else 1
+    a = np.zeros((rows, len(alpha))) if optimal else np.repeat(block[:, :1], len(alpha), axis=1)
+    b = np.ones_like(a)
+    uu, ub, bb = np.zeros_like(a), np.zeros_like(a), np.zeros_like(a)
+    for t in range(start, periods):
+        live = (n > t)[:, None]
+        u = np.where(live, block[:, t : t + 1] - a, 0.0)
+        uu += u * u
+        if optimal:
+            ub += u * b
+            bb += np.where(live, b * b, 0.0)
+            b = np.where(live, b * (1 - al), b)
+        a = a + al * u
+    if optimal:
+        opening = ub / bb
+        level, sse = a + b * opening, uu - ub * opening
+    else:
+        level, sse = a, uu
+    best = np.argmin(sse, axis=1)
+    row = np.arange(rows)
+    return pd.DataFrame(
+        {"alpha": alpha[best], "level": level[row, best], "sse": sse[row, best], "n": n.astype("int64")}
+    )
 
 
 def fit_smoothing(
@@ -229,82 +316,47 @@ def fit_smoothing(
 ) -> DataFrame:
     """Simple exponential smoothing over a grid of α: (keys, alpha, level, sse, n), best by SSE.
 
-    ``start="first"`` opens the level at the first value.  ``start="optimal"`` chooses the
-    opening level that minimises the squared one-step errors: they are linear in it, so
-    the fold carries the level as a + b·l₀ and solves for l₀ at the end.
+    ``start="first"`` opens the level at the first value; ``start="optimal"`` at the value
+    that minimises the squared one-step errors.  Ties go to the smaller α.  A smoothing
+    recursion has no built-in form: a fold over arrays runs interpreted, so whole Arrow
+    batches of series take each time step together in numpy.
     """
-    packed = df.groupBy(*keys).agg(_series_array(value).alias("_y"))
-    trials = packed.filter(F.size("_y") > 0).withColumn(
-        "alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))
-    )
-    alpha = F.col("alpha")
-    if start == "first":
-        zero = F.struct(F.col("_y")[0].alias("level"), F.lit(0.0).alias("sse"))
-        state = F.aggregate(
-            F.slice("_y", F.lit(2), F.size("_y")),
-            zero,
-            lambda s, y: F.struct(
-                (s["level"] + alpha * (y - s["level"])).alias("level"),
-                (s["sse"] + (y - s["level"]) * (y - s["level"])).alias("sse"),
-            ),
-        )
-        scored = trials.withColumn("_s", state).select(
-            *keys, "alpha", F.col("_s")["level"].alias("level"), F.col("_s")["sse"].alias("sse"),
-            F.size("_y").cast("long").alias("n"),
-        )
-    elif start == "optimal":
-        names = ("a", "b", "uu", "ub", "bb")
-        zero = F.struct(*[F.lit(1.0 if n == "b" else 0.0).alias(n) for n in names])
-        state = F.aggregate(
-            "_y",
-            zero,
-            lambda s, y: F.struct(
-                (s["a"] + alpha * (y - s["a"])).alias("a"),
-                (s["b"] * (1 - alpha)).alias("b"),
-                (s["uu"] + (y - s["a"]) * (y - s["a"])).alias("uu"),
-                (s["ub"] + (y - s["a"]) * s["b"]).alias("ub"),
-                (s["bb"] + s["b"] * s["b"]).alias("bb"),
-            ),
-        )
-        opening = F.try_divide(F.col("_s")["ub"], F.col("_s")["bb"])
-        scored = trials.withColumn("_s", state).select(
-            *keys,
-            "alpha",
-            (F.col("_s")["a"] + F.col("_s")["b"] * opening).alias("level"),
-            (F.col("_s")["uu"] - F.col("_s")["ub"] * opening).alias("sse"),
-            F.size("_y").cast("long").alias("n"),
-        )
-    else:
+    if start not in ("first", "optimal"):
         raise ValueError(f"unknown start: {start}")
-    best = F.min_by(F.struct("alpha", "level", "sse", "n"), F.struct("sse", "alpha")).alias("s")
-    return scored.groupBy(*keys).agg(best).select(*keys, "s.*")
+    grid = np.array(sorted(float(a) for a in alphas))
+
+    @F.pandas_udf("alpha double, level double, sse double, n long")
+    def best(ys: pd.Series) -> pd.DataFrame:
+        parts = [_smooth_block(b, n, grid, start == "optimal") for b, n in _blocks(ys)]
+        return pd.concat(parts, ignore_index=True)
+
+    return _packed(df, value, keys).select(*keys, best("_y").alias("s")).select(*keys, "s.*")
 
 
 def smoothing_fitted(
     df: DataFrame, value: str, model: DataFrame, keys: Sequence[str] = (SERIES,), name: str = "fitted"
 ) -> DataFrame:
     """One-step-ahead fitted values of a smoothing model that opened at the first value."""
-    packed = (
-        df.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(PERIOD, F.col(value).alias("v")))).alias("_y"))
-        .join(model.select(*keys, "alpha"), list(keys))
-    )
-    zero = F.struct(
-        F.col("_y")[0]["v"].alias("level"),
-        F.array().cast("array<struct<period:date,fitted:double>>").alias("out"),
-    )
-    state = F.aggregate(
-        F.slice("_y", F.lit(2), F.size("_y")),
-        zero,
-        lambda s, y: F.struct(
-            (s["level"] + F.col("alpha") * (y["v"] - s["level"])).alias("level"),
-            F.array_append(
-                s["out"], F.struct(y[PERIOD].alias("period"), s["level"].alias("fitted"))
-            ).alias("out"),
-        ),
-    )
-    return packed.select(*keys, F.inline(state["out"])).withColumnsRenamed(
-        {"period": PERIOD, "fitted": name}
+
+    @F.pandas_udf("array<double>")
+    def fitted(ys: pd.Series, alpha: pd.Series) -> pd.Series:
+        out, at = [], 0
+        for block, n in _blocks(ys):
+            al = alpha.iloc[at : at + len(n)].to_numpy(dtype=float)
+            levels = np.empty_like(block)
+            level = block[:, 0]
+            for t in range(block.shape[1]):
+                levels[:, t] = level
+                level = level + al * (block[:, t] - level)
+            out += [levels[i, 1 : n[i]] for i in range(len(n))]
+            at += len(n)
+        return pd.Series(out)
+
+    packed = _packed(df, value, keys).join(model.select(*keys, "alpha"), list(keys))
+    dates = F.slice("_t", F.lit(2), F.size("_t"))
+    pairs = packed.select(*keys, dates.alias("_t"), fitted("_y", "alpha").alias("_f"))
+    return pairs.select(*keys, F.inline(F.arrays_zip("_t", "_f"))).withColumnsRenamed(
+        {"_t": PERIOD, "_f": name}
     )
 
 
@@ -446,24 +498,35 @@ def fit_delay_weights(
     )
     used = F.least(F.lit(max_lag), F.greatest(F.lit(0), F.col("_n") - 2)) if shrink else F.lit(max_lag)
     fits = F.col("_i") > used
-    x = {
-        k: F.when(F.lit(k) <= used, F.coalesce(F.col(f"_x{k}"), F.lit(0.0))).otherwise(0.0)
-        for k in lags
-    }
-    y = F.col(downstream)
-    stats = lagged.groupBy(*keys).agg(
+    # 0 outside the fitted rows and lags, so that the products below are plain sums
+    design = lagged.select(
+        *keys,
+        upstream,
+        downstream,
+        *[
+            F.when(fits & (F.lit(k) <= used), F.coalesce(F.col(f"_x{k}"), F.lit(0.0)))
+            .otherwise(0.0)
+            .alias(f"_z{k}")
+            for k in lags
+        ],
+    )
+    stats = design.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(upstream).alias("_sx"),
         F.sum(downstream).alias("_sy"),
-        F.array(
-            *[
-                F.coalesce(F.sum(F.when(fits, x[i] * x[j])), F.lit(0.0))
-                for i, j in _pairs(max_lag + 1)
-            ]
-        ).alias("_gram"),
-        F.array(
-            *[F.coalesce(F.sum(F.when(fits, x[k] * y)), F.lit(0.0)) for k in lags]
-        ).alias("_rhs"),
+        *[
+            F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"_g{i}_{j}")
+            for i, j in _pairs(max_lag + 1)
+        ],
+        *[F.sum(F.col(f"_z{k}") * F.coalesce(F.col(downstream), F.lit(0.0))).alias(f"_r{k}") for k in lags],
+    )
+    stats = stats.select(
+        *keys,
+        "n",
+        "_sx",
+        "_sy",
+        F.array(*[F.col(f"_g{i}_{j}") for i, j in _pairs(max_lag + 1)]).alias("_gram"),
+        F.array(*[F.col(f"_r{k}") for k in lags]).alias("_rhs"),
     )
     enough = F.lit(True) if shrink else F.col("n") > max_lag + min_extra
     signal = enough & (F.col("_sx") != 0) & (F.col("_sy") != 0)

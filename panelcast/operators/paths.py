@@ -63,7 +63,7 @@ def bootstrap_paths(
     pool = (
         residuals.filter(F.col(residual).isNotNull())
         .groupBy(SERIES)
-        .agg(F.array_sort(F.collect_list(F.struct(PERIOD, F.col(residual).alias("r")))).alias("_p"))
+        .agg(F.sort_array(F.collect_list(F.struct(PERIOD, F.col(residual).alias("r")))).alias("_p"))
         .select(SERIES, F.transform("_p", lambda s: s["r"]).alias("_pool"))
     )
     fan = forecast.join(pool, SERIES).withColumn(

@@ -262,7 +262,7 @@ def lag_ratio_projection(
 
 
 def _steps(columns: Sequence[str]) -> Column:
-    return F.array_sort(F.collect_list(F.struct(PERIOD, *columns)))
+    return F.sort_array(F.collect_list(F.struct(PERIOD, *columns)))
 
 
 def stock_flow(

@@ -54,7 +54,7 @@ from panelcast.operators.windows import (
     trend,
     with_stock,
 )
-from panelcast.plans.catalog_tables import WALK_SQL, walk_forecast
+from panelcast.plans.catalog_tables import WALK_SQL, walk_forecast, walk_of
 from panelcast.plans.panels import (
     CUTOFF,
     EVENTS_SQL,
@@ -68,6 +68,7 @@ from panelcast.plans.panels import (
     parts_panel,
     table,
     weight_arrays,
+    written_panel,
 )
 from panelcast.plans.registry import query, r, rounded, rs
 from panelcast.schema import PERIOD, SERIES, STAGES
@@ -636,14 +637,14 @@ fc AS (SELECT 'walk' AS model, series, period, forecast FROM walk
   UNION ALL SELECT 'flat', w.series, period, x FROM walk w JOIN flat m ON m.series = w.series)"""
 
 
-def long_forecasts(spark, d):
-    """Three simple forecasters on the orders panel as (model, series, period, forecast)."""
-    train = orders_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
+def long_forecasts(panel):
+    """Three simple forecasters on a panel as (model, series, period, forecast)."""
+    train = panel.filter(F.col(PERIOD) <= F.lit(CUTOFF))
     mean4 = recent_level(train, ["arrivals"], 4).withColumnRenamed("arrivals", "level")
     overall = train.groupBy(SERIES).agg(F.avg("arrivals").alias("level"))
     return stack(
         {
-            "walk": walk_forecast(spark, d).select(SERIES, PERIOD, "forecast"),
+            "walk": walk_of(panel).select(SERIES, PERIOD, "forecast"),
             "mean4": flat_forecast(mean4, train, 13).drop("h"),
             "flat": flat_forecast(overall, train, 13).drop("h"),
         },
@@ -658,7 +659,7 @@ def long_forecasts(spark, d):
          "forecast")} FROM fc GROUP BY series, period""",
 )
 def _(spark, d):
-    return rounded(ensemble(long_forecasts(spark, d), _MIX, "mix", keys=(SERIES, PERIOD)))
+    return rounded(ensemble(long_forecasts(written_panel(spark, d)), _MIX, "mix", keys=(SERIES, PERIOD)))
 
 
 @query(
@@ -667,7 +668,7 @@ def _(spark, d):
       {r("sum(forecast) / count(*)", "forecast")} FROM fc GROUP BY series, period""",
 )
 def _(spark, d):
-    return rounded(ensemble(long_forecasts(spark, d), keys=(SERIES, PERIOD)))
+    return rounded(ensemble(long_forecasts(written_panel(spark, d)), keys=(SERIES, PERIOD)))
 
 
 @query(

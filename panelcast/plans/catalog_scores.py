@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.operators.calendar import expanding_folds
+from panelcast.operators.calendar import expanding_folds, recent
 from panelcast.operators.evaluate import (
     accuracy,
     backtest,
@@ -25,16 +25,16 @@ from panelcast.operators.paths import (
     summarise_paths,
     total_paths,
 )
-from panelcast.operators.windows import difference, recent_level, trend
+from panelcast.operators.windows import difference, ordered, recent_level, trend
 from panelcast.plans.catalog_models import _LONG_SQL, long_forecasts
-from panelcast.plans.catalog_tables import WALK_SQL, walk_forecast
+from panelcast.plans.catalog_tables import WALK_SQL, walk_of
 from panelcast.plans.panels import (
     CUTOFF,
     ORDERS_SQL,
     PATHS_SQL,
     event_paths,
-    orders_panel,
     table,
+    written_panel,
 )
 from panelcast.plans.registry import query, r, rounded, rs
 from panelcast.schema import PERIOD, SERIES
@@ -56,9 +56,10 @@ boot AS (SELECT series, sim, h, period, greatest(0, forecast + p[({_DRAW_SQL}) +
 
 
 def _boot(spark, d):
-    train = orders_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
+    panel = written_panel(spark, d)
+    train = panel.filter(F.col(PERIOD) <= F.lit(CUTOFF))
     residuals = train.select(SERIES, PERIOD, difference("arrivals").alias("residual"))
-    return bootstrap_paths(walk_forecast(spark, d), residuals, _N_SIMS, seed=42)
+    return bootstrap_paths(walk_of(panel), residuals, _N_SIMS, seed=42)
 
 
 @query(
@@ -82,11 +83,10 @@ def _(spark, d):
     SELECT series, sim, h, period, p[({_DRAW_SQL}) + 1] AS value FROM keyed""",
 )
 def _(spark, d):
-    from panelcast.operators.calendar import recent
-
-    train = orders_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
+    panel = written_panel(spark, d)
+    train = panel.filter(F.col(PERIOD) <= F.lit(CUTOFF))
     levels = recent(train, 12).select(SERIES, PERIOD, F.col("arrivals").alias("residual"))
-    return bootstrap_paths(walk_forecast(spark, d), levels, _N_SIMS, seed=7, mode="level")
+    return bootstrap_paths(walk_of(panel), levels, _N_SIMS, seed=7, mode="level")
 
 
 def _q(probs: dict[str, float], value: str = "value") -> str:
@@ -149,7 +149,7 @@ e AS (SELECT CAST(user_id % 5 AS VARCHAR) AS series, CAST(user_id % 50 AS INTEGE
   count(*) FILTER (WHERE event_type = 'view') / (count(*) + 1)::DOUBLE AS q,
   count(*) FILTER (WHERE event_type = 'purchase') / (count(*) + 1)::DOUBLE AS p
   FROM events GROUP BY 1, 2, 3),
-s AS (SELECT series, sum(n) / 1000 AS app_backlog, sum(n) / 2000 AS visa_stock FROM e GROUP BY series),
+s AS (SELECT series, sum(n) / 997 AS app_backlog, sum(n) / 1999 AS visa_stock FROM e GROUP BY series),
 o AS (SELECT *, row_number() OVER (PARTITION BY series, sim ORDER BY period) AS i FROM e),
 roll AS (
   SELECT o.series, sim, period, i, n, q * (app_backlog + n) AS out1,
@@ -174,7 +174,9 @@ def _(spark, d):
     arrive = _sim_rate(spark, d, "purchase", "arrival_rate").drop("n")
     inflow = issue.select(*keys, F.col("n").alias("applications"))
     state = issue.groupBy(SERIES).agg(
-        (F.sum("n") / 1000).alias("app_backlog"), (F.sum("n") / 2000).alias("visa_stock")
+        # odd divisors, so that no stock is a short decimal that could sit on a rounding tie
+        (F.sum("n") / 997).alias("app_backlog"),
+        (F.sum("n") / 1999).alias("visa_stock"),
     )
     return rounded(scenario_paths(inflow, issue.drop("n"), arrive, state), 9)
 
@@ -192,9 +194,12 @@ _METRICS = """count(*) AS n_forecasts, avg(abs_error) AS mae, sqrt(avg(sq_error)
   avg(error) AS bias, avg(ape) AS mape"""
 
 
-def _joined(spark, d):
-    actual = orders_panel(spark, d).select(SERIES, PERIOD, F.col("arrivals").alias("actual"))
-    return long_forecasts(spark, d).join(actual, [SERIES, PERIOD], "left")
+def _actuals(panel):
+    return panel.select(SERIES, PERIOD, F.col("arrivals").alias("actual"))
+
+
+def _joined(panel):
+    return long_forecasts(panel).join(_actuals(panel), [SERIES, PERIOD], "left")
 
 
 @query(
@@ -203,7 +208,7 @@ def _joined(spark, d):
     SELECT model, series, period, {rs("error", "abs_error", "sq_error", "ape")} FROM errors""",
 )
 def _(spark, d):
-    errors = with_errors(_joined(spark, d))
+    errors = with_errors(_joined(written_panel(spark, d)))
     return rounded(errors.drop("forecast", "actual"))
 
 
@@ -214,7 +219,7 @@ def _(spark, d):
     SELECT model, n_forecasts, {rs("mae", "rmse", "bias", "mape")} FROM m""",
 )
 def _(spark, d):
-    return rounded(metrics(with_errors(_joined(spark, d))))
+    return rounded(metrics(with_errors(_joined(written_panel(spark, d)))))
 
 
 @query(
@@ -226,7 +231,7 @@ def _(spark, d):
     SELECT model, n_forecasts, {rs("mae", "rmse", "bias", "mape")} FROM m""",
 )
 def _(spark, d):
-    totals = over_horizon(_joined(spark, d), ("model", SERIES))
+    totals = over_horizon(_joined(written_panel(spark, d)), ("model", SERIES))
     return rounded(metrics(with_errors(totals)))
 
 
@@ -242,9 +247,9 @@ def _(spark, d):
     FROM m JOIN sc ON sc.series = m.series""",
 )
 def _(spark, d):
-    train = orders_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
-    scale = mase_scale(train, "arrivals")
-    return rounded(accuracy(_joined(spark, d), scale, ("model", SERIES)))
+    panel = written_panel(spark, d)
+    scale = mase_scale(panel.filter(F.col(PERIOD) <= F.lit(CUTOFF)), "arrivals")
+    return rounded(accuracy(_joined(panel), scale, ("model", SERIES)))
 
 
 def _last_value(train, keys):
@@ -271,8 +276,6 @@ def _smoothing(train, keys):
 
 
 def _trend_line(train, keys):
-    from panelcast.operators.windows import ordered
-
     rows = train.withColumn("t", trend(ordered(keys)).cast("double"))
     model = fit_linear(rows, "arrivals", ["t"], keys)
     ends = rows.groupBy(*keys).agg(F.max(PERIOD).alias("_last"), F.max("t").alias("_t"))
@@ -312,7 +315,7 @@ def _trend_line(train, keys):
     SELECT model, fold, n_forecasts, {rs("mae", "rmse", "bias", "mape")} FROM m""",
 )
 def _(spark, d):
-    folds = expanding_folds(orders_panel(spark, d), 4, 13)
+    folds = expanding_folds(written_panel(spark, d), 4, 13)
     forecasters = {
         "walk": _last_value,
         "mean4": _mean_of_four,
@@ -335,8 +338,8 @@ FROM m"""
 
 @query("scoreboard_e6", f"WITH {ORDERS_SQL}, {_BOARD_SQL}")
 def _(spark, d):
-    actuals = orders_panel(spark, d).select(SERIES, PERIOD, F.col("arrivals").alias("actual"))
-    return rounded(scoreboard([long_forecasts(spark, d)], actuals, keys=(SERIES,)))
+    panel = written_panel(spark, d)
+    return rounded(scoreboard([long_forecasts(panel)], _actuals(panel), keys=(SERIES,)))
 
 
 @query(
@@ -347,10 +350,10 @@ def _(spark, d):
     ).replace("FROM fc\n  LEFT JOIN po", "FROM (SELECT * FROM fc WHERE period IN (SELECT period FROM walk WHERE h <= 8)) fc\n  LEFT JOIN po")}""",
 )
 def _(spark, d):
-    forecasts = long_forecasts(spark, d)
-    actuals = orders_panel(spark, d).select(SERIES, PERIOD, F.col("arrivals").alias("actual"))
+    panel = written_panel(spark, d)
+    forecasts = long_forecasts(panel)
     short = F.col(PERIOD) <= F.date_add(F.lit(CUTOFF), 56)
     cut = [forecasts.filter((F.col("model") != "flat") | short)]
-    return rounded(scoreboard(cut, actuals, common_horizon=True, keys=(SERIES,)))
+    return rounded(scoreboard(cut, _actuals(panel), common_horizon=True, keys=(SERIES,)))
 
 

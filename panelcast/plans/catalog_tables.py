@@ -58,9 +58,12 @@ walk AS (SELECT series, CAST(h AS INTEGER) AS h, last + CAST(h * 7 AS INTEGER) A
   FROM walk_state, range(1, 14) AS g(h))"""
 
 
+def walk_of(panel, h=13):
+    return random_walk(panel.filter(F.col(PERIOD) <= F.lit(CUTOFF)), "arrivals", h)
+
+
 def walk_forecast(spark, d, h=13):
-    train = orders_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
-    return random_walk(train, "arrivals", h)
+    return walk_of(orders_panel(spark, d), h)
 
 
 # --- joins --------------------------------------------------------------------------
@@ -307,7 +310,7 @@ def _(spark, d):
     "pivot_mean_of_duplicates_a6",
     "SELECT CAST(o_orderdate AS DATE) AS period, "
     + ", ".join(
-        r(f"avg(CASE WHEN o_orderstatus = '{s}' THEN o_totalprice END)", f"price_{n}", 4)
+        r(f"avg(CASE WHEN o_orderstatus = '{s}' THEN round(o_totalprice * 100) END)", f"price_{n}", 4)
         for s, n in (("F", "closed"), ("O", "open"), ("P", "pending"))
     )
     + " FROM orders GROUP BY 1",
@@ -316,7 +319,7 @@ def _(spark, d):
     daily = table(spark, d, "orders").select(
         F.to_date("o_orderdate").alias(PERIOD),
         F.col("o_orderstatus").alias(SERIES),
-        F.col("o_totalprice").alias("price"),
+        F.round(F.col("o_totalprice") * 100).alias("price"),
     )
     labels = {"F": "closed", "O": "open", "P": "pending"}
     return rounded(pivot_series(daily, labels, ["price"], fill=None, how=F.avg), 4)

@@ -5,7 +5,7 @@
 * events panel: series = user, daily; signup, view and purchase events.
 * parts panel: series = part, weekly; lines shipped, status F, return flag R.  Many short,
   sparse series: the stress shape.
-* path table: series = event type, sim = one of 50 user groups, daily sums.
+* path table: series = event type, sim = one of 50 user groups, daily sums in cents.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from panelcast.functions.weeks import day, monday
 from panelcast.schema import PERIOD, SERIES
 from panelcast.sources.panel import Fact, build_panel
+from panelcast.sources.tables import materialise
 
 CUTOFF = dt.date(2001, 1, 1)
 N_PATHS = 50
@@ -66,6 +67,16 @@ def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders panel written once, for queries that use it several times.
+
+    Each forecaster prunes and filters the panel in its own way, so the planner could not
+    share the fact scans and joins among them; the written panel is many orders smaller
+    than the facts.
+    """
+    return materialise(orders_panel(spark, sf_dir))
+
+
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return build_panel(
@@ -109,7 +120,8 @@ def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("user_id") % N_PATHS).cast("int").alias("sim"),
             day("ts").alias(PERIOD),
         )
-        .agg(F.sum("value").alias("value"))
+        # whole cents: exact sums, the same in any order of addition
+        .agg(F.sum(F.round(F.col("value") * 100)).alias("value"))
     )
 
 
@@ -133,7 +145,7 @@ def line_weights(spark: SparkSession, sf_dir: str, share: float = 0.9) -> DataFr
 
 def weight_arrays(weights: DataFrame) -> DataFrame:
     """(series, k, w) → (series, weights array by k); one entry per lag."""
-    packed = F.array_sort(F.collect_list(F.struct("k", "w")))
+    packed = F.sort_array(F.collect_list(F.struct("k", "w")))
     return weights.groupBy(SERIES).agg(
         F.transform(packed, lambda s: s["w"]).alias("weights")
     )
@@ -178,7 +190,7 @@ px AS (SELECT period, series, {_STAGES_SQL} FROM px_facts GROUP BY period, serie
 PATHS_SQL = f"""
 paths AS (
   SELECT event_type AS series, CAST(user_id % {N_PATHS} AS INTEGER) AS sim,
-         CAST(ts AS DATE) AS period, sum(value) AS value
+         CAST(ts AS DATE) AS period, sum(round(value * 100)) AS value
   FROM events GROUP BY 1, 2, 3)"""
 
 WEIGHTS_SQL = """
