@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelcast.operators.calendar import WEEK
 from panelcast.schema import PERIOD, SERIES
@@ -34,16 +33,18 @@ def join_all(tables: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
 def positional_join(
     forecast: DataFrame, calendar: DataFrame, left_ordinal: str = "step", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Date an undated vector: its n-th step takes the n-th distinct period.
+    """Date an undated vector: its n-th step takes the n-th distinct period (per key).
 
-    The shorter side decides how many rows come out.  Periods are made distinct first, so
-    the numbering window never holds more than the calendar.
+    The shorter side decides how many rows come out.  The distinct periods are collected
+    map-side into one sorted array, which is never longer than the calendar.
     """
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(PERIOD)
+    periods = F.sort_array(F.collect_set(PERIOD)).alias("_p")
     ordinals = (
-        calendar.select(*keys, PERIOD)
-        .distinct()
-        .withColumn(left_ordinal, F.row_number().over(order))
+        calendar.groupBy(*keys)
+        .agg(periods)
+        .select(*keys, F.posexplode("_p").alias("_i", PERIOD))
+        .withColumn(left_ordinal, F.col("_i") + 1)
+        .drop("_i")
     )
     return forecast.join(ordinals, [*keys, left_ordinal])
 

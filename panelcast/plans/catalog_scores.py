@@ -325,7 +325,8 @@ def _(spark, d):
     return rounded(backtest(folds, forecasters, "arrivals"))
 
 
-_BOARD_SQL = f"""{_LONG_SQL}, {_JOINED}, {_ERRORS.format(src="joined")},
+def _scores_sql(src: str) -> str:
+    return f"""{_JOINED.replace("FROM fc", f"FROM {src} fc")}, {_ERRORS.format(src="joined")},
 t AS (SELECT model, series, CASE WHEN count(*) = count(forecast) THEN sum(forecast) END AS forecast,
   CASE WHEN count(*) = count(actual) THEN sum(actual) END AS actual FROM joined GROUP BY 1, 2),
 {_ERRORS.replace("errors AS", "t_errors AS").format(src="t")},
@@ -336,7 +337,7 @@ SELECT scope, model, n_forecasts, {rs("mae", "rmse", "bias", "mape")},
 FROM m"""
 
 
-@query("scoreboard_e6", f"WITH {ORDERS_SQL}, {_BOARD_SQL}")
+@query("scoreboard_e6", f"WITH {ORDERS_SQL}, {_LONG_SQL}, {_scores_sql('fc')}")
 def _(spark, d):
     panel = written_panel(spark, d)
     return rounded(scoreboard([long_forecasts(panel)], _actuals(panel), keys=(SERIES,)))
@@ -344,10 +345,12 @@ def _(spark, d):
 
 @query(
     "scoreboard_common_horizon_e6",
-    f"""WITH {ORDERS_SQL}, {_BOARD_SQL.replace(
-        "JOIN flat m ON m.series = w.series)",
-        "JOIN flat m ON m.series = w.series WHERE w.h <= 8)"
-    ).replace("FROM fc\n  LEFT JOIN po", "FROM (SELECT * FROM fc WHERE period IN (SELECT period FROM walk WHERE h <= 8)) fc\n  LEFT JOIN po")}""",
+    f"""WITH {ORDERS_SQL}, {_LONG_SQL},
+    cut AS (SELECT * FROM fc WHERE model <> 'flat' OR period <= DATE '{CUTOFF}' + 56),
+    shared AS (SELECT series, period FROM cut GROUP BY 1, 2
+      HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM cut)),
+    kept AS (SELECT cut.* FROM cut SEMI JOIN shared USING (series, period)),
+    {_scores_sql("kept")}""",
 )
 def _(spark, d):
     panel = written_panel(spark, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.operators.aggregate import profile
-from panelcast.operators.windows import ordered, running_total
+from panelcast.operators.windows import running_total, trend
 from panelcast.plans.panels import (
     CUTOFF,
     EVENTS_SQL,
@@ -17,9 +17,10 @@ from panelcast.plans.panels import (
     orders_panel,
     parts_panel,
     table,
+    written_panel,
 )
 from panelcast.plans.registry import query, r, rounded
-from panelcast.schema import PANEL_SCHEMA, PERIOD
+from panelcast.schema import PANEL_SCHEMA, PERIOD, SERIES
 from panelcast.sources.adapters import ForecastShape, adapt_forecast, null_periods
 from panelcast.sources.panel import contract_violations
 from panelcast.sources.tables import read_csv, round_trip, shared_dir, write_table
@@ -48,54 +49,56 @@ def _(spark, d):
     return rounded(round_trip(event_paths(spark, d), partition_by=["series"]), 4)
 
 
-def _week_totals(spark, d, value="arrivals"):
-    after = orders_panel(spark, d).filter(F.col(PERIOD) > F.lit(CUTOFF))
-    return after.groupBy(PERIOD).agg(F.sum(value).alias("total"))
-
-
-_TOTALS = f"""{ORDERS_SQL},
-wk AS (SELECT period, sum(applications) AS applications, sum(visas_issued) AS visas_issued,
-              sum(arrivals) AS arrivals FROM po WHERE period > DATE '{CUTOFF}' GROUP BY period)"""
-
-
 @query(
     "forecast_adapters_s4",
-    f"""WITH {_TOTALS}
-    SELECT 'dated' AS model, period, visas_issued AS forecast FROM wk
-    UNION ALL SELECT 'running', period, arrivals FROM wk
-    UNION ALL SELECT 'undated', period, applications FROM wk
-    UNION ALL SELECT 'by_series', period, visas_issued FROM wk""",
+    f"""WITH {ORDERS_SQL}, late AS (SELECT * FROM po WHERE period > DATE '{CUTOFF}')
+    SELECT 'dated' AS model, series, period, visas_issued AS forecast FROM late
+    UNION ALL SELECT 'running', series, period, arrivals FROM late
+    UNION ALL SELECT 'undated', series, period, applications FROM late
+    UNION ALL SELECT 'summed', NULL, period, sum(visas_issued) FROM late GROUP BY period
+    UNION ALL SELECT 'summed_running', NULL, period, sum(arrivals) FROM late GROUP BY period""",
 )
 def _(spark, d):
-    dated = _week_totals(spark, d, "visas_issued").withColumnsRenamed(
-        {"period": "Week ending", "total": "Total.value"}
-    )
-    cumulative = _week_totals(spark, d).select(
-        F.col(PERIOD).alias("Week"),
-        running_total("total", ordered(keys=[F.lit("all")])).alias("Running"),
-    )
-    steps = _week_totals(spark, d, "applications").select(
-        F.row_number().over(ordered(keys=[F.lit("all")])).alias("step"), "total"
-    )
-    by_series = orders_panel(spark, d).filter(F.col(PERIOD) > F.lit(CUTOFF))
-    calendar = by_series.select(PERIOD)
-    return (
-        adapt_forecast(dated, ForecastShape("dated", "Total.value", period="Week ending"))
-        .unionByName(
-            adapt_forecast(
-                cumulative, ForecastShape("running", "Running", period="Week", cumulative=True)
-            )
-        )
-        .unionByName(
-            adapt_forecast(steps, ForecastShape("undated", "total", ordinal="step"), calendar)
-        )
-        .unionByName(
-            adapt_forecast(
-                by_series,
-                ForecastShape("by_series", "visas_issued", period=PERIOD, additive=True),
-            )
+    late = written_panel(spark, d).filter(F.col(PERIOD) > F.lit(CUTOFF))
+    dated = late.withColumnsRenamed({PERIOD: "Week ending", "visas_issued": "Issued.total"})
+    running = late.withColumn("so_far", running_total("arrivals"))
+    undated = late.select(SERIES, "applications", trend().alias("step"))
+    total = late.groupBy(PERIOD).agg(F.sum("arrivals").alias("n"))
+    # one vector without series: weekly totals, then their running total over the weeks
+    so_far = (
+        total.agg(F.sort_array(F.collect_list(F.struct(PERIOD, "n"))).alias("v"))
+        .select(F.posexplode("v").alias("i", "x"), "v")
+        .select(
+            F.col(f"x.{PERIOD}").alias("Week"),
+            F.aggregate(
+                F.slice("v", F.lit(1), F.col("i") + 1), F.lit(0.0), lambda s, x: s + x["n"]
+            ).alias("Running"),
         )
     )
+    parts = [
+        adapt_forecast(
+            dated, ForecastShape("dated", "Issued.total", period="Week ending", series=SERIES)
+        ),
+        adapt_forecast(
+            running,
+            ForecastShape("running", "so_far", period=PERIOD, series=SERIES, cumulative=True),
+        ),
+        adapt_forecast(
+            undated,
+            ForecastShape("undated", "applications", ordinal="step", series=SERIES),
+            late.select(SERIES, PERIOD),
+        ),
+        adapt_forecast(
+            late, ForecastShape("summed", "visas_issued", period=PERIOD, additive=True)
+        ),
+        adapt_forecast(
+            so_far, ForecastShape("summed_running", "Running", period="Week", cumulative=True)
+        ),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 @query(

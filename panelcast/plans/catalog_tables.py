@@ -36,6 +36,7 @@ from panelcast.plans.panels import (
     orders_panel,
     parts_panel,
     table,
+    written_panel,
 )
 from panelcast.plans.registry import query, r, rounded
 from panelcast.schema import PERIOD, SERIES, STAGES
@@ -165,12 +166,12 @@ def _(spark, d):
     return positional_join(undated, calendar)
 
 
-_QUIET = "quiet AS (SELECT period FROM po GROUP BY period HAVING sum(arrivals) < 40)"
+_QUIET = "quiet AS (SELECT period FROM po GROUP BY period HAVING sum(arrivals) < sum(visas_issued))"
 
 
 def _quiet(panel):
-    totals = panel.groupBy(PERIOD).agg(F.sum("arrivals").alias("t"))
-    return totals.filter(F.col("t") < 40)
+    totals = panel.groupBy(PERIOD).agg(F.sum("arrivals").alias("a"), F.sum("visas_issued").alias("v"))
+    return totals.filter(F.col("a") < F.col("v"))
 
 
 @query(
@@ -178,7 +179,7 @@ def _quiet(panel):
     f"WITH {ORDERS_SQL}, {_QUIET} SELECT {_COLS} FROM po WHERE period IN (SELECT period FROM quiet)",
 )
 def _(spark, d):
-    panel = orders_panel(spark, d)
+    panel = written_panel(spark, d)
     return in_periods(panel, _quiet(panel))
 
 
@@ -187,7 +188,7 @@ def _(spark, d):
     f"WITH {ORDERS_SQL}, {_QUIET} SELECT {_COLS} FROM po WHERE period NOT IN (SELECT period FROM quiet)",
 )
 def _(spark, d):
-    panel = orders_panel(spark, d)
+    panel = written_panel(spark, d)
     return not_in_periods(panel, _quiet(panel))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.joins import positional_join
 from panelcast.operators.windows import decumulate
-from panelcast.schema import PERIOD
+from panelcast.schema import PERIOD, SERIES
 
 
 @dataclass(frozen=True)
@@ -17,39 +17,68 @@ class ForecastShape:
     """How one model writes its forecasts.
 
     ``period`` names the date column; leave it out for an undated vector, whose
-    ``ordinal`` column then says which step a row is.  ``cumulative`` marks running
-    totals, ``additive`` a table with several rows per date that are to be summed.
-    ``bounds`` maps lo80/hi80/lo95/hi95 to columns.
+    ``ordinal`` column then says which step a row is.  ``series`` names the series column
+    of a forecast that has one.  ``cumulative`` marks running totals, ``additive`` a table
+    with several rows per date that are to be summed.  ``bounds`` maps
+    lo80/hi80/lo95/hi95 to columns.
     """
 
     model: str
     value: str
     period: str | None = None
     ordinal: str | None = None
+    series: str | None = None
     cumulative: bool = False
     additive: bool = False
     bounds: tuple[tuple[str, str], ...] = ()
 
 
+def _increments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Running totals → increments for a single vector, one entry per period of the horizon."""
+    packed = df.agg(F.sort_array(F.collect_list(F.struct(PERIOD, *columns))).alias("_v"))
+    steps = F.transform(
+        "_v",
+        lambda x, i: F.struct(
+            x[PERIOD].alias(PERIOD),
+            (
+                x["forecast"]
+                - F.when(i > 0, F.get("_v", i - 1)["forecast"]).otherwise(F.lit(0.0))
+            ).alias("forecast"),
+            *[x[c].alias(c) for c in columns if c != "forecast"],
+        ),
+    )
+    return packed.select(F.inline(steps))
+
+
 def adapt_forecast(
     df: DataFrame, shape: ForecastShape, calendar: DataFrame | None = None
 ) -> DataFrame:
-    """Normalise one forecast table. *calendar* (a period column) dates an undated vector."""
-    bounds = [F.col(f"`{src}`").cast("double").alias(dst) for dst, src in shape.bounds]
-    value = F.col(f"`{shape.value}`").cast("double").alias("forecast")
+    """Normalise one forecast table to (model, [series,] period, forecast, bounds).
+
+    *calendar* (period, and series where the shape has one) dates an undated vector.
+    """
+    keys = [SERIES] if shape.series else []
+    bound_names = [dst for dst, _ in shape.bounds]
+    cols = [F.col(f"`{shape.series}`").cast("string").alias(SERIES)] if shape.series else []
+    cols.append(F.col(f"`{shape.value}`").cast("double").alias("forecast"))
+    cols += [F.col(f"`{src}`").cast("double").alias(dst) for dst, src in shape.bounds]
     if shape.period is not None:
-        out = df.select(F.col(f"`{shape.period}`").cast("date").alias(PERIOD), value, *bounds)
+        out = df.select(F.col(f"`{shape.period}`").cast("date").alias(PERIOD), *cols)
     else:
         if shape.ordinal is None or calendar is None:
             raise ValueError("an undated forecast needs an ordinal column and a calendar")
-        undated = df.select(F.col(f"`{shape.ordinal}`").cast("int").alias("step"), value, *bounds)
-        out = positional_join(undated, calendar.select(PERIOD), left_ordinal="step").drop("step")
+        undated = df.select(F.col(f"`{shape.ordinal}`").cast("int").alias("step"), *cols)
+        out = positional_join(undated, calendar, "step", keys).drop("step")
     if shape.additive:
-        out = out.groupBy(PERIOD).agg(F.sum("forecast").alias("forecast"))
-    out = out.withColumn("model", F.lit(shape.model))
+        out = out.groupBy(*keys, PERIOD).agg(F.sum("forecast").alias("forecast"))
+        bound_names = []
     if shape.cumulative:
-        out = decumulate(out, "forecast", keys=("model",))
-    return out.select("model", PERIOD, "forecast", *[dst for dst, _ in shape.bounds])
+        out = (
+            decumulate(out, "forecast", keys)
+            if keys
+            else _increments(out, ["forecast", *bound_names])
+        )
+    return out.select(F.lit(shape.model).alias("model"), *keys, PERIOD, "forecast", *bound_names)
 
 
 def null_periods(df: DataFrame) -> DataFrame:
