@@ -22,7 +22,7 @@ HEADLINE = (
     "numeric_profile_s7",
     "text_blocks_joined_s8",
     "composition_share_p11",
-    "global_grid_nulls_g1",
+    "sparse_grid_summary_g1",
     "period_offset_self_join_j10",
     "quantiles_of_hot_groups_a4",
     "pivot_zero_fill_a5",
@@ -42,6 +42,7 @@ HEADLINE = (
     "scenario_paths_b5",
     "rolling_origin_backtest_e5",
     "scoreboard_e6",
+    "scoreboard_common_horizon_e6",
 )
 
 

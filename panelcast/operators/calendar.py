@@ -30,10 +30,18 @@ def _oldest_first(keys: Sequence[str], period: str = PERIOD):
 # --- grids ------------------------------------------------------------------
 
 
+def _range(df: DataFrame, since: dt.date | None, until: dt.date | None) -> tuple[Column, Column]:
+    """First and last period as columns: the given dates or scalar subqueries."""
+    low = F.lit(since) if since is not None else df.select(F.min(PERIOD)).scalar()
+    high = F.lit(until) if until is not None else df.select(F.max(PERIOD)).scalar()
+    return low, high
+
+
 def period_grid(
     df: DataFrame,
     step_days: int = WEEK,
     keys: Sequence[str] = (SERIES,),
+    since: dt.date | None = None,
     until: dt.date | None = None,
 ) -> DataFrame:
     """Every key combination × every period of the global range.
@@ -41,8 +49,7 @@ def period_grid(
     The range enters as two scalar subqueries, so no join is needed: each key row
     explodes its own sequence.
     """
-    low = df.select(F.min(PERIOD)).scalar()
-    high = F.lit(until) if until is not None else df.select(F.max(PERIOD)).scalar()
+    low, high = _range(df, since, until)
     return (
         df.select(*keys)
         .distinct()
@@ -88,20 +95,22 @@ def densify(
     step_days: int = WEEK,
     values: Sequence[str] = STAGES,
     fill: float | None = None,
+    since: dt.date | None = None,
     until: dt.date | None = None,
 ) -> DataFrame:
     """One row per series and period of the global range; absent cells are null or *fill*.
 
-    Expects one row per cell (see ``merge_cells``).  Each row explodes the gap up to the
+    Expects one row per cell (see ``merge_cells``).  Without *since* and *until* the range
+    is read from the data first, so pass a written panel rather than one that would
+    aggregate its facts twice.  Each row explodes the gap up to the
     next row, the first and last one reach to the ends of the range, which come in as
     scalar subqueries: one exchange by series, which every later per-series window
     reuses, and no grid join.
     """
-    low = df.select(F.min(PERIOD)).scalar()
-    high = F.lit(until) if until is not None else df.select(F.max(PERIOD)).scalar()
+    low, high = _range(df, since, until)
     w = _oldest_first((SERIES,))
     own = _on_grid(F.col(PERIOD), low, step_days)
-    start = F.when(F.lag(PERIOD).over(w).isNull(), low).otherwise(own)
+    start = F.when(F.lag(PERIOD).over(w).isNull(), F.least(low, own)).otherwise(own)
     end = F.coalesce(F.date_sub(F.lead(PERIOD).over(w), step_days), F.greatest(high, own))
     return _fill_between(df, start, end, step_days, values, fill)
 

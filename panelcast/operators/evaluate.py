@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from panelcast.functions.exprs import strict_sum
 from panelcast.operators.windows import difference, ordered
 from panelcast.schema import PERIOD, SERIES
+from panelcast.sources.tables import materialise
 
 
 def with_errors(df: DataFrame, forecast: str = "forecast", actual: str = "actual") -> DataFrame:
@@ -111,6 +112,7 @@ def scoreboard(
     parts = [f.select("model", *keys, PERIOD, "forecast") for f in forecasts]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if common_horizon:
+        stacked = materialise(stacked)  # used three times below
         models = stacked.select(F.count_distinct("model")).scalar()
         shared = (
             stacked.groupBy(*keys, PERIOD)

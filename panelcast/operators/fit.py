@@ -486,7 +486,8 @@ def fit_delay_weights(
     Lags come from one window, their products from one aggregate over the same
     partitioning, so there is no further exchange; only the (K+1)² system of each series
     reaches Python.  A series with at most K + *min_extra* rows, or without any signal,
-    gets zeros; with *shrink* the lags of a short series are cut to n − 2 instead.
+    gets zeros; with *shrink* the lags of a short series are cut to n − 2 instead, and one
+    or two rows give the plain ratio at lag 0.
     *cap* rescales weights that add to more than it.
     """
     lags = list(range(max_lag + 1))
@@ -531,8 +532,16 @@ def fit_delay_weights(
     enough = F.lit(True) if shrink else F.col("n") > max_lag + min_extra
     signal = enough & (F.col("_sx") != 0) & (F.col("_sy") != 0)
     zeros = F.array_repeat(F.lit(0.0), max_lag + 1)
+    weights = F.when(signal, F.col("weights")).otherwise(zeros)
+    if shrink:
+        # one or two rows: everything at lag 0, as the ratio of the sums
+        ratio_only = F.concat(
+            F.array(F.greatest(F.lit(0.0), F.try_divide("_sy", "_sx"))),
+            F.array_repeat(F.lit(0.0), max_lag),
+        )
+        weights = F.when((F.col("n") <= 2) & (F.col("_sx") > 0), ratio_only).otherwise(weights)
     solved = stats.withColumn("weights", _solve_nnls("_gram", "_rhs")).withColumn(
-        "weights", F.when(signal, F.col("weights")).otherwise(zeros)
+        "weights", weights
     )
     if cap is not None:
         total = F.aggregate("weights", F.lit(0.0), lambda s, v: s + v)

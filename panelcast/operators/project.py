@@ -49,6 +49,16 @@ def smooth_weights(weights: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataF
     return raw.withColumn("w", scaled).drop("_s")
 
 
+def cap_weights(
+    weights: DataFrame, cap: float = 0.999, keys: Sequence[str] = (SERIES,)
+) -> DataFrame:
+    """Scale weights down so that they add to at most *cap*."""
+    total = F.sum("w").over(whole(keys))
+    return weights.withColumn(
+        "w", F.when(total > cap, F.col("w") * cap / total).otherwise(F.col("w"))
+    )
+
+
 def hazards(weights: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame:
     """Chance of the event at age k given none before: w_k / (1 − Σ_{j<k} w_j), inside [0, 1]."""
     earlier = F.coalesce(
@@ -179,14 +189,16 @@ def convolve(
     max_lag: int,
     name: str,
     keys: Sequence[str] = (SERIES,),
+    weight_keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """ŷ_t = Σ_k w_k·x_{t−k} on a dense panel, lags before the start counted as 0.
 
-    *weights* holds one array per key.  Lags come from one window, so the panel is not
+    *weights* holds one array per key (or per *weight_keys*, a part of the keys).  Lags come from one window, so the panel is not
     multiplied by the number of lags.
     """
     w = ordered(keys)
-    joined = df.join(weights.select(*keys, F.col("weights").alias("_w")), list(keys))
+    on = list(weight_keys or keys)
+    joined = df.join(weights.select(*on, F.col("weights").alias("_w")), on)
     total = F.lit(0.0)
     for k in range(max_lag + 1):
         lagged = F.coalesce(F.lag(x, k).over(w) if k else F.col(x), F.lit(0.0))

@@ -58,6 +58,7 @@ from panelcast.plans.panels import (
     orders_panel,
     parts_panel,
     table,
+    written_panel,
 )
 from panelcast.plans.registry import query, r, rounded, rs
 from panelcast.schema import PANEL_SCHEMA, PERIOD, SERIES, STAGES
@@ -447,10 +448,30 @@ def _(spark, d):
 
 @query(
     "global_grid_nulls_g1",
-    f"WITH {PARTS_SQL}, {dense_sql('px', 'dense', 7, None)} SELECT {_COLS} FROM dense",
+    f"WITH {EVENTS_SQL}, {dense_sql('pe', 'dense', 1, None)} SELECT {_COLS} FROM dense",
 )
 def _(spark, d):
-    return densify(parts_panel(spark, d))
+    return densify(written_panel(spark, d, events_panel), DAY)
+
+
+@query(
+    "sparse_grid_summary_g1",
+    f"""WITH {PARTS_SQL}, {dense_sql('px', 'dense', 7, None)}
+    SELECT series, count(*) AS n_periods, count(applications) AS n_known, min(period) AS first,
+      max(period) AS last, sum(applications) AS applications FROM dense GROUP BY series""",
+)
+def _(spark, d):
+    return (
+        densify(written_panel(spark, d, parts_panel))
+        .groupBy(SERIES)
+        .agg(
+            F.count(F.lit(1)).alias("n_periods"),
+            F.count("applications").alias("n_known"),
+            F.min(PERIOD).alias("first"),
+            F.max(PERIOD).alias("last"),
+            F.sum("applications").alias("applications"),
+        )
+    )
 
 
 @query(

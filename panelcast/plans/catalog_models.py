@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.operators.calendar import densify, horizon
+from panelcast.operators.calendar import horizon
 from panelcast.operators.fit import (
     beta_moments,
     candidate_fits,
@@ -25,6 +25,7 @@ from panelcast.operators.fit import (
 from panelcast.operators.project import (
     apportion,
     bands,
+    cap_weights,
     cap_outflow,
     cascade,
     convolve,
@@ -61,6 +62,7 @@ from panelcast.plans.panels import (
     ORDERS_SQL,
     PARTS_SQL,
     WEIGHTS_SQL,
+    dense_parts,
     dense_sql,
     events_panel,
     line_weights,
@@ -143,7 +145,7 @@ def _(spark, d):
       regr_count(arrivals, x) AS n FROM l GROUP BY series""",
 )
 def _(spark, d):
-    dense = densify(parts_panel(spark, d), fill=0.0)
+    dense = dense_parts(spark, d)
     lagged = dense.withColumn("x", F.lag("applications").over(ordered()))
     return rounded(fit_line(lagged, "arrivals", "x"))
 
@@ -157,7 +159,7 @@ def _(spark, d):
       {r("sse", "sse", 5)} FROM fit""",
 )
 def _(spark, d):
-    dense = densify(parts_panel(spark, d), fill=0.0)
+    dense = dense_parts(spark, d)
     rows = dense.withColumns(
         {"x": F.lag("applications").over(ordered()), "t": trend().cast("double")}
     )
@@ -227,7 +229,7 @@ def _(spark, d):
 
 @query("smoothing_free_start_m5")
 def _(spark, d):
-    dense = densify(parts_panel(spark, d), fill=0.0)
+    dense = dense_parts(spark, d)
     return rounded(fit_smoothing(dense, "applications", _ALPHAS, start="optimal"))
 
 
@@ -247,7 +249,7 @@ def _(spark, d):
 @query("autoregression_long_m6")
 def _(spark, d):
     model, design, xs = fit_autoregression(
-        densify(parts_panel(spark, d), fill=0.0),
+        dense_parts(spark, d),
         "arrivals",
         {"visas_issued": [1, 2, 3, 4], "applications": [1, 2]},
         p=2,
@@ -297,13 +299,13 @@ def _(spark, d):
     FROM c, range(0, 2) AS t(k)""",
 )
 def _(spark, d):
-    dense = densify(parts_panel(spark, d), fill=0.0)
+    dense = dense_parts(spark, d)
     return rounded(weight_rows(fit_delay_weights(dense, "applications", "arrivals", 1)))
 
 
 @query("delay_weights_m8")
 def _(spark, d):
-    dense = densify(parts_panel(spark, d), fill=0.0)
+    dense = dense_parts(spark, d)
     fits = fit_delay_weights(dense, "visas_issued", "arrivals", 6)
     return rounded(weight_rows(fits))
 
@@ -349,6 +351,21 @@ def _(spark, d):
     return rounded(smooth_weights(line_weights(spark, d)))
 
 
+@query(
+    "smoothed_capped_weights_m10",
+    f"""WITH {WEIGHTS_SQL}, d AS (SELECT series, k, 2 * w AS w FROM weights),
+    s AS (SELECT series, k, w, CASE WHEN lag(w) {_K} IS NULL OR lead(w) {_K} IS NULL THEN w
+           ELSE (lag(w) {_K} + w + lead(w) {_K}) / 3 END AS v FROM d),
+    t AS (SELECT series, k, v * sum(w) OVER (PARTITION BY series) / sum(v) OVER (PARTITION BY series)
+      AS w FROM s)
+    SELECT series, CAST(k AS INTEGER) AS k,
+      {r("w * least(1, 0.999::DOUBLE / sum(w) OVER (PARTITION BY series))", "w")} FROM t""",
+)
+def _(spark, d):
+    doubled = line_weights(spark, d).withColumn("w", F.col("w") * 2)
+    return rounded(cap_weights(smooth_weights(doubled), 0.999))
+
+
 @query(
     "hazards_m11",
     f"""WITH {WEIGHTS_SQL} SELECT series, CAST(k AS INTEGER) AS k,
@@ -704,7 +721,7 @@ def _(spark, d):
       THEN sum(mu * mu) / sum((y - mu) * (y - mu) - mu) END''', "theta", 3)} FROM f GROUP BY series""",
 )
 def _(spark, d):
-    dense = densify(parts_panel(spark, d), fill=0.0)
+    dense = dense_parts(spark, d)
     fitted = dense.withColumn("mu", rolling("arrivals", 8))
     out = dispersion(fitted, "arrivals", "mu")
     return rounded(out, 3)

@@ -25,15 +25,19 @@ from panelcast.operators.paths import (
     summarise_paths,
     total_paths,
 )
-from panelcast.operators.windows import difference, ordered, recent_level, trend
+from panelcast.operators.windows import difference, ordered, recent_level, rolling, trend
+from panelcast.operators.project import convolve, extend
 from panelcast.plans.catalog_models import _LONG_SQL, long_forecasts
 from panelcast.plans.catalog_tables import WALK_SQL, walk_of
 from panelcast.plans.panels import (
     CUTOFF,
     ORDERS_SQL,
     PATHS_SQL,
+    WEIGHTS_SQL,
     event_paths,
+    line_weights,
     table,
+    weight_arrays,
     written_panel,
 )
 from panelcast.plans.registry import query, r, rounded, rs
@@ -285,16 +289,32 @@ def _trend_line(train, keys):
     return predict_linear(future, model, ["t"], keys, "forecast")
 
 
+def _convolution(weights):
+    def forecaster(train, keys):
+        w = ordered(keys)
+        rows = extend(
+            train.select(*keys, PERIOD, "applications"),
+            13,
+            {"applications": rolling("applications", 4, w=w)},
+            keys=keys,
+        )
+        out = convolve(rows, weights, "applications", 6, "forecast", keys, weight_keys=(SERIES,))
+        return out.filter(F.col("h") > 0)
+
+    return forecaster
+
+
 @query(
     "rolling_origin_backtest_e5",
-    f"""WITH RECURSIVE {ORDERS_SQL}, num AS (SELECT *, row_number() {_W} AS i,
+    f"""WITH RECURSIVE {ORDERS_SQL}, {WEIGHTS_SQL}, num AS (SELECT *, row_number() {_W} AS i,
       count(*) OVER (PARTITION BY series) AS n FROM po),
     folds AS (SELECT num.*, CAST(f AS INTEGER) AS fold, n - 8 + f - 1 AS te FROM num,
       range(1, 5) AS g(f) WHERE i <= n - 8 + f - 1 + 13),
     tr AS (SELECT *, te - i + 1 AS back FROM folds WHERE i <= te),
     te AS (SELECT series, fold, period, arrivals AS actual FROM folds WHERE i > te),
     lv AS (SELECT series, fold, max(period) AS last, arg_max(arrivals, i) AS walk,
-      avg(CASE WHEN back <= 4 THEN arrivals END) AS mean4, regr_slope(arrivals, i) AS b,
+      avg(CASE WHEN back <= 4 THEN arrivals END) AS mean4,
+      avg(CASE WHEN back <= 4 THEN applications END) AS apps4, regr_slope(arrivals, i) AS b,
       regr_intercept(arrivals, i) AS a, max(i) AS t FROM tr GROUP BY 1, 2),
     alphas AS (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS alpha),
     sm AS (SELECT series, fold, te, alpha, i, arrivals AS level, 0::DOUBLE AS sse FROM tr, alphas WHERE i = 1
@@ -303,12 +323,20 @@ def _trend_line(train, keys):
       FROM sm JOIN tr ON tr.series = sm.series AND tr.fold = sm.fold AND tr.i = sm.i + 1),
     best AS (SELECT series, fold, level FROM (SELECT *, row_number() OVER (PARTITION BY series, fold
       ORDER BY sse, alpha) AS k FROM sm WHERE i = te) WHERE k = 1),
+    wide_w AS (SELECT series, list(w ORDER BY k) AS w FROM weights GROUP BY series),
+    apps AS (SELECT series, fold, i, applications AS x FROM tr UNION ALL
+      SELECT lv.series, lv.fold, t + h, apps4 FROM lv, range(1, 14) AS g(h)),
+    conv AS (SELECT a.series, a.fold, a.i, sum(coalesce(wide_w.w[k + 1], 0) * b.x) AS y
+      FROM apps a JOIN wide_w ON wide_w.series = a.series, range(0, 7) AS g(k)
+      JOIN apps b ON b.series = a.series AND b.fold = a.fold AND b.i = a.i - k GROUP BY 1, 2, 3),
     fc AS (SELECT lv.*, CAST(h AS INTEGER) AS h, last + CAST(h * 7 AS INTEGER) AS period, level
       FROM lv JOIN best ON best.series = lv.series AND best.fold = lv.fold, range(1, 14) AS g(h)),
     long AS (SELECT 'walk' AS model, series, fold, period, walk AS forecast FROM fc
       UNION ALL SELECT 'mean4', series, fold, period, mean4 FROM fc
       UNION ALL SELECT 'smoothing', series, fold, period, level FROM fc
-      UNION ALL SELECT 'trend', series, fold, period, a + b * (t + h) FROM fc),
+      UNION ALL SELECT 'trend', series, fold, period, a + b * (t + h) FROM fc
+      UNION ALL SELECT 'convolution', fc.series, fc.fold, period, y FROM fc JOIN conv
+        ON conv.series = fc.series AND conv.fold = fc.fold AND conv.i = fc.t + fc.h),
     joined AS (SELECT long.*, actual FROM long JOIN te ON te.series = long.series
       AND te.fold = long.fold AND te.period = long.period), {_ERRORS.format(src="joined")},
     m AS (SELECT model, fold, {_METRICS} FROM errors GROUP BY model, fold)
@@ -321,6 +349,7 @@ def _(spark, d):
         "mean4": _mean_of_four,
         "smoothing": _smoothing,
         "trend": _trend_line,
+        "convolution": _convolution(weight_arrays(line_weights(spark, d))),
     }
     return rounded(backtest(folds, forecasters, "arrivals"))
 

@@ -35,6 +35,7 @@ from panelcast.plans.panels import (
     events_panel,
     orders_panel,
     parts_panel,
+    written_panel,
 )
 from panelcast.plans.registry import query, r, rounded
 from panelcast.schema import PERIOD, SERIES, STAGES
@@ -238,7 +239,7 @@ def _(spark, d):
     SELECT series, period, {r(f"coalesce(last_value(x IGNORE NULLS) {_W}, 0)", "arrivals")} FROM f""",
 )
 def _(spark, d):
-    dense = densify(events_panel(spark, d), 1, ["arrivals"])
+    dense = densify(written_panel(spark, d, events_panel), 1, ["arrivals"])
     filled = interpolate(dense, ["arrivals"]).withColumn("arrivals", forward_fill("arrivals"))
     return rounded(filled.na.fill(0.0, ["arrivals"]))
 

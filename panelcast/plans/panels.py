@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.weeks import day, monday
+from panelcast.operators.calendar import densify
 from panelcast.schema import PERIOD, SERIES
 from panelcast.sources.panel import Fact, build_panel
 from panelcast.sources.tables import materialise
@@ -67,16 +68,6 @@ def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def written_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders panel written once, for queries that use it several times.
-
-    Each forecaster prunes and filters the panel in its own way, so the planner could not
-    share the fact scans and joins among them; the written panel is many orders smaller
-    than the facts.
-    """
-    return materialise(orders_panel(spark, sf_dir))
-
-
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return build_panel(
@@ -112,6 +103,21 @@ def parts_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_panel(spark: SparkSession, sf_dir: str, build=orders_panel) -> DataFrame:
+    """A panel written once, for queries that use it several times.
+
+    Each use prunes and filters the panel in its own way, so the planner could not share
+    the fact scans and joins among them; the written panel is many orders smaller than
+    the facts.
+    """
+    return materialise(build(spark, sf_dir))
+
+
+def dense_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts panel with zeros in its empty weeks: the dense stress shape."""
+    return densify(written_panel(spark, sf_dir, parts_panel), fill=0.0)
+
+
 def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events")

@@ -289,6 +289,8 @@ def test_delay_weights_fall_back_to_zero(spark):
     assert len(shrunk[("short",)]["weights"]) == 21
     assert sum(shrunk[("short",)]["weights"]) == pytest.approx(0.6)
     assert shrunk[("short",)]["weights"][7:] == [0.0] * 14
+    two = df.filter((F.col(SERIES) == "short") & (F.col(PERIOD) < F.lit(week(2))))
+    assert fit_delay_weights(two, "x", "y", 3, shrink=True).first()["weights"] == [0.6, 0, 0, 0]
 
 
 def test_convolution_forms_agree(spark, weekly):
