@@ -70,14 +70,19 @@ def group_quantiles(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    chunks: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles for groups of any size.
 
     Equal values are merged map-side into counts, the distinct values are range
     partitioned, and a running count over the partitions of a group says which partition
     holds a wanted rank.  Only those partitions are sorted further, each on its own, so
-    no task ever holds a whole group and the result does not depend on skew.
+    no task ever holds a whole group and the result does not depend on skew.  *chunks* sets
+    the number of range partitions (default: the session's shuffle partitions).
     """
     keys = list(keys)
     counts = (
@@ -86,9 +91,9 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     # the partition number has to be the same in both uses below: fix it on disk
-    chunked = materialise(
-        counts.repartitionByRange(*keys, "_v").withColumn("_chunk", F.spark_partition_id())
-    )
+    by = [*keys, "_v"]
+    ranged = counts.repartitionByRange(chunks, *by) if chunks else counts.repartitionByRange(*by)
+    chunked = materialise(ranged.withColumn("_chunk", F.spark_partition_id()))
     chunks = chunked.groupBy(*keys, "_chunk").agg(F.sum("_c").alias("_n"))
     by_key = Window.partitionBy(*(keys or [F.lit(0)]))
     before = by_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.aggregate import group_quantiles
+from panelcast.operators.aggregate import exact_quantiles, group_quantiles
 from panelcast.operators.project import stock_flow
 from panelcast.schema import PERIOD, SERIES
 
@@ -52,13 +52,16 @@ def bootstrap_paths(
     seed: int = 1,
     mode: str = "add",
     residual: str = "residual",
+    blocks: int = 1,
 ) -> DataFrame:
     """Resample residuals around a point forecast: (series, sim, h, period, value ≥ 0).
 
     *mode* add: point + residual; multiply: point · exp(residual); level: the drawn value
     itself (use recent levels as *residuals*).  A series' residuals travel as one array
     (one entry per period, so bounded by the calendar) and each path row picks from it:
-    the big table, series × sims × steps, is made by explode and never shuffled.
+    the big table, series × sims × steps, is made by explode and never shuffled.  For few
+    series with very many paths, *blocks* > 1 spreads the paths of a series over that many
+    partitions before they are made.
     """
     pool = (
         residuals.filter(F.col(residual).isNotNull())
@@ -66,9 +69,14 @@ def bootstrap_paths(
         .agg(F.sort_array(F.collect_list(F.struct(PERIOD, F.col(residual).alias("r")))).alias("_p"))
         .select(SERIES, F.transform("_p", lambda s: s["r"]).alias("_pool"))
     )
-    fan = forecast.join(pool, SERIES).withColumn(
-        "sim", F.explode(F.sequence(F.lit(1), F.lit(n_sims)))
-    )
+    seeds = forecast.join(pool, SERIES)
+    first, last = F.lit(1), F.lit(n_sims)
+    if blocks > 1:
+        size = -(-n_sims // blocks)
+        starts = F.sequence(F.lit(1), F.lit(n_sims), F.lit(size))
+        seeds = seeds.withColumn("_from", F.explode(starts)).repartition(SERIES, "_from")
+        first, last = F.col("_from"), F.least(F.col("_from") + size - 1, last)
+    fan = seeds.withColumn("sim", F.explode(F.sequence(first, last)))
     index = draw(F.col(SERIES), F.col("sim"), F.col("h"), seed, F.size("_pool").cast("long"))
     drawn = F.get("_pool", index.cast("int"))
     value = {
@@ -84,10 +92,19 @@ def summarise_paths(
     probs: dict[str, float] | None = None,
     keys: Sequence[str] = (SERIES, PERIOD),
     value: str = "value",
+    bounded: bool = True,
 ) -> DataFrame:
-    """Mean and exact quantiles over the paths of each key (one value per path in a group)."""
-    return group_quantiles(
-        paths, keys, value, probs or OUTER, extra=[F.avg(value).alias("mean")]
+    """Mean and exact quantiles over the paths of each key.
+
+    With *bounded* a group (one value per path) is assumed to fit an aggregation buffer;
+    otherwise the quantiles come from ``exact_quantiles``, which takes any number of paths.
+    """
+    probs = probs or OUTER
+    mean = F.avg(value).alias("mean")
+    if bounded:
+        return group_quantiles(paths, keys, value, probs, extra=[mean])
+    return paths.groupBy(*keys).agg(mean).join(
+        exact_quantiles(paths, keys, value, probs), list(keys), "left"
     )
 
 

@@ -376,7 +376,7 @@ def _(spark, d):
 
 
 _APPORTION_SQL = """
-{name}_y AS (SELECT *, greatest(x, 0) * target / sum(greatest(x, 0)) OVER (PARTITION BY series) AS y FROM {src}),
+{name}_y AS (SELECT *, greatest(x, 0) * (target / sum(greatest(x, 0)) OVER (PARTITION BY series)) AS y FROM {src}),
 {name}_f AS (SELECT *, floor(y) AS base, row_number() OVER (PARTITION BY series
   ORDER BY y - floor(y) DESC, {by}) AS rank FROM {name}_y),
 {name} AS (SELECT *, CAST(CASE WHEN target <= 0 THEN 0 ELSE base + CASE WHEN rank <= target
@@ -404,18 +404,19 @@ def _(spark, d):
 
 @query(
     "apportionment_m13",
-    f"""WITH src AS (SELECT l_returnflag AS series, l_suppkey, sum(l_quantity) AS x, 1000003 AS target
-      FROM lineitem GROUP BY 1, 2), {_APPORTION_SQL.format(name="ap", src="src", by="l_suppkey")}
-    SELECT series, l_suppkey, units FROM ap""",
+    f"""WITH src AS (SELECT CAST(l_suppkey AS VARCHAR) AS series, l_linenumber, sum(l_quantity) AS x,
+      1009 AS target FROM lineitem GROUP BY 1, 2),
+    {_APPORTION_SQL.format(name="ap", src="src", by="l_linenumber")}
+    SELECT series, l_linenumber, units FROM ap""",
 )
 def _(spark, d):
     shares = (
         table(spark, d, "lineitem")
-        .groupBy(F.col("l_returnflag").alias(SERIES), "l_suppkey")
+        .groupBy(F.col("l_suppkey").cast("string").alias(SERIES), "l_linenumber")
         .agg(F.sum("l_quantity").alias("x"))
-        .withColumn("target", F.lit(1000003))
+        .withColumn("target", F.lit(1009))
     )
-    return apportion(shares, "x", "target", "l_suppkey").select(SERIES, "l_suppkey", "units")
+    return apportion(shares, "x", "target", "l_linenumber").select(SERIES, "l_linenumber", "units")
 
 
 # --- projection ------------------------------------------------------------------------

@@ -427,18 +427,22 @@ def _(spark, d):
 
 @query(
     "leaderboard_order_l4",
-    f"""WITH {PARTS_SQL}, m AS (SELECT series AS model, CAST(length(series) AS VARCHAR) AS scope,
-      avg(CASE WHEN arrivals > 0 THEN visas_issued / arrivals END) AS mae FROM px GROUP BY series)
-    SELECT model, scope, {r("mae")}, CAST(row_number() OVER (PARTITION BY scope
-      ORDER BY mae ASC NULLS LAST, model) AS INTEGER) AS rank FROM m""",
+    """WITH m AS (SELECT CAST(l_partkey AS VARCHAR) AS scope, l_returnflag || l_linestatus AS model,
+      avg(CASE WHEN l_returnflag <> 'A' THEN abs(l_quantity - 25) END) AS mae FROM lineitem GROUP BY 1, 2)
+    SELECT model, scope, """
+    + r("mae")
+    + """, CAST(row_number() OVER (PARTITION BY scope ORDER BY mae ASC NULLS LAST, model) AS INTEGER)
+      AS rank FROM m""",
 )
 def _(spark, d):
-    score = F.avg(F.when(F.col("arrivals") > 0, F.col("visas_issued") / F.col("arrivals")))
+    distance = F.when(F.col("l_returnflag") != "A", F.abs(F.col("l_quantity") - 25))
     scores = (
-        parts_panel(spark, d)
-        .groupBy(F.col(SERIES).alias("model"))
-        .agg(score.alias("mae"))
-        .withColumn("scope", F.length("model").cast("string"))
+        table(spark, d, "lineitem")
+        .groupBy(
+            F.col("l_partkey").cast("string").alias("scope"),
+            F.concat("l_returnflag", "l_linestatus").alias("model"),
+        )
+        .agg(F.avg(distance).alias("mae"))
     )
     return rounded(leaderboard(scores))
 
@@ -491,9 +495,9 @@ def _(spark, d):
 
 @query(
     "table_function_per_group_d2",
-    f"""WITH {PARTS_SQL}, x AS (SELECT *, row_number() {_W} AS i,
+    f"""WITH {EVENTS_SQL}, x AS (SELECT *, row_number() {_W} AS i,
         sum(applications) OVER (PARTITION BY series ORDER BY period) AS c,
-        sum(applications) OVER (PARTITION BY series) AS t FROM px)
+        sum(applications) OVER (PARTITION BY series) AS t FROM pe)
     SELECT series, count(*) AS n_rows, min(CASE WHEN c * 2 >= t THEN period END) AS half_date
     FROM x GROUP BY series""",
 )
@@ -512,7 +516,7 @@ def _(spark, d):
         )
 
     # one series' periods per call: bounded by the calendar
-    cells = parts_panel(spark, d).select(SERIES, PERIOD, "applications")
+    cells = events_panel(spark, d).select(SERIES, PERIOD, "applications")
     return cells.groupBy(SERIES).applyInPandas(
         half_point, "series string, n_rows long, half_date date"
     )

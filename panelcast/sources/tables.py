@@ -16,12 +16,10 @@ def shared_dir(spark: SparkSession) -> str:
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset,
     as in a bare test session, a temporary one is made and registered.
     """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="panelcast-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/panelcast/{uuid.uuid4().hex}"
 
 

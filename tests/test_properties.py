@@ -20,7 +20,7 @@ from panelcast.operators.fit import (
     smoothing_fitted,
 )
 from panelcast.operators.joins import lagged_long
-from panelcast.operators.paths import bootstrap_paths, draw
+from panelcast.operators.paths import FIVE, bootstrap_paths, draw, summarise_paths
 from panelcast.operators.project import (
     apportion,
     cap_outflow,
@@ -385,10 +385,26 @@ def test_bootstrap_is_stable_under_repartitioning(spark, weekly):
     ]
     assert len(runs[0]) == 3 * 25 * 4
     assert {k: r["value"] for k, r in runs[0].items()} == {k: r["value"] for k, r in runs[1].items()}
+    blocked = by_key(
+        bootstrap_paths(forecast, residuals, 25, seed=3, blocks=4), SERIES, "sim", "h"
+    )
+    assert {k: r["value"] for k, r in blocked.items()} == {k: r["value"] for k, r in runs[0].items()}
     other = by_key(bootstrap_paths(forecast, residuals, 25, seed=4), SERIES, "sim", "h")
     assert any(other[k]["value"] != runs[0][k]["value"] for k in other)
 
 
+def test_path_quantiles_agree_and_are_ordered(spark, weekly):
+    paths = weekly.withColumnsRenamed({"arrivals": "value", "series": "sim"}).withColumn(
+        SERIES, F.lit("s")
+    )
+    keys = (SERIES,)
+    one = summarise_paths(paths, FIVE, keys).first().asDict()
+    other = summarise_paths(paths, FIVE, keys, bounded=False).first().asDict()
+    assert one == pytest.approx(other)
+    got = [one[q] for q in FIVE]
+    assert got == sorted(got)
+
+
 def test_draws_are_spread_evenly(spark):
     df = spark.range(20000).select(
         draw(F.lit("x"), F.col("id") % 200, F.floor(F.col("id") / 200), 1, F.lit(20)).alias("i")
