@@ -104,55 +104,56 @@ def exact_quantiles(
         F.sum("_n").over(by_key).alias("_total"),
         "_n",
     )
-    # wanted ranks: the two neighbours of p · (n − 1), counted from 0
-    wanted = chunks.select(
-        *keys,
-        "_chunk",
-        "_before",
-        "_total",
-        "_n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("_name"), (F.lit(float(p))).alias("_p"))
-                    for name, p in probs.items()
-                ]
-            )
-        ),
+    # wanted ranks, counted from 0: the two neighbours of p · (n − 1)
+    entries = F.array(
+        *[F.struct(F.lit(n).alias("_name"), F.lit(float(p)).alias("_p")) for n, p in probs.items()]
     )
-    position = F.col("_p") * (F.col("_total") - 1)
-    low, high = F.floor(position), F.ceil(position)
-    wanted = wanted.filter(
-        (low < F.col("_before") + F.col("_n")) & (high >= F.col("_before"))
+    wanted = chunks.select("*", F.inline(entries)).withColumn(
+        "_at", F.col("_p") * (F.col("_total") - 1)
     )
-    hit = chunked.join(wanted.select(*keys, "_chunk", "_before").distinct(), [*keys, "_chunk"])
+    wanted = wanted.filter(
+        (F.floor("_at") < F.col("_before") + F.col("_n")) & (F.ceil("_at") >= F.col("_before"))
+    ).select(*keys, "_chunk", "_before", "_name", "_at")
+    # keep the big side free of array functions: number the rows of the wanted partitions
+    # once, then look every wanted rank up by a join with the few wanted rows
+    here = wanted.select(*keys, "_chunk", "_before").distinct()
     running = Window.partitionBy(*keys, "_chunk").orderBy("_v")
-    ranked = hit.withColumn("_upto", F.col("_before") + F.sum("_c").over(running))
-    at = ranked.join(wanted.drop("_before", "_n"), [*keys, "_chunk"])
-    first_rank = F.col("_upto") - F.col("_c")
-    lo_v = F.max(F.when((low >= first_rank) & (low < F.col("_upto")), F.col("_v")))
-    hi_v = F.max(F.when((high >= first_rank) & (high < F.col("_upto")), F.col("_v")))
-    weight = F.max(position - low)
-    per_prob = at.groupBy(*keys, "_name").agg(
-        (lo_v + weight * (hi_v - lo_v)).alias("_q")
-    )
-    return per_prob.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in probs]
+    ranked = chunked.join(here, [*keys, "_chunk"]).withColumn(
+        "_upto", F.col("_before") + F.sum("_c").over(running)
     )
 
+    def covers(rank: Column) -> Column:
+        return (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
+
+    is_low, is_high = covers(F.floor("_at")), covers(F.ceil("_at"))
+    hits = ranked.join(wanted.drop("_before"), [*keys, "_chunk"]).filter(is_low | is_high)
+
+    def quantile(name: str) -> Column:
+        mine = F.col("_name") == name
+        low = F.max(F.when(mine & is_low, F.col("_v")))
+        high = F.max(F.when(mine & is_high, F.col("_v")))
+        weight = F.max(F.when(mine, F.col("_at") - F.floor("_at")))
+        return low + weight * (high - low)
+
+    return hits.groupBy(*keys).agg(*[quantile(n).alias(n) for n in probs])
+
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per numeric column: rows, nulls, min, quartiles, mean, max."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "value"
-    )
-    basics = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("value").isNull()).alias("nulls"),
-        F.min("value").alias("min"),
-        F.avg("value").alias("mean"),
-        F.max("value").alias("max"),
-    )
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    per_column = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col(c).isNull()).alias("nulls"),
+            F.min(c).alias("min"),
+            F.avg(c).alias("mean"),
+            F.max(c).alias("max"),
+        )
+        for c in columns
+    ]
+    basics = numbers.agg(F.array(*per_column).alias("_s")).select(F.inline("_s"))
+    long = numbers.unpivot([], list(columns), "column", "value")
     quartiles = exact_quantiles(
         long, ["column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}
     )
