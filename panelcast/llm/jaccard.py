@@ -4,15 +4,18 @@ Sets are those of :mod:`panelcast.llm.shingles`; two documents link when their s
 *percent* of their union.  Equal sets are one set from the start.
 
 1. Answers from a similar set: sets that agree on several min-hash keys are compared with the least
-   such set, their leader.  A set that links with its leader belongs to the leader's component, so
-   it takes over the leader's answers; within a component no pair is looked for again.  This is
-   linear in the size of a group of near copies.
+   such set, their leader.  A set that links with its leader belongs to the leader's component; within
+   a component no pair is looked for again.  This is linear in the size of a group of near copies.
 2. Index lists: all shingles are counted, rare ones lead.  A set enters the lists of its prefix, with
    the position it holds there; a shingle that no other set has needs no list.  A list is grouped
    into blocks by position, each sorted by size: a probe skips every block whose positions leave too
-   few shingles for a link, and within a block all sizes that cannot reach it.  Only pairs from
-   different components of step 1 leave a list.
-3. These pairs are compared exactly and the components of all links are formed.
+   few shingles for a link, and within a block all sizes that cannot reach it.
+3. What leaves a list at first are pairs of leaders (a set without one leads itself), once however
+   many members meet.  They are compared exactly.  The answers of members follow from them: members a
+   and b share at most what their leaders share, plus what each has beyond its leader.  Where that
+   cannot reach the bound, no member is looked at; pairs that it leaves open go through the lists
+   once more and are compared exactly.
+4. The components of all links are formed.
 
 No list or group is cut short.  The list of a shingle where one component has very many entries is
 dealt over several tasks: its entries are split, the few others are sent to each.
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import arrays
-from panelcast.llm.shingles import linked, needed_sets, sets_of, signed
+from panelcast.llm.shingles import compared, needed_sets, sets_of, signed
 from panelcast.llm.tables import bit_set, bucket_bits, components, share
 from panelcast.sources.tables import materialise
 
@@ -192,13 +195,12 @@ def index_lists(docs: DataFrame, shared: DataFrame, bits: int, percent: int) ->
     return docs.select("text").mapInArrow(body, "x long, place int, size int, set_id long").dropDuplicates(["x", "set_id"])
 
 
-def list_pairs(place, size, name, label, hot, percent: int):
-    """Pairs of one list that may link: blocks by position, sorted by size within."""
+def list_pairs(place, size, label, hot, percent: int):
+    """Index pairs (many, one) of one list that may link: blocks by position, sorted by size within."""
     order = np.lexsort((size, place >> 3))
-    place, size, name, label = place[order], size[order].astype(np.int64), name[order], label[order]
+    place, size, label = place[order], size[order].astype(np.int64), label[order]
     block = place >> 3
     cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-    left, right = [], []
     for j in range(len(size)):
         n = size[j]
         furthest = n - -(-2 * percent * n // (100 + percent))
@@ -212,34 +214,35 @@ def list_pairs(place, size, name, label, hot, percent: int):
             s = size[lo:hi]
             need = -(-percent * (s + n) // (100 + percent))
             good = (label[lo:hi] != label[j]) & (s - place[lo:hi] >= need) & (n - place[j] >= need)
-            good &= (s < n) | (name[lo:hi] < name[j])
             if hot is not None:
                 good &= (label[lo:hi] == hot) != (label[j] == hot)
-            i = np.flatnonzero(good) + lo
+            i = np.flatnonzero(good)
             if len(i):
-                left.append(name[i])
-                right.append(np.full(len(i), name[j]))
-    return left, right
+                yield order[lo + i], order[j], need[i]
 
 
-def candidate_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of different labels that the lists cannot rule out."""
-    rows = lists.join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn(
-        "label", F.coalesce("root", "set_id")
-    )
+def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different labels that the lists cannot rule out.
+
+    *rows*: the lists with each set's leader, what it has beyond (extra) and its component (label).
+    Without a column ``open``: pairs of leaders.  With it, a map from leaders to common shingles: pairs
+    of sets whose leaders are in it and leave the link possible.
+    """
+    last = "open" in rows.columns
+    carried = ["x", "place", "size", "set_id", "label", "leader", "extra", *["open"] * last]
     parts = F.ceil(F.col("n") / F.lit(LIST_PART)).cast("int")
     hot = rows.groupBy("x", "label").agg(F.count("*").alias("n")).where(F.col("n") > LIST_PART).select("x", F.col("label").alias("hot"), parts.alias("parts"))
     # the rows of a hot label go to one part each, the other rows of its list to all parts
     dealt = rows.join(hot, "x").select(
-        "x", "place", "size", "set_id", "label", "hot",
+        *carried, "hot",
         F.explode(
             F.when(F.col("label") == F.col("hot"), F.array(F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")))
             .otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
         ).alias("part"),
     )
     plain = rows.join(hot.withColumnRenamed("hot", "label").select("x", "label"), ["x", "label"], "left_anti")
-    both = plain.select("x", "place", "size", "set_id", "label", F.lit(None).cast("long").alias("hot"), F.lit(0).alias("part")).union(
-        dealt.select("x", "place", "size", "set_id", "label", "hot", "part")
+    both = plain.select(*carried, F.lit(None).cast("long").alias("hot"), F.lit(0).alias("part")).union(
+        dealt.select(*carried, "hot", "part")
     )
     keys = ["x", "hot", "part"]
 
@@ -248,7 +251,9 @@ def candidate_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFr
             hots = batch.column(1)
             hot = hots.fill_null(0).to_numpy(zero_copy_only=False)
             plain = hots.is_null().to_numpy(zero_copy_only=False)
-            x, part, place, size, name, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4, 5, 6))
+            x, part, place, size, name, label, leader, extra = (
+                batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4, 5, 6, 7, 8)
+            )
             change = np.zeros(len(x) - 1, bool)
             for key in (x, hot, plain, part):
                 change |= key[1:] != key[:-1]
@@ -257,9 +262,17 @@ def candidate_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFr
             left, right = [], []
             for k in np.flatnonzero(mixed):
                 a, b = cuts[k], cuts[k + 1]
-                u, v = list_pairs(place[a:b], size[a:b], name[a:b], label[a:b], hots[int(a)].as_py(), percent)
-                left += u
-                right += v
+                known = [dict(m) for m in batch.column(9).slice(a, b - a).to_pylist()] if last else None
+                for i, j, need in list_pairs(place[a:b], size[a:b], label[a:b], hots[int(a)].as_py(), percent):
+                    if last:
+                        most = np.array([known[j].get(r, -(2**31)) for r in leader[a:b][i].tolist()])
+                        i = i[most + extra[a:b][i] + extra[a + j] >= need]
+                        left.append(name[a:b][i])
+                        right.append(np.full(len(i), name[a + j]))
+                    else:
+                        own = np.unique(leader[a:b][i])
+                        left.append(own)
+                        right.append(np.full(len(own), leader[a + j]))
             if left:
                 u, v = np.concatenate(left), np.concatenate(right)
                 u, v = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
@@ -269,21 +282,21 @@ def candidate_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFr
         for batch in batches:
             if rest is not None:
                 batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            last = [batch.column(i)[-1].as_py() for i in range(3)] if batch.num_rows else None
-            if last is None:
+            key = [batch.column(i)[-1].as_py() for i in range(3)] if batch.num_rows else None
+            if key is None:
                 continue
             end = batch.num_rows  # the last list may go on in the next batch
             x = batch.column(0).to_numpy(zero_copy_only=False)
-            start = int(np.searchsorted(x != last[0], False)) if x[0] == last[0] else int(np.flatnonzero(x != last[0])[-1]) + 1
+            start = int(np.searchsorted(x != key[0], False)) if x[0] == key[0] else int(np.flatnonzero(x != key[0])[-1]) + 1
             if start:
                 yield from pairs(batch.slice(0, start))
             rest = batch.slice(start, end - start)
         if rest is not None and rest.num_rows:
             yield from pairs(rest)
 
-    columns = [*keys, "place", "size", "set_id", "label"]
+    columns = [*keys, "place", "size", "set_id", "label", "leader", "extra", *["open"] * last]
     placed = both.select(columns).repartition(*keys).sortWithinPartitions(*keys)
-    return placed.mapInArrow(body, "a long, b long").distinct()
+    return placed.mapInArrow(body, "a long, b long").where("a <> b").distinct()
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -293,14 +306,29 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = materialise(
         table.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
     )
-    pairs = materialise(leader_pairs(classes))
-    star = materialise(linked(pairs, needed_sets(docs, _names(pairs)), percent))
-    labels = materialise(components(star))
+    star = materialise(_compared(docs, leader_pairs(classes), percent))
+    links = star.where("ok").select("a", "b")
     bits = bucket_bits(docs)
     shared = materialise(shared_shingles(docs, bits))
-    lists = materialise(index_lists(docs, shared, bits, percent))
-    pairs = materialise(candidate_pairs(lists, labels, percent))
-    links = linked(pairs, needed_sets(docs, _names(pairs)), percent).union(star)
+    # each set's leader, and how many shingles it has beyond
+    led = star.where("ok").groupBy(F.col("b").alias("set_id")).agg(F.max(F.struct("common", "a", "size_b")).alias("m"))
+    led = led.select("set_id", F.col("m.a").alias("leader"), (F.col("m.size_b") - F.col("m.common")).alias("extra"))
+    lists = index_lists(docs, shared, bits, percent).join(led, "set_id", "left")
+    lists = materialise(lists.withColumns({"leader": F.coalesce("leader", "set_id"), "extra": F.coalesce("extra", F.lit(0)).cast("int")}))
+    met = materialise(_compared(docs, candidate_pairs(_labelled(lists, links), percent), percent))
+    links = materialise(links.union(met.where("ok").select("a", "b")))
+    # pairs of leaders whose members may still link
+    far = lists.groupBy("leader").agg(F.max("extra").alias("extra"), F.min("size").alias("size"))
+    side = lambda c: far.select(F.col("leader").alias(c), F.col("extra").alias(f"extra_{c}"), F.col("size").alias(f"least_{c}"))
+    open_ = met.where("not ok").join(side("a"), "a").join(side("b"), "b")
+    reach = (100 + percent) * (F.col("common") + F.col("extra_a") + F.col("extra_b"))
+    open_ = open_.where((F.col("extra_a") + F.col("extra_b") > 0) & (reach >= percent * (F.col("least_a") + F.col("least_b"))))
+    open_ = materialise(open_.select("a", "b", F.col("common").cast("int").alias("common")))
+    if not open_.isEmpty():
+        both = open_.union(open_.select("b", "a", "common")).groupBy(F.col("a").alias("leader"))
+        both = both.agg(F.map_from_entries(F.collect_list(F.struct("b", "common"))).alias("open"))
+        rest = candidate_pairs(_labelled(lists.join(both, "leader"), links), percent)
+        links = links.union(_compared(docs, rest, percent).where("ok").select("a", "b"))
     roots = materialise(components(links))
     least = roots.join(classes.select(F.col("set_id").alias("node"), "least"), "node")
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
@@ -313,5 +341,15 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def _names(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """*lists* with the component of each set under *links*."""
+    label = components(links).select(F.col("node").alias("set_id"), "root")
+    return lists.join(label, "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
+
+
+def _compared(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """*pairs* with common, size_a, size_b, and whether they link."""
+    pairs = materialise(pairs)
+    names = materialise(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    union = F.col("size_a") + F.col("size_b") - F.col("common")
+    return compared(pairs, needed_sets(docs, names)).withColumn("ok", 100 * F.col("common") >= percent * union)
