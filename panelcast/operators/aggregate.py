@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +86,7 @@ def exact_quantiles(
     the number of range partitions (default: the session's shuffle partitions).
     """
     keys = list(keys)
+    groups = df.select(*keys).distinct() if keys else None
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
@@ -118,7 +120,7 @@ def exact_quantiles(
     # once, then look every wanted rank up by a join with the few wanted rows
     here = wanted.select(*keys, "_chunk", "_before").distinct()
     running = Window.partitionBy(*keys, "_chunk").orderBy("_v")
-    ranked = chunked.join(here, [*keys, "_chunk"]).withColumn(
+    ranked = _null_safe(chunked, here, [*keys, "_chunk"], "inner").withColumn(
         "_upto", F.col("_before") + F.sum("_c").over(running)
     )
 
@@ -126,7 +128,9 @@ def exact_quantiles(
         return (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
 
     is_low, is_high = covers(F.floor("_at")), covers(F.ceil("_at"))
-    hits = ranked.join(wanted.drop("_before"), [*keys, "_chunk"]).filter(is_low | is_high)
+    hits = _null_safe(ranked, wanted.drop("_before"), [*keys, "_chunk"], "inner").filter(
+        is_low | is_high
+    )
 
     def quantile(name: str) -> Column:
         mine = F.col("_name") == name
@@ -135,7 +139,16 @@ def exact_quantiles(
         weight = F.max(F.when(mine, F.col("_at") - F.floor("_at")))
         return low + weight * (high - low)
 
-    return hits.groupBy(*keys).agg(*[quantile(n).alias(n) for n in probs])
+    found = hits.groupBy(*keys).agg(*[quantile(n).alias(n) for n in probs])
+    # a group that holds nulls only keeps its row
+    return _null_safe(groups, found, keys, "left") if keys else found
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join in which a NULL key meets a NULL key; the key columns come once."""
+    other = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return left.join(other, same, how).drop(*[f"_on_{c}" for c in on])
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -125,10 +125,10 @@ def predict_linear(
     keys: Sequence[str] = (SERIES,),
     name: str = "prediction",
 ) -> DataFrame:
-    """Attach intercept + Σ coef·x; null where a regressor is null."""
+    """Attach intercept + Σ coef·x; null where a regressor or the key's fit is missing."""
     fit = model.select(*keys, F.col("intercept").alias("_b0"), F.col("coef").alias("_b"))
     if keys:
-        joined = df.join(fit, list(keys))
+        joined = df.join(fit, list(keys), "left")
     else:  # a pooled fit is one row: scalar subqueries, no join
         joined = df.withColumns(
             {"_b0": fit.select("_b0").scalar(), "_b": fit.select("_b").scalar()}
@@ -368,9 +368,12 @@ def flat_forecast(
     step_days: int = WEEK,
     keys: Sequence[str] = (SERIES,),
 ) -> DataFrame:
-    """A per-series level repeated over the horizon: (keys, h, period, forecast)."""
+    """A per-series level repeated over the horizon: (keys, h, period, forecast).
+
+    A series without a level keeps its rows, with a NULL forecast.
+    """
     return horizon(df, h, step_days, keys).join(
-        model.select(*keys, F.col(level).alias("forecast")), list(keys)
+        model.select(*keys, F.col(level).alias("forecast")), list(keys), "left"
     )
 
 
@@ -388,10 +391,17 @@ def aicc(sse: Column | str, n: Column | str, k: Column | str) -> Column:
 
 
 def choose_by_aicc(candidates: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame:
-    """Best candidate per key from rows (keys, model, sse, n, k); ties go to the first name."""
-    scored = candidates.withColumn("aicc", aicc("sse", "n", "k")).filter(F.col("aicc").isNotNull())
-    best = F.min_by(F.struct("model", "aicc"), F.struct("aicc", "model")).alias("s")
-    return scored.groupBy(*keys).agg(best).select(*keys, "s.*")
+    """Best candidate per key from rows (keys, model, sse, n, k); ties go to the first name.
+
+    A perfect fit (sse 0 with room for its parameters) comes first; its criterion is NULL.  A
+    key without any candidate that can be scored keeps a row with NULL for model and aicc.
+    """
+    scored = candidates.withColumn("aicc", aicc("sse", "n", "k"))
+    perfect = F.coalesce((F.col("sse") == 0) & (F.col("n") - F.col("k") - 1 > 0), F.lit(False))
+    usable = perfect | F.col("aicc").isNotNull()
+    order = F.when(usable, F.struct((~perfect).alias("later"), "aicc", "model"))
+    best = F.min_by(F.struct("model", "aicc"), order).alias("s")
+    return scored.groupBy(*keys).agg(best).select(*keys, "s.model", "s.aicc")
 
 
 def candidate_fits(df: DataFrame, value: str, keys: Sequence[str] = (SERIES,)) -> DataFrame:
@@ -457,6 +467,8 @@ def nnls_gram(gram: np.ndarray, rhs: np.ndarray, tol: float = 1e-10) -> np.ndarr
             w = w + shrink * (z - w)
             passive &= w > tol * max(1.0, float(w.max()))
             w[~passive] = 0.0
+    else:
+        raise ArithmeticError(f"active set of {p} weights did not converge")
     return w
 
 

@@ -193,13 +193,16 @@ def convolve(
 ) -> DataFrame:
     """ŷ_t = Σ_k w_k·x_{t−k} on a dense panel, lags before the start counted as 0.
 
-    *weights* holds one array per key (or per *weight_keys*, a part of the keys).  Lags come from one window, so the panel is not
-    multiplied by the number of lags.
+    *weights* holds one array per key (or per *weight_keys*, a part of the keys).  Lags come
+    from one window, so the panel is not multiplied by the number of lags.  An array longer
+    than *max_lag* + 1 is an error; a row without weights gets NULL.
     """
     w = ordered(keys)
     on = list(weight_keys or keys)
-    joined = df.join(weights.select(*on, F.col("weights").alias("_w")), on)
-    total = F.lit(0.0)
+    long = F.raise_error(F.lit(f"convolve: weights beyond lag {max_lag}")).cast("array<double>")
+    packed = F.when(F.size("weights") > max_lag + 1, long).otherwise(F.col("weights"))
+    joined = df.join(weights.select(*on, packed.alias("_w")), on, "left")
+    total = F.when(F.col("_w").isNotNull(), F.lit(0.0))
     for k in range(max_lag + 1):
         lagged = F.coalesce(F.lag(x, k).over(w) if k else F.col(x), F.lit(0.0))
         total = total + F.coalesce(F.get("_w", F.lit(k)), F.lit(0.0)) * lagged

@@ -252,7 +252,7 @@ def _(spark, d):
     return decumulate(running, "arrivals")
 
 
-_FLOW = {1: 0.1, 4: 0.5, 8: 0.4}
+_FLOW = {2: 0.25, 3: 0.45, 6: 0.3}
 
 
 @query(

@@ -41,9 +41,7 @@ def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     # select the columns that are needed before the join; both sides shuffle on the order
     # key unless the planner measures one of them as small
-    lines = table(spark, sf_dir, "lineitem").filter(
-        (F.col("l_linestatus") == "F") | (F.col("l_returnflag") == "R")
-    )
+    lines = table(spark, sf_dir, "lineitem")
     shipped = lines.select("l_orderkey", "l_shipdate", "l_linestatus", "l_returnflag").join(
         orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey"
     )
@@ -150,10 +148,14 @@ def line_weights(spark: SparkSession, sf_dir: str, share: float = 0.9) -> DataFr
 
 
 def weight_arrays(weights: DataFrame) -> DataFrame:
-    """(series, k, w) → (series, weights array by k); one entry per lag."""
-    packed = F.sort_array(F.collect_list(F.struct("k", "w")))
-    return weights.groupBy(SERIES).agg(
-        F.transform(packed, lambda s: s["w"]).alias("weights")
+    """(series, k, w) → (series, weights array): w stands at place k, zeros between."""
+    packed = F.map_from_entries(F.collect_list(F.struct("k", "w")))
+    return weights.groupBy(SERIES).agg(packed.alias("_w"), F.max("k").alias("_k")).select(
+        SERIES,
+        F.transform(
+            F.sequence(F.lit(0).cast("int"), F.col("_k").cast("int")),
+            lambda k: F.coalesce(F.element_at("_w", k), F.lit(0.0)),
+        ).alias("weights"),
     )
 
 
@@ -172,8 +174,7 @@ po_facts AS (
   SELECT CAST(date_trunc('week', l_shipdate) AS DATE), o_orderpriority, 0,
          CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END,
          CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_linestatus = 'F' OR l_returnflag = 'R'),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 po AS (SELECT period, series, {_STAGES_SQL} FROM po_facts GROUP BY period, series)"""
 
 EVENTS_SQL = f"""
@@ -181,8 +182,7 @@ pe_facts AS (
   SELECT CAST(ts AS DATE) AS period, CAST(user_id AS VARCHAR) AS series,
          CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS a,
          CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS v,
-         CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS r
-  FROM events WHERE event_type IN ('signup', 'view', 'purchase')),
+         CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS r FROM events),
 pe AS (SELECT period, series, {_STAGES_SQL} FROM pe_facts GROUP BY period, series)"""
 
 PARTS_SQL = f"""

@@ -34,21 +34,15 @@ def _amount(c: Column, df: DataFrame) -> Column:
 def build_panel(facts: Sequence[Fact], stages: Sequence[str] = STAGES) -> DataFrame:
     """Count or sum every fact into its (series, period) cell; absent stages are 0.
 
-    Each fact table is scanned once however many stages it feeds, rows that feed no
-    stage are filtered out at the scan, and all facts meet in a single aggregate: the
-    map side collapses every task's rows to one per cell, so a hot series adds cells,
-    not rows, to the shuffle.
+    Every fact row opens its cell, also one that feeds no stage: such a cell holds zeros.
+    A caller that wants fewer cells filters the table.  Each fact table is scanned once
+    however many stages it feeds, and all facts meet in a single aggregate: the map side
+    collapses every task's rows to one per cell, so a hot series adds cells, not rows, to
+    the shuffle.
     """
     parts = []
     for fact in facts:
-        booleans = [
-            c
-            for c in fact.stages.values()
-            if fact.table.select(c.alias("c")).schema["c"].dataType.typeName() == "boolean"
-        ]
         rows = fact.table
-        if len(booleans) == len(fact.stages):
-            rows = rows.filter(reduce(lambda a, b: a | b, booleans))
         parts.append(
             rows.select(
                 fact.period.alias(PERIOD),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -13,12 +16,16 @@ from pyspark.sql.types import StructType
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path below the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset,
-    as in a bare test session, a temporary one is made and registered.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset it is an error,
+    except on a local master, as in a bare test session: there one temporary folder is made,
+    registered and removed with the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="panelcast-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/panelcast/{uuid.uuid4().hex}"
 

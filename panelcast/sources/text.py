@@ -14,7 +14,7 @@ PARAGRAPH = r"<p>([\s\S]*?)</p>"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def blocks(text: ColumnLike, pattern: str = FENCED_BLOCK) -> Column:

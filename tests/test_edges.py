@@ -22,7 +22,7 @@ from panelcast.operators.reshape import pivot_series, screen_features
 from panelcast.operators.windows import growth, interpolate, rolling, with_stock
 from panelcast.schema import PANEL_SCHEMA, PERIOD, SERIES
 from panelcast.sources.adapters import ForecastShape, adapt_forecast, null_periods
-from panelcast.sources.panel import contract_violations
+from panelcast.sources.panel import Fact, build_panel, contract_violations
 from panelcast.sources.tables import read_csv, round_trip, shared_dir, write_table
 from panelcast.sources.text import FENCED_BLOCK, explode_blocks, joined_blocks
 
@@ -257,3 +257,56 @@ def test_fenced_blocks(spark):
     assert out == {1: "x <- 1\n\ny", 2: "no block at all", 3: "bare"}
     rows = explode_blocks(df, "text", FENCED_BLOCK).orderBy("id", "pos").collect()
     assert [(r["id"], r["pos"], r["block"]) for r in rows] == [(1, 0, "x <- 1"), (1, 1, "y"), (3, 0, "bare")]
+
+
+def test_every_fact_row_opens_its_cell(spark):
+    rows = [(1, "click"), (1, "signup"), (2, "click")]
+    events = spark.createDataFrame(rows, "user long, kind string").withColumn("day", F.lit("2024-01-01").cast("date"))
+    fact = Fact(events, "user", F.col("day"), {"applications": F.col("kind") == "signup"})
+    out = {r["series"]: r["applications"] for r in build_panel([fact], ["applications"]).collect()}
+    assert out == {"1": 1.0, "2": 0.0}
+
+
+def test_convolve_rejects_weights_beyond_the_last_lag(spark, weekly):
+    from panelcast.operators.project import convolve
+
+    weights = spark.createDataFrame([("a", [0.5, 0.3, 0.2])], "series string, weights array<double>")
+    with pytest.raises(Exception, match="weights beyond lag 1"):
+        convolve(weekly, weights, "applications", 1, "e").collect()
+    out = convolve(weekly, weights, "applications", 2, "e")
+    assert out.count() == weekly.count() and out.where("series <> 'a' and e is not null").count() == 0
+
+
+def test_exact_quantiles_keep_null_groups(spark):
+    from panelcast.operators.aggregate import exact_quantiles
+
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("b", None), ("c", 5.0)], "g string, v double")
+    assert {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()} == {None: 2.0, "b": None, "c": 5.0}
+
+
+def test_perfect_fit_comes_first_and_unscored_keys_stay(spark):
+    rows = [("flat", "mean", 0.0, 9, 1), ("flat", "walk", 2.0, 9, 1), ("short", "mean", 1.0, 1, 2)]
+    df = spark.createDataFrame(rows, "series string, model string, sse double, n long, k int")
+    assert {r["series"]: r["model"] for r in choose_by_aicc(df).collect()} == {"flat": "mean", "short": None}
+
+
+def test_weights_stand_at_their_lag(spark):
+    from panelcast.plans.panels import weight_arrays
+
+    df = spark.createDataFrame([("a", 0, 0.5), ("a", 3, 0.2)], "series string, k int, w double")
+    assert weight_arrays(df).first()["weights"] == [0.5, 0.0, 0.0, 0.2]
+
+
+def test_unset_shared_folder_is_an_error_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
