@@ -32,6 +32,8 @@ from panelcast.llm.tables import share
 from panelcast.sources.tables import materialise
 
 SLOTS, TEMPER, LEAST, LEAST_RECORDS, STRENGTH = 1 << 16, 0.2, 0.5, 10, 5.0
+_FOLD = arrays.LOWER.copy()
+_FOLD[48:58] = 48  # all digits are one: they tell nothing about a language
 _EVIDENCE = ("doc_id", "asked", "declared", "suffix", "host", "domain")
 
 
@@ -57,7 +59,7 @@ def page_records(pages: DataFrame, asked: bool = True) -> DataFrame:
 
 def _slots(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slot of every byte trigram inside a row, and where each row's trigrams begin."""
-    low = arrays.LOWER[raw].astype(np.uint32)
+    low = _FOLD[raw].astype(np.uint32)
     if len(low) < 3:
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     code = ((low[:-2] | (low[1:-1] << 8) | (low[2:] << 16)) * np.uint32(2654435761)) >> np.uint32(16)
