@@ -3,13 +3,16 @@
 Sets are those of :mod:`panelcast.llm.shingles`; two documents link when their sets share at least
 *percent* of their union.  Equal sets are one set from the start.
 
-1. Answers from a similar set: sets that agree on several min-hash keys are compared with the least
-   such set, their leader.  A set that links with its leader belongs to the leader's component; within
-   a component no pair is looked for again.  This is linear in the size of a group of near copies.
+1. Answers from a similar set: a key is three min-hashes, and each set is compared with one of the sets
+   that have the same key, their leader; a set has a leader for each of its keys.  A set that links
+   with a leader belongs to its component; within a component no pair is looked for again.  Large
+   groups get a few leaders more, for the sets whose component is another.  This is linear in the
+   size of a group of near copies.
 2. Index lists: all shingles are counted, rare ones lead.  A set enters the lists of its prefix, with
    the position it holds there; a shingle that no other set has needs no list.  A list is grouped
    into blocks by position, each sorted by size: a probe skips every block whose positions leave too
-   few shingles for a link, and within a block all sizes that cannot reach it.
+   few shingles for a link, and within a block all sizes that cannot reach it.  Entries carry 256
+   parities of their set: where two differ, at least one shingle is not shared, which rules out more.
 3. What leaves a list at first are pairs of leaders (a set without one leads itself), once however
    many members meet.  They are compared exactly.  The answers of members follow from them: members a
    and b share at most what their leaders share, plus what each has beyond its leader.  Where that
@@ -37,7 +40,11 @@ from panelcast.llm.tables import bit_set, bucket_bits, components, share
 from panelcast.sources.tables import materialise
 
 PERCENT = 80
-KEYS, AGREE = 8, 3
+KEYS, KEY_WIDTH = 8, 3
+#: Groups of more sets than this get so many leaders more.
+LARGE, MORE_LEADERS = 8, 4
+#: Parities of a set: words of 64 bits; they only rule out.
+PARITIES = ("p0", "p1", "p2", "p3")
 #: Shingles of the highest counts whose order is refined by their counts; a broadcast of 1.2 MB.
 MOST_HEAVY = 1 << 17
 #: Entries of one component in one list before the list is dealt over several tasks.
@@ -74,6 +81,7 @@ def set_table(docs: DataFrame) -> DataFrame:
                     at = np.cumsum(size[full]) - size[full]
                     for k in range(KEYS):
                         keys[k] = np.minimum.reduceat(members * _SEEDS[k] ^ _SEEDS[k - 1], at)
+                    keys = sum(np.roll(keys, -i, axis=0) * _SEEDS[i] for i in range(KEY_WIDTH))
                 cuts = np.concatenate(([0], np.cumsum(KEYS * (size > 0)))).astype(np.int32)
                 yield pa.record_batch(
                     [
@@ -89,11 +97,25 @@ def set_table(docs: DataFrame) -> DataFrame:
 
 
 def leader_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): every set with the least set of its key groups, where AGREE keys name the same one."""
+    """(a, b): every set with one leader of each of its key groups, the first by a hash."""
     keyed = classes.select("set_id", F.posexplode("keys").alias("k", "key"))
-    leaders = keyed.groupBy("k", "key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("top")).where("a < top")
+    rank = F.struct(F.xxhash64("set_id", "k"), "set_id")
+    leaders = keyed.groupBy("k", "key").agg(F.min(rank).getField("set_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     pairs = keyed.join(leaders.select("k", "key", "a"), ["k", "key"]).where("a <> set_id")
-    return pairs.groupBy("a", F.col("set_id").alias("b")).count().where(F.col("count") >= AGREE).select("a", "b")
+    return pairs.select("a", F.col("set_id").alias("b")).distinct()
+
+
+def more_leader_pairs(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): every set of a large key group with further leaders of it that are in other components."""
+    label = components(links).withColumnRenamed("node", "set_id")
+    keyed = classes.select("set_id", F.posexplode("keys").alias("k", "key")).join(label, "set_id", "left")
+    keyed = keyed.withColumn("label", F.coalesce("root", "set_id"))
+    rank = [F.min(F.struct(F.xxhash64("set_id", "k", F.lit(t)), F.col("set_id").alias("a"), F.col("label").alias("of"))) for t in range(MORE_LEADERS)]
+    groups = keyed.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*rank).alias("to"))
+    groups = groups.where((F.col("n") > LARGE) & (F.col("lo") < F.col("hi"))).select("k", "key", "to")
+    met = keyed.join(groups, ["k", "key"])
+    met = met.select("set_id", F.explode(F.filter("to", lambda x: x["of"] != F.col("label"))).alias("x"))
+    return met.select("x.a", F.col("set_id").alias("b")).distinct()
 
 
 def shared_shingles(docs: DataFrame, bits: int) -> DataFrame:
@@ -157,7 +179,7 @@ def _heavy(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index_lists(docs: DataFrame, shared: DataFrame, bits: int, percent: int) -> DataFrame:
-    """(x, place, size, set_id): the lists that sets enter with their prefixes."""
+    """(x, place, size, set_id, PARITIES): the lists that sets enter with their prefixes."""
     known = share(docs.sparkSession, (bit_set(shared.select("x"), shared.count()), *_heavy(shared)))
 
     def body(batches):
@@ -178,27 +200,29 @@ def index_lists(docs: DataFrame, shared: DataFrame, bits: int, percent: int) ->
                 start = np.cumsum(size) - size
                 own = size - np.add.reduceat((rank > 0).astype(np.int64), start)
                 prefix = size + (-percent * size // 100) + 1
+                cell = np.repeat(np.arange(len(held)) << 8, size) + (np.concatenate([x for _, x in held]) * _SEEDS[0] >> np.uint64(56)).astype(np.int64)
+                odd = np.packbits((np.bincount(cell, minlength=len(held) << 8) & 1).astype(np.uint8)).view(np.int64).reshape(-1, len(PARITIES))
                 out = []
                 for j in np.flatnonzero(own < prefix).tolist():
                     a, n, p = start[j], size[j], prefix[j]
                     order = np.argsort(rank[a : a + n], kind="stable")[own[j] : p]
                     x = top[a : a + n][order]
-                    out.append((x, np.arange(own[j], p), np.full(len(x), n), np.full(len(x), held[j][0], np.uint64)))
+                    out.append((x, np.arange(own[j], p), np.full(len(x), n), np.full(len(x), held[j][0], np.uint64), np.full(len(x), j)))
                 if out:
-                    x, place, n, name = (np.concatenate(c) for c in zip(*out, strict=True))
+                    x, place, n, name, j = (np.concatenate(c) for c in zip(*out, strict=True))
                     yield pa.record_batch(
-                        [pa.array(x.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name.view(np.int64))],
-                        ["x", "place", "size", "set_id"],
+                        [pa.array(x.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name.view(np.int64)), *(pa.array(c) for c in odd[j].T.copy())],
+                        ["x", "place", "size", "set_id", *PARITIES],
                     )
 
     # a set whose copies lie in several tasks enters each list once
-    return docs.select("text").mapInArrow(body, "x long, place int, size int, set_id long").dropDuplicates(["x", "set_id"])
+    return docs.select("text").mapInArrow(body, "x long, place int, size int, set_id long, " + ", ".join(f"{p} long" for p in PARITIES)).dropDuplicates(["x", "set_id"])
 
 
-def list_pairs(place, size, label, hot, percent: int):
+def list_pairs(place, size, label, odd, hot, percent: int):
     """Index pairs (many, one) of one list that may link: blocks by position, sorted by size within."""
     order = np.lexsort((size, place >> 3))
-    place, size, label = place[order], size[order].astype(np.int64), label[order]
+    place, size, label, odd = place[order], size[order].astype(np.int64), label[order], odd[order]
     block = place >> 3
     cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
     for j in range(len(size)):
@@ -217,6 +241,8 @@ def list_pairs(place, size, label, hot, percent: int):
             if hot is not None:
                 good &= (label[lo:hi] == hot) != (label[j] == hot)
             i = np.flatnonzero(good)
+            if len(i):  # a parity that differs is a shingle of one set only
+                i = i[s[i] + n - np.bitwise_count(odd[lo + i] ^ odd[j]).sum(1, dtype=np.int64) >= 2 * need[i]]
             if len(i):
                 yield order[lo + i], order[j], need[i]
 
@@ -229,7 +255,7 @@ def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
     of sets whose leaders are in it and leave the link possible.
     """
     last = "open" in rows.columns
-    carried = ["x", "place", "size", "set_id", "label", "leader", "extra", *["open"] * last]
+    carried = ["x", "place", "size", "set_id", "label", "leader", "extra", *PARITIES, *["open"] * last]
     parts = F.ceil(F.col("n") / F.lit(LIST_PART)).cast("int")
     hot = rows.groupBy("x", "label").agg(F.count("*").alias("n")).where(F.col("n") > LIST_PART).select("x", F.col("label").alias("hot"), parts.alias("parts"))
     # the rows of a hot label go to one part each, the other rows of its list to all parts
@@ -251,9 +277,10 @@ def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
             hots = batch.column(1)
             hot = hots.fill_null(0).to_numpy(zero_copy_only=False)
             plain = hots.is_null().to_numpy(zero_copy_only=False)
-            x, part, place, size, name, label, leader, extra = (
-                batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4, 5, 6, 7, 8)
+            x, part, place, size, name, label, leader, extra, *odd = (
+                batch.column(i).to_numpy(zero_copy_only=False) for i in (0, *range(2, 9 + len(PARITIES)))
             )
+            odd = np.stack(odd, axis=1).view(np.uint64)
             change = np.zeros(len(x) - 1, bool)
             for key in (x, hot, plain, part):
                 change |= key[1:] != key[:-1]
@@ -262,8 +289,8 @@ def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
             left, right = [], []
             for k in np.flatnonzero(mixed):
                 a, b = cuts[k], cuts[k + 1]
-                known = [dict(m) for m in batch.column(9).slice(a, b - a).to_pylist()] if last else None
-                for i, j, need in list_pairs(place[a:b], size[a:b], label[a:b], hots[int(a)].as_py(), percent):
+                known = [dict(m) for m in batch.column(9 + len(PARITIES)).slice(a, b - a).to_pylist()] if last else None
+                for i, j, need in list_pairs(place[a:b], size[a:b], label[a:b], odd[a:b], hots[int(a)].as_py(), percent):
                     if last:
                         most = np.array([known[j].get(r, -(2**31)) for r in leader[a:b][i].tolist()])
                         i = i[most + extra[a:b][i] + extra[a + j] >= need]
@@ -294,7 +321,7 @@ def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from pairs(rest)
 
-    columns = [*keys, "place", "size", "set_id", "label", "leader", "extra", *["open"] * last]
+    columns = [*keys, "place", "size", "set_id", "label", "leader", "extra", *PARITIES, *["open"] * last]
     placed = both.select(columns).repartition(*keys).sortWithinPartitions(*keys)
     return placed.mapInArrow(body, "a long, b long").where("a <> b").distinct()
 
@@ -307,6 +334,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         table.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
     )
     star = materialise(_compared(docs, leader_pairs(classes), percent))
+    more = more_leader_pairs(classes, star.where("ok").select("a", "b"))
+    star = star.union(materialise(_compared(docs, more, percent)))
     links = star.where("ok").select("a", "b")
     bits = bucket_bits(docs)
     shared = materialise(shared_shingles(docs, bits))
