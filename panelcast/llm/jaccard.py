@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import arrays
 from panelcast.llm.shingles import compared, needed_sets, sets_of, signed
-from panelcast.llm.tables import bit_set, bucket_bits, components, share
+from panelcast.llm.tables import bit_set, bucket_bits, forest, rooted, share
 from panelcast.sources.tables import materialise
 
 PERCENT = 80
@@ -105,11 +105,9 @@ def leader_pairs(classes: DataFrame) -> DataFrame:
     return pairs.select("a", F.col("set_id").alias("b")).distinct()
 
 
-def more_leader_pairs(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b): every set of a large key group with further leaders of it that are in other components."""
-    label = components(links).withColumnRenamed("node", "set_id")
-    keyed = classes.select("set_id", F.posexplode("keys").alias("k", "key")).join(label, "set_id", "left")
-    keyed = keyed.withColumn("label", F.coalesce("root", "set_id"))
+def more_leader_pairs(classes: DataFrame, state: DataFrame) -> DataFrame:
+    """(a, b): every set of a large key group with further leaders of it that have another label in *state*."""
+    keyed = _labelled(classes.select("set_id", F.posexplode("keys").alias("k", "key")), state)
     rank = [F.min(F.struct(F.xxhash64("set_id", "k", F.lit(t)), F.col("set_id").alias("a"), F.col("label").alias("of"))) for t in range(MORE_LEADERS)]
     groups = keyed.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*rank).alias("to"))
     groups = groups.where((F.col("n") > LARGE) & (F.col("lo") < F.col("hi"))).select("k", "key", "to")
@@ -334,9 +332,11 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         table.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
     )
     star = materialise(_compared(docs, leader_pairs(classes), percent))
-    more = more_leader_pairs(classes, star.where("ok").select("a", "b"))
-    star = star.union(materialise(_compared(docs, more, percent)))
-    links = star.where("ok").select("a", "b")
+    # one round labels nearly all sets of a component alike; where it does not, more pairs are compared
+    state = forest(star.where("ok"), rounds=1)
+    more = materialise(_compared(docs, more_leader_pairs(classes, state), percent))
+    state = forest(more.where("ok"), state)
+    star = star.union(more)
     bits = bucket_bits(docs)
     shared = materialise(shared_shingles(docs, bits))
     # each set's leader, and how many shingles it has beyond
@@ -344,8 +344,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     led = led.select("set_id", F.col("m.a").alias("leader"), (F.col("m.size_b") - F.col("m.common")).alias("extra"))
     lists = index_lists(docs, shared, bits, percent).join(led, "set_id", "left")
     lists = materialise(lists.withColumns({"leader": F.coalesce("leader", "set_id"), "extra": F.coalesce("extra", F.lit(0)).cast("int")}))
-    met = materialise(_compared(docs, candidate_pairs(_labelled(lists, links), percent), percent))
-    links = materialise(links.union(met.where("ok").select("a", "b")))
+    met = materialise(_compared(docs, candidate_pairs(_labelled(lists, state), percent), percent))
+    state = forest(met.where("ok"), state)
     # pairs of leaders whose members may still link
     far = lists.groupBy("leader").agg(F.max("extra").alias("extra"), F.min("size").alias("size"))
     side = lambda c: far.select(F.col("leader").alias(c), F.col("extra").alias(f"extra_{c}"), F.col("size").alias(f"least_{c}"))
@@ -356,10 +356,9 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not open_.isEmpty():
         both = open_.union(open_.select("b", "a", "common")).groupBy(F.col("a").alias("leader"))
         both = both.agg(F.map_from_entries(F.collect_list(F.struct("b", "common"))).alias("open"))
-        rest = candidate_pairs(_labelled(lists.join(both, "leader"), links), percent)
-        links = links.union(_compared(docs, rest, percent).where("ok").select("a", "b"))
-    roots = materialise(components(links))
-    least = roots.join(classes.select(F.col("set_id").alias("node"), "least"), "node")
+        rest = candidate_pairs(_labelled(lists.join(both, "leader"), state), percent)
+        state = forest(_compared(docs, rest, percent).where("ok"), state)
+    least = rooted(state).join(classes.select(F.col("set_id").alias("node"), "least"), "node")
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
     of_set = classes.join(named.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "set_id", F.coalesce("component", "least").alias("component")
@@ -370,10 +369,10 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """*lists* with the component of each set under *links*."""
-    label = components(links).select(F.col("node").alias("set_id"), "root")
-    return lists.join(label, "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
+def _labelled(sets: DataFrame, state: DataFrame) -> DataFrame:
+    """*sets* with a label that only sets of one component of *state* share."""
+    label = state.groupBy(F.col("a").alias("set_id")).agg(F.min("b").alias("root"))
+    return sets.join(label, "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
 
 
 def _compared(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:

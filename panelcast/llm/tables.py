@@ -1,4 +1,4 @@
-"""Spark-side helpers: bounded bit sets, bucket counts, connected components."""
+"""Spark-side helpers: bounded bit sets, bucket counts, component forests."""
 
 from __future__ import annotations
 
@@ -37,31 +37,42 @@ def bucket_bits(docs: DataFrame, text: str = "text") -> int:
     return max(LEAST_BUCKETS, int(size / 6 / BUCKET_WORDS)).bit_length()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of *links* (a, b: longs); root is the least node of its component.
+def forest(links: DataFrame, known: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+    """(a, b): every node of *links* (a, b: longs) with the least node of its component, itself left out.
+
+    *known* is an earlier result; its links hold as well and are not looked for again.  With *rounds*,
+    it stops after so many: then b is some lesser node of the same component and a may have several.
 
     Large-star and small-star rounds.  Each is an aggregate and a join and is written to the shared
     folder, so the lineage stays short; the number of rounds grows with the logarithm of the size.
     A node with very many links is a skewed join key, which the adaptive planner splits.
     """
-    spark = links.sparkSession
-    edges = materialise(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    state = None
-    while True:
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = materialise((links if known is None else links.union(known.select("a", "b"))).distinct())
+    while rounds != 0 and not _settled(edges):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.union(least.select("a", "m")).where("a <> b").distinct())
+        large = materialise(large.union(least.select("a", "m")).where("a <> b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialise(small.union(least.select("a", "m")).where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(
+        rounds = rounds and rounds - 1
+    return edges
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one lesser node, and that one has none."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    found = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return found.where("up > 1 or (up > 0 and down > 0)").agg(F.count("*")).first()[0] == 0
+
+
+def rooted(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of a finished forest, the roots included."""
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
 
