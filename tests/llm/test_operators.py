@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 pytest.importorskip("panelcast.llm")
-from panelcast.llm import arrays, fingerprints, jaccard, language, licenses, mixing, packing, quality, secrets, substrings, warc
+from panelcast.llm import arrays, fingerprints, jaccard, language, licenses, mixing, packing, quality, secrets, substrings, tables, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string"
 
@@ -102,6 +102,30 @@ def test_jaccard(docs, rows, monkeypatch):
     assert Counter(map(tuple, jaccard.jaccard_join(docs).collect())) == want
 
 
+def test_forest_in_steps_equals_union_find(spark):
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(30)]
+    pairs = chain + [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(50)] + [(100, 100)]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        up[a], up[b] = a, a
+    want = {x: root(x) for a, b in pairs if a != b for x in (a, b)}
+    frame = lambda p: spark.createDataFrame(p, "a long, b long")
+    some = tables.forest(frame(pairs[:40]), rounds=1)
+    assert all(root(a) == root(b) for a, b in some.collect())
+    whole = tables.forest(frame(pairs[40:]), some)
+    assert {x.node: x.root for x in tables.rooted(whole).collect()} == want
+    assert tables.rooted(whole).count() == len(want)
+    assert tables.forest(frame([])).count() == 0
+
+
 def test_quality(docs, rows, spark):
     labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(50)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     out = quality.assess(docs, labels).collect()
