@@ -15,8 +15,9 @@ Sets are those of :mod:`panelcast.llm.shingles`; two documents link when their s
    parities of their set: where two differ, at least one shingle is not shared, which rules out more.
 3. What leaves a list at first are pairs of leaders (a set without one leads itself), once however
    many members meet.  They are compared exactly.  The answers of members follow from them: members a
-   and b share at most what their leaders share, plus what each has beyond its leader.  Where that
-   cannot reach the bound, no member is looked at; pairs that it leaves open go through the lists
+   and b share at most what their leaders share, plus what each has beyond its leader.  A member with
+   nothing beyond (a cut copy) is smaller, so it may link where its leader does not.  Where no member
+   of either can reach the bound, none is looked at; pairs that it leaves open go through the lists
    once more and are compared exactly.
 4. The components of all links are formed.
 
@@ -347,11 +348,13 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     met = materialise(_compared(docs, candidate_pairs(_labelled(lists, state), percent), percent))
     state = forest(met.where("ok"), state)
     # pairs of leaders whose members may still link
-    far = lists.groupBy("leader").agg(F.max("extra").alias("extra"), F.min("size").alias("size"))
-    side = lambda c: far.select(F.col("leader").alias(c), F.col("extra").alias(f"extra_{c}"), F.col("size").alias(f"least_{c}"))
+    # a set's slack: what it adds to (100 + percent) * common - percent * (both sizes); a leader alone has its answer
+    slack = F.max((100 + percent) * F.col("extra").cast("long") - percent * F.col("size").cast("long"))
+    far = lists.groupBy("leader").agg(slack.alias("slack"), F.max((F.col("set_id") != F.col("leader")).cast("int")).alias("leads"))
+    side = lambda c: far.select(F.col("leader").alias(c), F.col("slack").alias(f"slack_{c}"), F.col("leads").alias(f"leads_{c}"))
     open_ = met.where("not ok").join(side("a"), "a").join(side("b"), "b")
-    reach = (100 + percent) * (F.col("common") + F.col("extra_a") + F.col("extra_b"))
-    open_ = open_.where((F.col("extra_a") + F.col("extra_b") > 0) & (reach >= percent * (F.col("least_a") + F.col("least_b"))))
+    reach = (100 + percent) * F.col("common") + F.col("slack_a") + F.col("slack_b") >= 0
+    open_ = open_.where((F.col("leads_a") + F.col("leads_b") > 0) & reach)
     open_ = materialise(open_.select("a", "b", F.col("common").cast("int").alias("common")))
     if not open_.isEmpty():
         both = open_.union(open_.select("b", "a", "common")).groupBy(F.col("a").alias("leader"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 pytest.importorskip("panelcast.llm")
-from panelcast.llm import arrays, fingerprints, jaccard, language, licenses, mixing, packing, quality, secrets, substrings, tables, warc
+from panelcast.llm import arrays, fingerprints, jaccard, language, licenses, mixing, packing, quality, secrets, shingles, substrings, tables, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string"
 
@@ -102,6 +102,20 @@ def test_jaccard(docs, rows, monkeypatch):
     assert Counter(map(tuple, jaccard.jaccard_join(docs).collect())) == want
 
 
+def test_jaccard_of_cut_copies_whose_leaders_do_not_link(spark, monkeypatch):
+    words = [f"w{i}" for i in range(304)]
+    texts = [" ".join(words[:n]) for n in (304, 250, 202)]  # sets of 300, 246, 198: 0.82, 0.805, and 0.66
+    frame = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)] + [(9, "a b c d e f g h")], "doc_id long, text string")
+    name = dict(zip((1, 2, 3), (n for _, n, _ in shingles.sets_of(pa.array(texts))), strict=True))
+    full, cut = (int(shingles.signed([name[i]])[0]) for i in (1, 2))
+    # the one cut copy met the full text in the key groups, the other nothing
+    lead = spark.createDataFrame([(full, cut)], "a long, b long")
+    monkeypatch.setattr(jaccard, "leader_pairs", lambda classes: lead)
+    monkeypatch.setattr(jaccard, "more_leader_pairs", lambda classes, state: lead.where("false"))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(frame).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 9}
+
+
 def test_forest_in_steps_equals_union_find(spark):
     rng = random.Random(5)
     chain = [(i, i + 1) for i in range(30)]
