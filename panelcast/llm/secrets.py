@@ -1,8 +1,10 @@
 """Secret scan with a guess-cost estimate for values in credential context.
 
 Base kinds are patterns over the whole text, leftmost and without overlap for each kind; matches that
-fail the length rule are consumed and dropped.  Values that stand behind other credential words
-(pwd, passphrase, bearer, ...) are judged by what guessing them would cost: a dynamic program finds
+fail the length rule are consumed and dropped.  Values that stand behind credential words (those of
+the base pattern, pwd, passphrase, authorization, bearer, ...) are judged by what guessing them would
+cost, as a whole and whatever signs they hold; one that goes on beyond a base span is a span beside it,
+one that lies inside it is not named again.  A dynamic program finds
 the cheapest split of the value into words, dates, repeats, keyboard walks and brute-force stretches.
 A value that costs 10**LEAST_COST guesses or more is a span of kind ``guess``; cheap ones are
 placeholders or prose.  The program is linear in the length of the value.
@@ -30,10 +32,17 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")  # runs are maximal, so shorter ones are those dropped
 _HINTS = (b"password", b"passwd", b"secret", b"token", b"api")
 _CONTEXT = re.compile(
-    rb"""(?<![a-z0-9])(?:pwd|pass|passphrase|passcode|pin|credentials?|auth|authorization|bearer|private[_-]?key|access[_-]?key|client[_-]?secret|login)["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?([^\s"'<>,;]{6,})""",
-    re.I,
+    rb"""(?:
+        (?:(?<![a-z0-9])(?:pwd|pass|passphrase|passcode|pin|credentials?|auth|authorization|bearer|private[_-]?key|access[_-]?key|client[_-]?secret|login)
+            |password|passwd|secret|token|api[_-]?key)
+        ["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?(?:bearer\x20+["']?)?
+        |(?<![a-z0-9])bearer\x20+["']?
+    )([^\s"'<>,;]{6,})""",
+    re.I | re.X,
 )
-_CONTEXT_HINTS = (b"pwd", b"pass", b"pin", b"cred", b"auth", b"bearer", b"key", b"client", b"login")
+_CONTEXT_HINTS = (b"pwd", b"pass", b"pin", b"cred", b"auth", b"bearer", b"key", b"client", b"login", b"secret", b"token")
+#: Bytes before the end of a cheap value where a context word may begin that goes on behind it.
+_LAST_WORD = 64
 
 # Common words of passwords and prose by rank, rows of the keyboard.
 WORDS = (
@@ -112,11 +121,16 @@ def byte_spans(raw: bytes) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(raw) if m.end() - m.start() >= 20]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(raw)]
     if any(h in low for h in _CONTEXT_HINTS):
-        base = list(out)
-        for m in _CONTEXT.finditer(raw):
+        base, at, done = list(out), 0, 0
+        while m := _CONTEXT.search(raw, at):
             s, e = m.span(1)
-            if all(e <= a or b <= s for a, _, b in base) and guess_cost(m[1].decode(errors="replace")) >= LEAST_COST:
+            inside = e <= done or any(a <= s and e <= b for a, _, b in base)
+            if not inside and guess_cost(m[1].decode(errors="replace")) >= LEAST_COST:
                 out.append((s, 3, e))
+                at = e
+            else:  # a cheap value may itself end with a context word
+                at = max(s, e - _LAST_WORD)
+            done = max(done, e)
     return sorted(out)
 
 
