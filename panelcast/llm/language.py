@@ -34,13 +34,13 @@ from panelcast.sources.tables import materialise
 SLOTS, TEMPER, LEAST, LEAST_RECORDS, STRENGTH = 1 << 16, 0.2, 0.5, 10, 5.0
 _FOLD = arrays.LOWER.copy()
 _FOLD[48:58] = 48  # all digits are one: they tell nothing about a language
-_EVIDENCE = ("doc_id", "asked", "declared", "suffix", "host", "domain")
+_EVIDENCE = ("doc_id", "kind", "asked", "declared", "suffix", "host", "domain")
 
 
 def document_records(docs: DataFrame) -> DataFrame:
     """Documents: the lang column is what was declared, the source is the host."""
     none = F.lit(None).cast("string")
-    return docs.select("doc_id", F.lit(True).alias("asked"), "text", F.lower("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
+    return docs.select("doc_id", F.lit("document").alias("kind"), F.lit(True).alias("asked"), "text", F.lower("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
 
 
 def page_records(pages: DataFrame, asked: bool = True) -> DataFrame:
@@ -51,7 +51,7 @@ def page_records(pages: DataFrame, asked: bool = True) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1))
     pick = lambda x: F.when(x != "", x)
     return pages.select(
-        F.col("page_id").alias("doc_id"), F.lit(asked).alias("asked"), text.alias("text"), pick(tag).alias("declared"),
+        F.col("page_id").alias("doc_id"), F.lit("page").alias("kind"), F.lit(asked).alias("asked"), text.alias("text"), pick(tag).alias("declared"),
         pick(F.regexp_extract(host, r"\.([a-z]+)$", 1)).alias("suffix"), pick(host).alias("host"),
         pick(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).alias("domain"),
     )
@@ -89,10 +89,15 @@ def _trigram_counts(records: DataFrame, languages: list[str]) -> np.ndarray:
     return out.reshape(len(languages), SLOTS)
 
 
+def text_models(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of the slots' likelihoods in each language and, last, in the uniform model."""
+    model = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * SLOTS))
+    return np.concatenate((model, np.full((1, SLOTS), -np.log(SLOTS))))
+
+
 def _text_scores(records: DataFrame, counts: np.ndarray) -> DataFrame:
     """Evidence columns, n_grams and the tempered log-likelihood of each language and of the uniform model."""
-    model = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * SLOTS))
-    table = share(records.sparkSession, np.concatenate((model, np.full((1, SLOTS), -np.log(SLOTS)))))
+    table = share(records.sparkSession, text_models(counts))
 
     def body(batches):
         for batch in batches:
@@ -110,7 +115,7 @@ def _text_scores(records: DataFrame, counts: np.ndarray) -> DataFrame:
                     [*_EVIDENCE, "n_grams", "scores"],
                 )
 
-    schema = "doc_id long, asked boolean, declared string, suffix string, host string, domain string, n_grams long, scores array<double>"
+    schema = "doc_id long, kind string, asked boolean, declared string, suffix string, host string, domain string, n_grams long, scores array<double>"
     return records.select(*_EVIDENCE, "text").mapInArrow(body, schema)
 
 
@@ -121,7 +126,7 @@ def _counts(scored: DataFrame, key: str, n: int, name: str) -> DataFrame:
 
 
 def identify(records: DataFrame) -> DataFrame:
-    """doc_id, lang, declared, posterior, text_lang and kept of every record that is asked for.
+    """doc_id, kind (document or page), lang, declared, posterior, text_lang and kept of every record that is asked for.
 
     Records that are not asked for take part in the counts only.
     """
@@ -129,7 +134,7 @@ def identify(records: DataFrame) -> DataFrame:
     languages = sorted(r[0] for r in seen.select("declared").collect())  # a row a language
     if not languages:
         none = F.lit(None).cast("string")
-        return records.where("asked").select("doc_id", none.alias("lang"), "declared", F.lit(0.0).alias("posterior"), none.alias("text_lang"), F.lit(False).alias("kept"))
+        return records.where("asked").select("doc_id", "kind", none.alias("lang"), "declared", F.lit(0.0).alias("posterior"), none.alias("text_lang"), F.lit(False).alias("kept"))
     n = len(languages)
     counts = _trigram_counts(records, languages)
     best = F.when(F.array_max("scores") > F.element_at("scores", n + 1), F.array_position("scores", F.array_max("scores")).cast("int") - 1)
@@ -160,13 +165,13 @@ def identify(records: DataFrame) -> DataFrame:
     unknown = F.element_at("scores", n + 1) + F.lit(float(np.log(1.0 / (n + 1.0)))) * (
         1 + F.col("n_declared").isNotNull().cast("int") + F.col("n_suffix").isNotNull().cast("int")
     )
-    met = met.select("doc_id", "declared", "n_grams", "text_lang", F.array(*logs, unknown).alias("logs"))
+    met = met.select("doc_id", "kind", "declared", "n_grams", "text_lang", F.array(*logs, unknown).alias("logs"))
     met = met.withColumn("top", F.array_max("logs")).withColumn("at", F.array_position("logs", F.col("top")).cast("int"))
     weight = F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     names = F.array(*map(F.lit, languages))
     lang = F.when((F.col("at") <= n), F.element_at(names, F.least("at", F.lit(n))))
     kept = lang.isNotNull() & (1.0 / weight >= LEAST) & (F.col("n_grams") > 0)
     return met.select(
-        "doc_id", lang.alias("lang"), "declared", (1.0 / weight).alias("posterior"),
+        "doc_id", "kind", lang.alias("lang"), "declared", (1.0 / weight).alias("posterior"),
         F.element_at(names, F.col("text_lang") + 1).alias("text_lang"), kept.alias("kept"),
     )

@@ -46,7 +46,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
-    records = language.document_records(docs).unionByName(language.page_records(pages, asked=False))
+    records = language.document_records(docs).unionByName(language.page_records(pages))
     return language.identify(records)
 
 
