@@ -13,7 +13,9 @@ All tables are grouped aggregates over all records; a record does not count towa
 prior.  A uniform model stands for text of no known language.  A record is rejected when that model
 wins or when no language reaches LEAST; a record without any text is rejected as well.
 
-Languages are the declared ones that LEAST_RECORDS records at least carry.  Nulls: missing evidence
+Every declared language has a model; the models are smoothed towards the text of all languages, which
+matters for those with little text.  A declaration that fewer than LEAST_RECORDS records carry is too
+little evidence to overrule: a record with it and with some text keeps it.  Nulls: missing evidence
 is left out.  Repeated rows and null ids are rows like others; extra columns are ignored; without any
 known language all records are rejected with a null language.
 """
@@ -32,6 +34,8 @@ from panelcast.llm.tables import share
 from panelcast.sources.tables import materialise
 
 SLOTS, TEMPER, LEAST, LEAST_RECORDS, STRENGTH = 1 << 16, 0.2, 0.5, 10, 5.0
+#: Trigrams of all languages' text that are added to each language.
+SHARED = 1000.0
 _FOLD = arrays.LOWER.copy()
 _FOLD[48:58] = 48  # all digits are one: they tell nothing about a language
 _EVIDENCE = ("doc_id", "kind", "asked", "declared", "suffix", "host", "domain")
@@ -91,7 +95,9 @@ def _trigram_counts(records: DataFrame, languages: list[str]) -> np.ndarray:
 
 def text_models(counts: np.ndarray) -> np.ndarray:
     """Logarithms of the slots' likelihoods in each language and, last, in the uniform model."""
-    model = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * SLOTS))
+    shared = SHARED * counts.sum(0) / max(counts.sum(), 1.0)
+    own = counts + 0.5 + shared
+    model = np.log(own / own.sum(1, keepdims=True))
     return np.concatenate((model, np.full((1, SLOTS), -np.log(SLOTS))))
 
 
@@ -130,8 +136,8 @@ def identify(records: DataFrame) -> DataFrame:
 
     Records that are not asked for take part in the counts only.
     """
-    seen = records.where("declared is not null").groupBy("declared").count().where(F.col("count") >= LEAST_RECORDS)
-    languages = sorted(r[0] for r in seen.select("declared").collect())  # a row a language
+    seen = dict(records.where("declared is not null").groupBy("declared").count().collect())  # a row a language
+    languages = sorted(seen)
     if not languages:
         none = F.lit(None).cast("string")
         return records.where("asked").select("doc_id", "kind", none.alias("lang"), "declared", F.lit(0.0).alias("posterior"), none.alias("text_lang"), F.lit(False).alias("kept"))
@@ -166,11 +172,15 @@ def identify(records: DataFrame) -> DataFrame:
         1 + F.col("n_declared").isNotNull().cast("int") + F.col("n_suffix").isNotNull().cast("int")
     )
     met = met.select("doc_id", "kind", "declared", "n_grams", "text_lang", F.array(*logs, unknown).alias("logs"))
-    met = met.withColumn("top", F.array_max("logs")).withColumn("at", F.array_position("logs", F.col("top")).cast("int"))
-    weight = F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
+    few = [x for x in languages if seen[x] < LEAST_RECORDS]
     names = F.array(*map(F.lit, languages))
+    keeps = F.coalesce(F.col("declared").isin(few) & (F.col("n_grams") > 0), F.lit(False))
+    top = F.array_position("logs", F.array_max("logs"))
+    met = met.withColumn("few", keeps).withColumn("at", F.when(F.col("few"), F.array_position(names, F.col("declared"))).otherwise(top).cast("int"))
+    met = met.withColumn("top", F.element_at("logs", F.col("at")))
+    weight = F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     lang = F.when((F.col("at") <= n), F.element_at(names, F.least("at", F.lit(n))))
-    kept = lang.isNotNull() & (1.0 / weight >= LEAST) & (F.col("n_grams") > 0)
+    kept = F.col("few") | (lang.isNotNull() & (1.0 / weight >= LEAST) & (F.col("n_grams") > 0))
     return met.select(
         "doc_id", "kind", lang.alias("lang"), "declared", (1.0 / weight).alias("posterior"),
         F.element_at(names, F.col("text_lang") + 1).alias("text_lang"), kept.alias("kept"),

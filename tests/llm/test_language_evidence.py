@@ -65,3 +65,20 @@ def test_pages_have_rows_by_suffix_host_and_domain(spark, tmp_path):
         row = got[r.kind, r.doc_id]
         assert row.posterior == pytest.approx(1 / weight)
         assert row.lang == [*names, None][int(np.argmax(logs))]
+
+
+@pytest.mark.parametrize("n", [1, 9, 10, 11])
+def test_rare_languages_keep_their_documents_in_large_and_small_tables(spark, n):
+    rng = random.Random(4)
+    rare = "tak niet het een van zijn voor deze".split()
+    prose = lambda w, k: " ".join(rng.choices(w, k=k))
+    rows = [(i, prose(rare, 30), "nl", "s", 1) for i in range(n)]
+    if n % 2:
+        rows += [(1000 + i, prose(WORDS[x].split(), 30), x, "s", 1) for i, x in enumerate(["de", "en"] * 30)]
+    rows += [(5000, "", "nl", "s", 1), (5001, "日本語の文章です" * 30, None, None, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in language.identify(language.document_records(frame)).collect()}
+    assert all(got[i].kept and got[i].lang == "nl" for i in range(n))
+    assert all(got[r[0]].lang == r[2] for r in rows if 1000 <= r[0] < 5000)
+    assert not got[5000].kept and not got[5001].kept
+    assert all(0 < r.posterior <= 1 for r in got.values())
