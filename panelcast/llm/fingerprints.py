@@ -4,9 +4,11 @@ A signature holds, for each of PERMUTATIONS universal hash functions, the least
 five-word shingles, kept as 16 bits; the likeness of two signatures is the part of equal positions,
 an estimate of the Jaccard similarity of the shingle sets.  Equal texts have equal fingerprints.
 
-Near duplicates: signatures are cut into bands; sets that agree in a band are compared exactly with
-the least set of the band, and linked from 80 percent on.  This is linear in the size of a band's
-group.
+Near duplicates: signatures are cut into bands; sets that agree in a band and share 80 percent of
+their union are linked, and the classes are the components of all links.  Each set is first compared
+with the least of its band, which is linear in a band's size and settles most bands.  In a band whose
+sets are of several classes after that, all pairs across classes are looked at: sizes and parities
+(exact bounds of the common part) rule out nearly all that do not link, the others are compared.
 
 The edited text of a row ends with the beginning of the next row's text in descending order of
 doc_id (equal ids: by text).  Rows are range-partitioned by doc_id into parts of bounded bytes and
@@ -28,12 +30,14 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import arrays
 from panelcast.llm.shingles import WIDTH, linked, needed_sets, whole
-from panelcast.llm.tables import share
+from panelcast.llm.tables import forest, rooted, share
 from panelcast.sources.tables import materialise
 
 PERMUTATIONS, BANDS, PERCENT = 64, 16, 80
 #: Bytes of text in a part of the order, and in a block that a task sends off.
 PART_BYTES, BLOCK_BYTES = 12_000_000, 12_000_000
+#: Sets of one class in one band before the band is dealt over several tasks.
+BAND_PART = 4096
 _A, _B = arrays._odd(41, PERMUTATIONS), arrays._odd(42, PERMUTATIONS)
 _LOWEST = -(2**63)
 
@@ -52,7 +56,8 @@ def _shingles(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def signatures(data: np.ndarray, at: np.ndarray, names: bool = False):
-    """(rows, PERMUTATIONS) of 16 bits; and, if asked for, the name of each row's set."""
+    """(rows, PERMUTATIONS) of 16 bits; and, if asked for, name, size and parities of each row's set."""
+    size, odd = np.zeros(len(at) - 1, np.int64), [b""] * (len(at) - 1)
     out, ids = np.full((len(at) - 1, PERMUTATIONS), 0xFFFF, np.uint16), np.zeros(len(at) - 1, np.uint64)
     for a, b in arrays.runs(at, arrays.PIECE_BYTES):
         h, first = arrays.words(data[at[a] : at[b]], at[a : b + 1] - at[a], lower=True)
@@ -66,8 +71,16 @@ def signatures(data: np.ndarray, at: np.ndarray, names: bool = False):
         if names:
             for i, s in zip(full.tolist(), start.tolist(), strict=True):
                 own = np.sort(x[s : s + many[i]])
-                ids[a + i] = xxhash.xxh64_intdigest(own[np.concatenate(([True], own[1:] != own[:-1]))])
-    return out, ids
+                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+                ids[a + i], size[a + i], odd[a + i] = xxhash.xxh64_intdigest(own), len(own), parities(own)
+    return out, ids, size, odd
+
+
+def parities(own: np.ndarray) -> bytes:
+    """Parities of the members in 2 to 4 buckets a member; where two sets' differ, a member is not shared."""
+    power = min(max(6, (2 * len(own) - 1).bit_length()), 16)
+    slot = (own * _A[0] >> np.uint64(64 - power)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=1 << power) & 1).astype(np.uint8)).tobytes()
 
 
 def _order_bounds(docs: DataFrame) -> np.ndarray:
@@ -149,8 +162,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         texts = [t for _, t in own]
         after = [*texts[1:], ghost if ghost is not None else texts[0] if texts else ""]
         edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, after, strict=True)]
-        sig, names = signatures(*arrays.utf8(pa.array([*texts, after[-1]], pa.string())), names=True)
-        other, _ = signatures(*arrays.utf8(pa.array(edited, pa.string())))
+        sig, names, size, odd = signatures(*arrays.utf8(pa.array([*texts, after[-1]], pa.string())), names=True)
+        other, *_ = signatures(*arrays.utf8(pa.array(edited, pa.string())))
         mine = sig[:-1]
         cuts = np.arange(len(own) + 1)
         return pa.table(
@@ -163,6 +176,8 @@ def with_next(docs: DataFrame) -> DataFrame:
                 "near_edited": pa.array((mine == other).mean(1)),
                 "near_next": pa.array((mine == sig[1:]).mean(1)),
                 "set_id": pa.array(names[:-1].view(np.int64)),
+                "size": pa.array(size[:-1]),
+                "odd": pa.array(odd[:-1], pa.binary()),
             }
         )
 
@@ -170,36 +185,98 @@ def with_next(docs: DataFrame) -> DataFrame:
     sent = docs.mapInArrow(send, kind).union(first.select("to", "doc_id", "text").mapInArrow(send_first, kind))
     return sent.groupBy("part").applyInArrow(
         meet,
-        "doc_id long, n_chars long, edited_sha256 string, sig binary, edited_sig binary, near_edited double, near_next double, set_id long",
+        "doc_id long, n_chars long, edited_sha256 string, sig binary, edited_sig binary, near_edited double, near_next double, set_id long, size long, odd binary",
     )
 
 
-def band_pairs(table: DataFrame) -> DataFrame:
-    """(a, b): each set with the least set of each of its bands."""
+def _keyed(table: DataFrame) -> DataFrame:
+    """(set_id, band, value): every set with its bands."""
     width = 2 * PERMUTATIONS // BANDS
     bands = F.array(*(F.substring("sig", 1 + i * width, width) for i in range(BANDS)))
     sets = table.where("set_id <> 0").groupBy("set_id").agg(F.first("sig").alias("sig"))
-    keyed = sets.select("set_id", F.posexplode(bands).alias("band", "value"))
+    return sets.select("set_id", F.posexplode(bands).alias("band", "value"))
+
+
+def band_pairs(table: DataFrame) -> DataFrame:
+    """(a, b): each set with the least set of each of its bands."""
+    keyed = _keyed(table)
     least = keyed.groupBy("band", "value").agg(F.min("set_id").alias("a"), F.max("set_id").alias("top")).where("a < top")
     return keyed.join(least.drop("top"), ["band", "value"]).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
 
 
+def open_pairs(size: np.ndarray, label: np.ndarray, odd: list[bytes], hot=None):
+    """Index pairs (many, one) of sets with different labels that size and parities leave possible."""
+    for power in sorted({len(x) for x in odd}):
+        some = [i for i, x in enumerate(odd) if len(x) in (power, 2 * power)]
+        some = np.array(sorted(some, key=lambda i: size[i]))
+        bits = np.zeros((len(some), power), np.uint8)
+        for k, i in enumerate(some.tolist()):
+            x = np.frombuffer(odd[i], np.uint8)
+            if len(x) > power:
+                x = np.packbits(np.bitwise_xor.reduce(np.unpackbits(x).reshape(-1, 2), axis=1))
+            bits[k] = x
+        bits, n, own = bits.view(np.uint64), size[some], label[some]
+        for j in np.flatnonzero([len(odd[i]) == power for i in some.tolist()]).tolist():
+            end = np.searchsorted(n, n[j] * 100 // PERCENT, "right")
+            good = own[j + 1 : end] != own[j]
+            if hot is not None:
+                good &= (own[j + 1 : end] == hot) != (own[j] == hot)
+            i = j + 1 + np.flatnonzero(good)
+            if len(i):
+                both = n[i] + n[j]
+                need = -(-PERCENT * both // (100 + PERCENT))
+                i = i[both - np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) >= 2 * need]
+            if len(i):
+                yield some[i], some[j]
+
+
+def rest_pairs(table: DataFrame, state: DataFrame) -> DataFrame:
+    """(a, b): the pairs of sets that agree in a band, are of different components of *state* and may link."""
+    of = rooted(state).select(F.col("node").alias("set_id"), F.col("root"))
+    keyed = _keyed(table).join(of, "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
+    mixed = keyed.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    facts = table.where("set_id <> 0").groupBy("set_id").agg(F.first("size").alias("size"), F.first("odd").alias("odd"))
+    rows = materialise(keyed.join(mixed.select("band", "value"), ["band", "value"]))
+    count = rows.groupBy("band", "value", "label").agg(F.count("*").alias("n")).where(F.col("n") > BAND_PART)
+    hot = count.select("band", "value", F.col("label").alias("hot"), F.ceil(F.col("n") / F.lit(BAND_PART)).cast("int").alias("parts"))
+    # the sets of a hot class go to one part each, the other sets of its band to all parts
+    part = F.when(F.col("label") == F.col("hot"), F.array(F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")))
+    dealt = rows.join(hot, ["band", "value"]).withColumn("part", F.explode(part.otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    plain = rows.join(hot.select("band", "value", F.col("hot").alias("label")), ["band", "value", "label"], "left_anti")
+    columns = ["band", "value", "hot", "part", "set_id", "label"]
+    both = plain.withColumns({"hot": F.lit(None).cast("long"), "part": F.lit(0)}).select(columns).union(dealt.select(columns))
+
+    def body(group):
+        name, label = (group[c].to_numpy() for c in ("set_id", "label"))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in open_pairs(group["size"].to_numpy(), label, group["odd"].to_pylist(), group["hot"][0].as_py()):
+            left.append(name[i])
+            right.append(np.full(len(i), name[j]))
+        u, v = np.concatenate(left), np.concatenate(right)
+        return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+
+    return both.join(facts, "set_id").groupBy("band", "value", "hot", "part").applyInArrow(body, "a long, b long").distinct()
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row for each row of *docs*: the edited-text test, fingerprints in hexadecimal, near_id.
 
-    near_id is the least doc_id among the equal sets and the verified partners of the row's set.
+    near_id is the least doc_id of the row's class of near duplicates.
     """
     table = materialise(with_next(docs))
     least = table.where("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    pairs = materialise(band_pairs(table))
-    names = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    links = linked(pairs, needed_sets(docs, names), PERCENT)
-    of_leader = links.join(least.select(F.col("set_id").alias("a"), "least"), "a").groupBy(F.col("b").alias("set_id")).agg(
-        F.min("least").alias("other")
-    )
-    near = least.join(of_leader, "set_id", "left").select("set_id", F.least("least", "other").alias("near_id"))
+    state = forest(_linked(docs, band_pairs(table)))
+    state = forest(_linked(docs, rest_pairs(table, state)), state)
+    of = least.join(rooted(state).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    near = of.join(of.groupBy("root").agg(F.min("least").alias("near_id")), "root").select("set_id", "near_id")
     hex_ = lambda c: F.lower(F.hex(c))
     return table.join(near, "set_id", "left").select(
         "doc_id", "n_chars", "edited_sha256", hex_("sig").alias("fingerprint"), hex_("edited_sig").alias("edited_fingerprint"),
         "near_edited", "near_next", "near_id",
     )
+
+
+def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    pairs = materialise(pairs)
+    names = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    return linked(pairs, needed_sets(docs, names), PERCENT)
