@@ -7,7 +7,7 @@ an estimate of the Jaccard similarity of the shingle sets.  Equal texts have equ
 Near duplicates: signatures are cut into bands; sets that agree in a band and share 80 percent of
 their union are linked, and the classes are the components of all links.  Each set is first compared
 with the least of its band, which is linear in a band's size and settles most bands.  In a band whose
-sets are of several classes after that, all pairs across classes are looked at: sizes and parities
+sets are of several classes after that, and after a few more leaders, all pairs across classes are looked at: sizes and parities
 (exact bounds of the common part) rule out nearly all that do not link, the others are compared.
 
 The edited text of a row ends with the beginning of the next row's text in descending order of
@@ -38,6 +38,8 @@ PERMUTATIONS, BANDS, PERCENT = 64, 16, 80
 PART_BYTES, BLOCK_BYTES = 12_000_000, 12_000_000
 #: Sets of one class in one band before the band is dealt over several tasks.
 BAND_PART = 4096
+#: Further leaders of a band with several classes, before all pairs across its classes are looked at.
+MORE_LEADERS = 4
 _A, _B = arrays._odd(41, PERMUTATIONS), arrays._odd(42, PERMUTATIONS)
 _LOWEST = -(2**63)
 
@@ -204,6 +206,21 @@ def band_pairs(table: DataFrame) -> DataFrame:
     return keyed.join(least.drop("top"), ["band", "value"]).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
 
 
+def _labelled(sets: DataFrame, state: DataFrame) -> DataFrame:
+    of = rooted(state).select(F.col("node").alias("set_id"), F.col("root"))
+    return sets.join(of, "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
+
+
+def more_band_pairs(table: DataFrame, state: DataFrame) -> DataFrame:
+    """(a, b): each set of a band with several classes in *state* with further leaders of other classes."""
+    keyed = _labelled(_keyed(table), state)
+    rank = [F.min(F.struct(F.xxhash64("set_id", "band", F.lit(t)), F.col("set_id").alias("a"), F.col("label").alias("of"))) for t in range(MORE_LEADERS)]
+    mixed = keyed.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*rank).alias("to")).where("lo < hi")
+    met = keyed.join(mixed.select("band", "value", "to"), ["band", "value"])
+    met = met.select("set_id", F.explode(F.filter("to", lambda x: x["of"] != F.col("label"))).alias("x"))
+    return met.select(F.least("x.a", "set_id").alias("a"), F.greatest("x.a", "set_id").alias("b")).distinct()
+
+
 def open_pairs(size: np.ndarray, label: np.ndarray, odd: list[bytes], hot=None):
     """Index pairs (many, one) of sets with different labels that size and parities leave possible."""
     for power in sorted({len(x) for x in odd}):
@@ -232,8 +249,7 @@ def open_pairs(size: np.ndarray, label: np.ndarray, odd: list[bytes], hot=None):
 
 def rest_pairs(table: DataFrame, state: DataFrame) -> DataFrame:
     """(a, b): the pairs of sets that agree in a band, are of different components of *state* and may link."""
-    of = rooted(state).select(F.col("node").alias("set_id"), F.col("root"))
-    keyed = _keyed(table).join(of, "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
+    keyed = _labelled(_keyed(table), state)
     mixed = keyed.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     facts = table.where("set_id <> 0").groupBy("set_id").agg(F.first("size").alias("size"), F.first("odd").alias("odd"))
     rows = materialise(keyed.join(mixed.select("band", "value"), ["band", "value"]))
@@ -266,6 +282,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     table = materialise(with_next(docs))
     least = table.where("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     state = forest(_linked(docs, band_pairs(table)))
+    state = forest(_linked(docs, more_band_pairs(table, state)), state)
     state = forest(_linked(docs, rest_pairs(table, state)), state)
     of = least.join(rooted(state).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     near = of.join(of.groupBy("root").agg(F.min("least").alias("near_id")), "root").select("set_id", "near_id")
