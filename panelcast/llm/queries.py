@@ -1,10 +1,12 @@
-"""The ten operators as named queries over their whole tables, and SQL where it can state them."""
+"""The operators as named queries over their whole tables, and SQL where it can state them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import fingerprints, jaccard, language, licenses, mixing, packing, quality, secrets, substrings, warc
+from panelcast.llm import (
+    collocations, fingerprints, jaccard, language, licenses, mixing, packing, quality, scoring, secrets, spelling, substrings, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,18 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_lm_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 _SPACED = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -105,16 +119,18 @@ QUERIES = {
     for f in (
         op1_quality_isolation_forest, op2_secret_guess_cost, op3_ngram_jaccard_join, op4_packing_column_generation,
         op5_minhash_fingerprints, op6_warc_zstandard, op7_license_scan, op8_substring_dedup, op9_language_fusion,
-        op10_mixing_sources, pipeline,
+        op10_mixing_sources, op11_lm_deleted_interpolation, op12_spelling_variants, op13_phrase_collocations, pipeline,
     )
 }
 
-#: The forest, the guess costs, tokenisers, hashed signatures and trained likelihoods have no SQL; their
-#: queries are tested against brute force in tests/llm.
+#: The forest, the guess costs, tokenisers, hashed signatures, trained likelihoods and mixture weights have
+#: no SQL; their queries are tested against brute force in tests/llm.
 SQL = {
     "op3_ngram_jaccard_join": _OP3_SQL,
     "op6_warc_zstandard": _OP6_SQL,
     "op7_license_scan": licenses.SQL,
     "op8_substring_dedup": _OP8_SQL,
     "op10_mixing_sources": mixing.SQL,
+    "op12_spelling_variants": spelling.SQL,
+    "op13_phrase_collocations": collocations.SQL,
 }
