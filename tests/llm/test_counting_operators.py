@@ -24,7 +24,7 @@ def rows():
     stems = ["".join(rng.choices("abcdéfÉghoXß", k=rng.randint(1, 9))) for _ in range(60)]
     prose = lambda n: "".join(rng.choice(stems) + rng.choice((" ", " ", " ", ", ", "\n", ". ", "\t", "-")) for _ in range(n))
     texts = [prose(rng.randint(1, 160)) for _ in range(80)]
-    texts += [texts[3]] * 5 + [None, "", " \n", "one", "Ünder ÷ × ſ", "x" * 5000 + " and", prose(9000), "a.b,c;d", "\x0b\x0c \r", "a\x1cb c"]
+    texts += [texts[3]] * 24 + [None, "", " \n", "one", "Ünder ÷ × ſ", "x" * 5000 + " and", prose(9000), "a.b,c;d", "\x0b\x0c \r", "a\x1cb c"]
     out = [(i, t, ["en", None, "und", "fr"][i % 4], "s", None, "c", "w", "n") for i, t in enumerate(texts)]
     return [*out, out[3], (None, prose(40), "en", "s", 1, "c", "w", "n"), (None, None, None, None, None, None, None, None)]
 
