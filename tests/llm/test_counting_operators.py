@@ -254,7 +254,7 @@ def test_collocations_equal_brute_force(docs, rows, small_chunks, least, top):
 def test_collocations_sql_and_empty(spark, empty):
     assert collocations.collocations(empty).collect() == []
     rng = random.Random(3)
-    rows = [(i, " ".join(rng.choices(["Über", "a b", "c d e", "x.", "f"], k=60)), rng.choice(["en", None])) for i in range(60)]
+    rows = [(i, " ".join(rng.choices(["Über", "a", "b", "c d", "x.", "f"], k=120)), rng.choice(["en", None])) for i in range(200)]
     want = _registered(rows).execute(collocations.SQL).fetchall()
     got = collocations.collocations(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert len(want) > 20 and sorted(map(tuple, got)) == sorted(want)
