@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from panelcast.functions.exprs import all_of, is_finite
 from panelcast.operators.calendar import WEEK, horizon
+from panelcast.operators.moments import Term, centred, lag_products
 from panelcast.operators.windows import difference, ordered
 from panelcast.schema import PERIOD, SERIES, Z80, Z95
 
@@ -27,22 +28,29 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
+def _symmetric(packed: pd.Series, p: int) -> np.ndarray:
+    """Stacked p×p matrices of rows of packed upper triangles."""
+    out = np.zeros((len(packed), p, p))
+    i, j = np.triu_indices(p)
+    values = np.array([np.asarray(x, dtype=float) for x in packed]).reshape(len(packed), len(i))
+    out[:, i, j] = values
+    out[:, j, i] = values
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve_centred(cov: pd.Series, rhs: pd.Series) -> pd.Series:
-    """Minimum-norm solution of each row's centred normal equations (packed upper triangle)."""
-    out = []
-    for packed, b in zip(cov, rhs, strict=True):
-        p = len(b)
-        a = np.zeros((p, p))
-        upper = np.triu_indices(p)
-        a[upper] = packed
-        a = a + np.triu(a, 1).T
-        scale = np.sqrt(np.diag(a))
-        scale[scale == 0] = 1.0
-        # unit-variance scaling keeps the squared condition number in check
-        corr = a / np.outer(scale, scale)
-        out.append(np.linalg.pinv(corr, rcond=1e-11, hermitian=True) @ (np.asarray(b) / scale) / scale)
-    return pd.Series(out)
+    """Minimum-norm solution of the rows' centred normal equations (packed upper triangles), all at once."""
+    if not len(rhs):
+        return pd.Series([], dtype=object)
+    b = np.array([np.asarray(x, dtype=float) for x in rhs])
+    a = _symmetric(cov, b.shape[1])
+    scale = np.sqrt(np.einsum("bii->bi", a))
+    scale[scale == 0] = 1.0
+    # unit-variance scaling keeps the squared condition number in check
+    corr = a / (scale[:, :, None] * scale[:, None, :])
+    inverse = np.linalg.pinv(corr, rcond=1e-11, hermitian=True)
+    return pd.Series(list((inverse @ (b / scale)[:, :, None])[:, :, 0] / scale))
 
 
 def _moments_by_window(rows: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
@@ -89,11 +97,34 @@ def fit_linear(
     Collinear regressors get the minimum-norm solution instead of an error.
     """
     xs, keys = list(xs), list(keys)
-    p = len(xs)
     rows = df.filter(all_of([is_finite(c) for c in [y, *xs]]))
     collect = _moments_map_side if map_side or not keys else _moments_by_window
-    moments = collect(rows, [y, *xs], keys).filter(F.col("n") > 0)
-    moments = moments.select(
+    return _solved(collect(rows, [y, *xs], keys), len(xs), keys)
+
+
+def fit_linear_sparse(
+    cells: DataFrame,
+    y: str,
+    terms: Sequence[Term],
+    low: Column,
+    high: Column,
+    trend: bool = False,
+    step_days: int = WEEK,
+    keys: Sequence[str] = (SERIES,),
+) -> DataFrame:
+    """``fit_linear`` of *y* on lagged columns over a zero-filled calendar, from its stored cells only.
+
+    The same rows as a fit on the densified panel with complete lags, and one exchange by key; *trend*
+    adds the row number as the last regressor.  *cells* has one row per key and period at most.
+    """
+    products = lag_products(cells, [(y, 0), *terms], low, high, trend, step_days=step_days, keys=keys)
+    p = len(terms) + int(trend)
+    return _solved(centred(products, p + 1, keys), p, list(keys))
+
+
+def _solved(moments: DataFrame, p: int, keys: list[str]) -> DataFrame:
+    """(keys, n, intercept, coef, sse, r2) from means and covariances with the target as column 0."""
+    moments = moments.filter(F.col("n") > 0).select(
         *keys,
         "n",
         F.col("_m0").alias("_my"),
@@ -443,44 +474,73 @@ def candidate_fits(df: DataFrame, value: str, keys: Sequence[str] = (SERIES,)) -
 
 def nnls_gram(gram: np.ndarray, rhs: np.ndarray, tol: float = 1e-10) -> np.ndarray:
     """Minimise ½wᵀGw − rᵀw over w ≥ 0 by an active set on the normal equations."""
-    p = len(rhs)
-    w = np.zeros(p)
-    passive = np.zeros(p, dtype=bool)
-    scale = max(1.0, float(np.abs(rhs).max(initial=0.0)))
-    for _ in range(10 * p + 10):
-        gradient = rhs - gram @ w
-        gradient[passive] = -np.inf
-        j = int(np.argmax(gradient))
-        if gradient[j] <= tol * scale:
-            break
-        passive[j] = True
-        while passive.any():
-            at = np.flatnonzero(passive)
-            z = np.zeros(p)
-            z[at] = np.linalg.lstsq(gram[np.ix_(at, at)], rhs[at], rcond=None)[0]
-            bad = passive & (z <= 0)
-            if not bad.any():
-                w = z
-                break
-            moving = bad & (w > z)
-            shrink = np.min(w[moving] / (w[moving] - z[moving])) if moving.any() else 0.0
-            w = w + shrink * (z - w)
-            passive &= w > tol * max(1.0, float(w.max()))
-            w[~passive] = 0.0
-    else:
-        raise ArithmeticError(f"active set of {p} weights did not converge")
-    return w
+    w, _, settled = nnls_stack(gram[None], np.asarray(rhs, dtype=float)[None], tol)
+    if not settled[0]:
+        raise ArithmeticError(f"active set of {len(rhs)} weights did not converge")
+    return w[0]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _solve_nnls(gram: pd.Series, rhs: pd.Series) -> pd.Series:
-    out = []
-    for packed, b in zip(gram, rhs, strict=True):
-        p = len(b)
-        g = np.zeros((p, p))
-        g[np.triu_indices(p)] = packed
-        out.append(nnls_gram(g + np.triu(g, 1).T, np.asarray(b, dtype=float)))
-    return pd.Series(out)
+def nnls_stack(gram: np.ndarray, rhs: np.ndarray, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``nnls_gram`` for stacked systems at once: weights, the largest violation of the optimality
+    conditions relative to the right side, and whether the active set came to rest.
+
+    Each round takes one step of every system that is not done, by one stacked solution; a system that
+    does not come to rest keeps its last feasible weights and says so.
+    """
+    b, p = rhs.shape
+    w, passive = np.zeros((b, p)), np.zeros((b, p), bool)
+    scale = np.maximum(1.0, np.abs(rhs).max(axis=1, initial=0.0))
+    open_, inner = np.ones(b, bool), np.zeros(b, bool)
+    for _ in range(30 * p + 30):
+        pick = np.flatnonzero(open_ & ~inner)
+        if len(pick):  # the weight that would gain most becomes free
+            gradient = rhs[pick] - np.einsum("bij,bj->bi", gram[pick], w[pick])
+            gradient[passive[pick]] = -np.inf
+            j = gradient.argmax(axis=1)
+            gains = gradient[np.arange(len(pick)), j] > tol * scale[pick]
+            open_[pick[~gains]] = False
+            passive[pick[gains], j[gains]] = True
+            inner[pick[gains]] = True
+        at = np.flatnonzero(inner)
+        if not len(at):
+            break
+        free = passive[at]
+        system = gram[at] * (free[:, :, None] & free[:, None, :])
+        z = (np.linalg.pinv(system, rcond=1e-13, hermitian=True) @ np.where(free, rhs[at], 0.0)[:, :, None])[:, :, 0]
+        z = np.where(free, z, 0.0)
+        bad = free & (z <= 0)
+        fine = ~bad.any(axis=1)
+        w[at[fine]] = z[fine]
+        inner[at[fine]] = False
+        at, free, z, bad = at[~fine], free[~fine], z[~fine], bad[~fine]
+        moving = bad & (w[at] > z)
+        step = np.where(moving, w[at] / np.where(moving, w[at] - z, 1.0), np.inf).min(axis=1, initial=np.inf)
+        step = np.where(np.isfinite(step), step, 0.0)[:, None]
+        moved = w[at] + step * (z - w[at])
+        stays = free & (moved > tol * np.maximum(1.0, moved.max(axis=1, initial=0.0))[:, None])
+        w[at], passive[at] = np.where(stays, moved, 0.0), stays
+        inner[at[~stays.any(axis=1)]] = False
+    gradient = rhs - np.einsum("bij,bj->bi", gram, w)
+    violation = np.where(w > 0, np.abs(gradient), np.maximum(gradient, 0.0)).max(axis=1, initial=0.0) / scale
+    return w, violation, ~open_
+
+
+_NNLS = T.StructType(
+    [
+        T.StructField("weights", T.ArrayType(T.DoubleType())),
+        T.StructField("kkt", T.DoubleType()),
+        T.StructField("settled", T.BooleanType()),
+    ]
+)
+
+
+@F.pandas_udf(_NNLS)
+def _solve_nnls(gram: pd.Series, rhs: pd.Series) -> pd.DataFrame:
+    if not len(rhs):
+        return pd.DataFrame({"weights": [], "kkt": [], "settled": []})
+    b = np.array([np.asarray(x, dtype=float) for x in rhs])
+    w, kkt, settled = nnls_stack(_symmetric(gram, b.shape[1]), b)
+    return pd.DataFrame({"weights": list(w), "kkt": kkt, "settled": settled})
 
 
 def fit_delay_weights(
@@ -493,7 +553,10 @@ def fit_delay_weights(
     shrink: bool = False,
     keys: Sequence[str] = (SERIES,),
 ) -> DataFrame:
-    """Non-negative delay weights y_t ≈ Σ w_k·x_{t−k} per series: (keys, n, weights array).
+    """Non-negative delay weights y_t ≈ Σ w_k·x_{t−k} per series: (keys, n, weights array, status, kkt).
+
+    *kkt* is the largest violation of the optimality conditions relative to the right side, *status*
+    one of ``optimal``, ``not settled``, ``no signal`` and ``ratio``; one series never ends the job.
 
     Lags come from one window, their products from one aggregate over the same
     partitioning, so there is no further exchange; only the (K+1)² system of each series
@@ -541,6 +604,39 @@ def fit_delay_weights(
         F.array(*[F.col(f"_g{i}_{j}") for i, j in _pairs(max_lag + 1)]).alias("_gram"),
         F.array(*[F.col(f"_r{k}") for k in lags]).alias("_rhs"),
     )
+    return _weights_of(stats, max_lag, cap, min_extra, shrink, keys)
+
+
+def fit_delay_weights_sparse(
+    cells: DataFrame,
+    upstream: str,
+    downstream: str,
+    low: Column,
+    high: Column,
+    max_lag: int = 6,
+    cap: float | None = 1.0,
+    min_extra: int = 4,
+    step_days: int = WEEK,
+    keys: Sequence[str] = (SERIES,),
+) -> DataFrame:
+    """``fit_delay_weights`` over a zero-filled calendar, from its stored cells only."""
+    terms = [*((upstream, k) for k in range(max_lag + 1)), (downstream, 0)]
+    products = lag_products(cells, terms, low, high, step_days=step_days, keys=keys)
+    stats = products.select(
+        *keys,
+        F.col("rows").cast("long").alias("n"),
+        F.col(f"_all_{upstream}").alias("_sx"),
+        F.col(f"_all_{downstream}").alias("_sy"),
+        F.array(*[F.col(f"_p{i}_{j}") for i, j in _pairs(max_lag + 1)]).alias("_gram"),
+        F.array(*[F.col(f"_p{k}_{max_lag + 1}") for k in range(max_lag + 1)]).alias("_rhs"),
+    )
+    return _weights_of(stats, max_lag, cap, min_extra, False, keys)
+
+
+def _weights_of(
+    stats: DataFrame, max_lag: int, cap: float | None, min_extra: int, shrink: bool, keys: Sequence[str]
+) -> DataFrame:
+    """(keys, n, weights, status, kkt) from packed products; rules as in ``fit_delay_weights``."""
     enough = F.lit(True) if shrink else F.col("n") > max_lag + min_extra
     signal = enough & (F.col("_sx") != 0) & (F.col("_sy") != 0)
     zeros = F.array_repeat(F.lit(0.0), max_lag + 1)
@@ -552,16 +648,23 @@ def fit_delay_weights(
             F.array_repeat(F.lit(0.0), max_lag),
         )
         weights = F.when((F.col("n") <= 2) & (F.col("_sx") > 0), ratio_only).otherwise(weights)
-    solved = stats.withColumn("weights", _solve_nnls("_gram", "_rhs")).withColumn(
-        "weights", weights
+    solved = stats.withColumn("_fit", _solve_nnls("_gram", "_rhs")).withColumns(
+        {
+            "weights": F.col("_fit.weights"),
+            "kkt": F.when(signal, F.col("_fit.kkt")),
+            "status": F.when(~signal, "no signal").when(F.col("_fit.settled"), "optimal").otherwise("not settled"),
+        }
     )
+    if shrink:
+        solved = solved.withColumn("status", F.when((F.col("n") <= 2) & (F.col("_sx") > 0), "ratio").otherwise(F.col("status")))
+    solved = solved.withColumn("weights", weights)
     if cap is not None:
         total = F.aggregate("weights", F.lit(0.0), lambda s, v: s + v)
         factor = F.when(total > cap, F.lit(cap) / total).otherwise(1.0)
         solved = solved.withColumn("_f", factor).withColumn(
             "weights", F.transform("weights", lambda v: v * F.col("_f"))
         )
-    return solved.select(*keys, "n", "weights")
+    return solved.select(*keys, "n", "weights", "status", "kkt")
 
 
 def weight_rows(fits: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame:

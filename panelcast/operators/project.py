@@ -375,6 +375,47 @@ def regression_feedback(
     )
 
 
+def project_autoregression(
+    rows: DataFrame,
+    model: DataFrame,
+    y: str,
+    exog: Mapping[str, Sequence[int]] | None = None,
+    p: int = 1,
+    name: str = "forecast",
+    keys: Sequence[str] = (SERIES,),
+) -> DataFrame:
+    """AR(p) with exogenous lags rolled over the horizon: (keys, h, period, *name*).
+
+    *rows* is history followed by future rows as ``extend`` makes them (``h`` is 0 on history), with
+    values of the exogenous columns in both; *model* comes from ``fit_autoregression`` with the same
+    lags.  The state is a ring of the last p own values: each step's forecast enters it and the oldest
+    value leaves.  Rows are steps, so history has to be dense.  A series without a model, or with a gap
+    among the values that a step needs, keeps its rows with NULL from that step on.
+    """
+    w = ordered(keys)
+    lags = [(c, k) for c, ks in (exog or {}).items() for k in ks]
+    own = F.array(*[F.lag(y, k).over(w).cast("double") for k in range(1, p + 1)])
+    inputs = F.array(*[F.lag(c, k).over(w).cast("double") for c, k in lags]) if lags else F.array().cast("array<double>")
+    future = rows.withColumns({"_ring": own, "_x": inputs}).filter(F.col("h") > 0)
+    steps = F.sort_array(F.collect_list(F.struct("h", PERIOD, "_x", F.when(F.col("h") == 1, F.col("_ring")).alias("_ring"))))
+    packed = future.groupBy(*keys).agg(steps.alias("_steps")).join(model.select(*keys, "intercept", "coef"), list(keys), "left")
+    row = f"struct<h:int,{PERIOD}:date,{name}:double>"
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+
+    def step(s: Column, x: Column) -> Column:
+        value = F.col("intercept") + dot(F.slice("coef", 1, p), s["ring"])
+        if lags:
+            value = value + dot(F.slice("coef", p + 1, len(lags)), x["_x"])
+        ring = F.slice(F.concat(F.array(value), s["ring"]), 1, p)
+        done = F.struct(x["h"].cast("int").alias("h"), x[PERIOD].alias(PERIOD), value.alias(name))
+        return F.struct(ring.alias("ring"), F.array_append(s["out"], done).alias("out"))
+
+    zero = F.struct(F.col("_steps")[0]["_ring"].alias("ring"), F.array().cast(f"array<{row}>").alias("out"))
+    return packed.select(*keys, F.inline(F.aggregate("_steps", zero, step)["out"]))
+
+
 def cap_outflow(
     df: DataFrame,
     demand: str,

@@ -13,8 +13,10 @@ from panelcast.operators.fit import (
     fit_autoregression,
     fit_boosted,
     fit_delay_weights,
+    fit_delay_weights_sparse,
     fit_line,
     fit_linear,
+    fit_linear_sparse,
     fit_pooled,
     fit_smoothing,
     flat_forecast,
@@ -38,6 +40,7 @@ from panelcast.operators.project import (
     lag_ratio_projection,
     log_residuals,
     opening_cohorts,
+    project_autoregression,
     regression_feedback,
     replay_last,
     smooth_weights,
@@ -62,11 +65,13 @@ from panelcast.plans.panels import (
     ORDERS_SQL,
     PARTS_SQL,
     WEIGHTS_SQL,
+    dense_orders,
     dense_parts,
     dense_sql,
     events_panel,
     line_weights,
     orders_panel,
+    parts_cells,
     parts_panel,
     table,
     weight_arrays,
@@ -109,6 +114,11 @@ def _lagged(spark, d):
     )
 
 
+def _cells(spark, d, y, terms):
+    cells, low, high = parts_cells(spark, d)
+    return cells, y, terms, low, high
+
+
 # --- regressions ------------------------------------------------------------------
 
 
@@ -159,11 +169,7 @@ def _(spark, d):
       {r("sse", "sse", 5)} FROM fit""",
 )
 def _(spark, d):
-    dense = dense_parts(spark, d)
-    rows = dense.withColumns(
-        {"x": F.lag("applications").over(ordered()), "t": trend().cast("double")}
-    )
-    fit = fit_linear(rows, "arrivals", ["x", "t"])
+    fit = fit_linear_sparse(*_cells(spark, d, "arrivals", [("applications", 1)]), trend=True)
     return rounded(
         fit.select(
             SERIES,
@@ -246,17 +252,106 @@ def _(spark, d):
     return rounded(predict_linear(design, model, xs).select(SERIES, PERIOD, "prediction"))
 
 
-@query("autoregression_long_m6")
-def _(spark, d):
-    model, design, xs = fit_autoregression(
-        dense_parts(spark, d),
-        "arrivals",
-        {"visas_issued": [1, 2, 3, 4], "applications": [1, 2]},
-        p=2,
-    )
+_LONG_TERMS = [
+    *(("arrivals", k) for k in (1, 2)),
+    *(("visas_issued", k) for k in (1, 2, 3, 4)),
+    *(("applications", k) for k in (1, 2)),
+]
+
+
+def elimination_sql(src: str, y: str, xs: list[str], name: str, tol: float = 1e-9) -> str:
+    """Least squares on any number of regressors: one CTE for each pivot of the covariances.
+
+    Row *i* holds what is left of regressor i after those before it; a regressor of which nothing is
+    left counts for nothing.  Back substitution then gives the coefficients.
+    """
+    p, cols = len(xs), [y, *xs]
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    g = lambda i, j: f"g{min(i, j)}_{max(i, j)}"
+    rows = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    n = "count(*)"
+    first = [
+        f"({n} * sum({cols[i]} * {cols[j]}) - sum({cols[i]}) * sum({cols[j]})) / ({n} * {n})::DOUBLE AS {g(i, j)}"
+        for i, j in pairs
+    ]
+    means = [f"avg({c}) AS m{i}" for i, c in enumerate(cols)]
+    out = [
+        f"{name}_0 AS (SELECT series, {n} AS n, {', '.join([*means, *first])} FROM {src} WHERE {rows} GROUP BY series)",
+        f"{name}_s AS (SELECT *, {', '.join(f'{g(k, k)} AS s{k}' for k in range(1, p + 1))} FROM {name}_0)",
+    ]
+    last = f"{name}_s"
+    for k in range(1, p + 1):
+        rest = [(i, j) for i, j in pairs if (i == 0 or i > k) and (j == 0 or j > k)]
+        kept = "".join(f", {g(k, i)} AS r{k}_{i}" for i in [0, *range(k + 1, p + 1)])
+        old = "".join(f", r{q}_{i}" for q in range(1, k) for i in [0, *range(q + 1, p + 1)])
+        pivots = "".join(f", d{q}" for q in range(1, k))
+        live = f"{g(k, k)} > {tol}::DOUBLE * s{k}"
+        sweep = ", ".join(f"{g(i, j)} - CASE WHEN {live} THEN {g(i, k)} * {g(k, j)} / {g(k, k)} ELSE 0 END AS {g(i, j)}" for i, j in rest)
+        stay = ", ".join([f"m{i}" for i in range(p + 1)] + [f"s{q}" for q in range(1, p + 1)])
+        out.append(f"{name}_{k} AS (SELECT series, n, {stay}{pivots}{old}{kept}, CASE WHEN {live} THEN {g(k, k)} END AS d{k}, {sweep} FROM {last})")
+        last = f"{name}_{k}"
+    for k in range(p, 0, -1):
+        after = "".join(f" - r{k}_{i} * b{i}" for i in range(k + 1, p + 1))
+        out.append(f"{name}_b{k} AS (SELECT *, CASE WHEN d{k} IS NULL THEN 0 ELSE (r{k}_0{after}) / d{k} END AS b{k} FROM {last})")
+        last = f"{name}_b{k}"
+    level = "".join(f" - b{i} * m{i}" for i in range(1, p + 1))
+    full = " AND ".join(f"d{k} IS NOT NULL" for k in range(1, p + 1))
+    out.append(f"{name} AS (SELECT *, m0{level} AS b0, greatest(0, n * g0_0) AS sse, {full} AS regular FROM {last})")
+    return ",\n".join(out)
+
+
+_LONG_SQL_TERMS = ", ".join(f"lag({c}, {k}) {_W} AS x{i}" for i, (c, k) in enumerate(_LONG_TERMS))
+
+
+@query(
+    "autoregression_long_m6",
+    f"""WITH {PARTS_SQL}, {dense_sql("px", "dense")}, l AS (SELECT series, arrivals AS y, {_LONG_SQL_TERMS} FROM dense),
+    {elimination_sql("l", "y", [f"x{i}" for i in range(len(_LONG_TERMS))], "fit")}
+    SELECT series, n, {r("b0", "intercept", 5)}, {r("sse", "sse", 5)} FROM fit""",
+)
+def _(spark, d):
+    model = fit_linear_sparse(*_cells(spark, d, "arrivals", _LONG_TERMS))
     return rounded(model.select(SERIES, "n", "intercept", "sse"), 5)
 
 
+@query(
+    "autoregression_forecast_m6",
+    f"""WITH RECURSIVE {ORDERS_SQL}, {dense_sql("po", "dense")}, hist AS (SELECT * FROM dense WHERE period <= DATE '{CUTOFF}'),
+    l AS (SELECT *, lag(arrivals) {_W} AS y1, lag(arrivals, 2) {_W} AS y2 FROM hist),
+    {two_regressor_sql("l", "arrivals", "y1", "y2", "fit")},
+    roll AS (SELECT f.series, 1 AS h, max(l.period) AS e, arg_max(l.arrivals, l.period) AS p1, arg_max(y1, l.period) AS p2,
+        any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2,
+        any_value(b0) + any_value(b1) * arg_max(l.arrivals, l.period) + any_value(b2) * arg_max(y1, l.period) AS y
+      FROM fit f JOIN l ON l.series = f.series GROUP BY f.series
+      UNION ALL SELECT series, h + 1, e, y, p1, b0, b1, b2, b0 + b1 * y + b2 * p1 FROM roll WHERE h < 13)
+    SELECT series, h, e + CAST(h * 7 AS INTEGER) AS period, {r("y", "forecast")} FROM roll""",
+)
+def _(spark, d):
+    history = dense_orders(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
+    model, _, _ = fit_autoregression(history, "arrivals", p=2)
+    return rounded(project_autoregression(extend(history, 13, {}), model, "arrivals", p=2))
+
+
+@query(
+    "autoregression_inputs_forecast_m6",
+    f"""WITH RECURSIVE {ORDERS_SQL}, {dense_sql("po", "dense")}, hist AS (SELECT * FROM dense WHERE period <= DATE '{CUTOFF}'),
+    l AS (SELECT *, lag(arrivals) {_W} AS a1, lag(visas_issued) {_W} AS v1,
+      avg(visas_issued) OVER ({_BY} ROWS 3 PRECEDING) AS ahead FROM hist),
+    {two_regressor_sql("l", "arrivals", "a1", "v1", "fit")},
+    last AS (SELECT series, max(period) AS e, arg_max(arrivals, period) AS y, arg_max(visas_issued, period) AS v,
+      arg_max(ahead, period) AS ahead FROM l GROUP BY series),
+    roll AS (SELECT f.series, 1 AS h, e, ahead, b0, b1, b2, b0 + b1 * y + b2 * v AS y FROM fit f JOIN last ON last.series = f.series
+      UNION ALL SELECT series, h + 1, e, ahead, b0, b1, b2, b0 + b1 * y + b2 * ahead FROM roll WHERE h < 13)
+    SELECT series, h, e + CAST(h * 7 AS INTEGER) AS period, {r("y", "forecast")} FROM roll""",
+)
+def _(spark, d):
+    history = dense_orders(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
+    inputs = {"visas_issued": [1]}
+    model, _, _ = fit_autoregression(history, "arrivals", inputs, p=1)
+    rows = extend(history, 13, {"visas_issued": rolling("visas_issued", 4)})
+    return rounded(project_autoregression(rows, model, "arrivals", inputs, p=1))
+
+
 @query(
     "model_choice_aicc_m7",
     f"""WITH {ORDERS_SQL}, s AS (SELECT series, arrivals AS y, row_number() {_W} AS t,
@@ -299,15 +394,45 @@ def _(spark, d):
     FROM c, range(0, 2) AS t(k)""",
 )
 def _(spark, d):
-    dense = dense_parts(spark, d)
-    return rounded(weight_rows(fit_delay_weights(dense, "applications", "arrivals", 1)))
+    cells, low, high = parts_cells(spark, d)
+    return rounded(weight_rows(fit_delay_weights_sparse(cells, "applications", "arrivals", low, high, 1)))
+
+
+def nonnegative_sql(src: str, y: str, xs: list[str], name: str, sweeps: int = 250) -> str:
+    """Non-negative least squares without intercept by sweeps of coordinate descent."""
+    p = range(len(xs))
+    g = lambda i, j: f"g{min(i, j)}_{max(i, j)}"
+    sums = [f"sum({xs[i]} * {xs[j]}) AS {g(i, j)}" for i in p for j in range(i, len(xs))]
+    sums += [f"sum({x} * {y}) AS r{i}" for i, x in enumerate(xs)]
+    step = f"SELECT * FROM {name}_w"
+    for k in p:
+        rest = " + ".join(f"{g(k, j)} * w{j}" for j in p if j != k)
+        step = f"SELECT * REPLACE (CASE WHEN {g(k, k)} > 0 THEN greatest(0, (r{k} - ({rest})) / {g(k, k)}) ELSE 0 END AS w{k}) FROM ({step})"
+    return f"""
+{name}_g AS (SELECT series, {", ".join(sums)} FROM {src} GROUP BY series),
+{name}_w AS (SELECT *, 0 AS sweep, {", ".join(f"0::DOUBLE AS w{k}" for k in p)} FROM {name}_g
+  UNION ALL SELECT * REPLACE (sweep + 1 AS sweep) FROM ({step}) WHERE sweep < {sweeps}),
+{name} AS (SELECT * FROM {name}_w WHERE sweep = {sweeps})"""
 
 
-@query("delay_weights_m8")
+_SIX = ", ".join(f"w{k}" for k in range(7))
+
+
+@query(
+    "delay_weights_m8",
+    f"""WITH RECURSIVE {PARTS_SQL}, {dense_sql("px", "dense")}, l AS (SELECT series, arrivals AS y,
+      {", ".join(f"lag(visas_issued, {k}) {_W} AS x{k}" for k in range(7))} FROM dense),
+    full_rows AS (SELECT * FROM l WHERE x6 IS NOT NULL), {nonnegative_sql("full_rows", "y", [f"x{k}" for k in range(7)], "fit")},
+    sums AS (SELECT series, count(*) AS n, sum(visas_issued) AS sx, sum(arrivals) AS sy FROM dense GROUP BY series),
+    u AS (SELECT fit.*, n, sx, sy, greatest(1, {_SIX.replace(",", " +")}) AS total
+      FROM fit JOIN sums ON sums.series = fit.series)
+    SELECT series, CAST(k AS INTEGER) AS k,
+      {r(f"CASE WHEN n <= 10 OR sx = 0 OR sy = 0 THEN 0 ELSE [{_SIX}][k + 1] / total END", "w", 9)}
+    FROM u, range(0, 7) AS t(k)""",
+)
 def _(spark, d):
-    dense = dense_parts(spark, d)
-    fits = fit_delay_weights(dense, "visas_issued", "arrivals", 6)
-    return rounded(weight_rows(fits))
+    cells, low, high = parts_cells(spark, d)
+    return rounded(weight_rows(fit_delay_weights_sparse(cells, "visas_issued", "arrivals", low, high, 6)), 9)
 
 
 @query("delay_weights_shrunk_m8")

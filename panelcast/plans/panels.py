@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.weeks import day, monday
@@ -116,6 +116,17 @@ def dense_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify(written_panel(spark, sf_dir, parts_panel), fill=0.0)
 
 
+def dense_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders panel with zeros in its empty weeks."""
+    return densify(written_panel(spark, sf_dir), fill=0.0)
+
+
+def parts_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
+    """The stored cells of the parts panel, and the first and last week of its calendar."""
+    cells = written_panel(spark, sf_dir, parts_panel)
+    return cells, cells.select(F.min(PERIOD)).scalar(), cells.select(F.max(PERIOD)).scalar()
+
+
 def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events")
