@@ -139,7 +139,9 @@ def backtest(
 
     *folds* is the long output of ``expanding_folds``.  A forecaster takes the training rows
     and the partition keys (series and fold) and returns (keys, fold, period, forecast);
-    all folds of all series run in one job because the fold is just another key.
+    all folds of all series run in one job because the fold is just another key.  Every test row counts
+    for every model; ``n_missing`` says how many of them a model has no forecast for.  Folds multiply the
+    training rows here; where a forecaster can be read off prefix statistics, use ``operators.folds``.
     """
     fold_keys = (*keys, "fold")
     train = folds.filter(F.col("role") == "train")
@@ -153,7 +155,16 @@ def backtest(
         for name, fn in forecasters.items()
     ]
     stacked = reduce(DataFrame.unionByName, parts)
-    return metrics(with_errors(test.join(stacked, [*fold_keys, PERIOD])), ("model", "fold"))
+    return score_folds(test, stacked, list(forecasters), fold_keys)
+
+
+def score_folds(tests: DataFrame, stacked: DataFrame, models: Sequence[str], fold_keys: Sequence[str]) -> DataFrame:
+    """Metrics per (model, fold), with the number of test rows that a model has no forecast for."""
+    asked = tests.withColumn("model", F.explode(F.array(*[F.lit(name) for name in models])))
+    joined = asked.join(stacked, [*fold_keys, PERIOD, "model"], "left")
+    keys = ["model", "fold"]
+    missing = joined.groupBy(*keys).agg(F.count_if(F.col("forecast").isNull()).alias("n_missing"))
+    return metrics(with_errors(joined), keys).join(missing, keys)
 
 
 def metric_columns(digits: int = 6) -> list[Column]:

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.operators.calendar import expanding_folds, recent
+from panelcast.operators.calendar import recent
 from panelcast.operators.evaluate import (
     accuracy,
-    backtest,
     mase_scale,
     metrics,
     over_horizon,
     scoreboard,
     with_errors,
 )
-from panelcast.operators.fit import fit_linear, fit_smoothing, predict_linear
+from panelcast.operators.folds import (
+    convolution,
+    fold_panel,
+    last_value,
+    prefix_backtest,
+    recent_mean,
+    smoothing,
+    trend_line,
+)
 from panelcast.operators.paths import (
     FIVE,
     OUTER,
@@ -25,23 +32,22 @@ from panelcast.operators.paths import (
     summarise_paths,
     total_paths,
 )
-from panelcast.operators.windows import difference, ordered, recent_level, rolling, trend
-from panelcast.operators.project import convolve, extend
-from panelcast.plans.catalog_models import _LONG_SQL, long_forecasts
+from panelcast.operators.windows import difference, ordered
+from panelcast.plans.catalog_models import _LONG_SQL, _SIX, long_forecasts, nonnegative_sql
 from panelcast.plans.catalog_tables import WALK_SQL, walk_of
 from panelcast.plans.panels import (
     CUTOFF,
     ORDERS_SQL,
     PATHS_SQL,
-    WEIGHTS_SQL,
+    dense_orders,
+    dense_sql,
     event_paths,
-    line_weights,
     table,
-    weight_arrays,
     written_panel,
 )
 from panelcast.plans.registry import query, r, rounded, rs
 from panelcast.schema import PERIOD, SERIES
+from panelcast.sources.tables import materialise
 
 _W = "OVER (PARTITION BY series ORDER BY period)"
 _N_SIMS = 100
@@ -256,60 +262,12 @@ def _(spark, d):
     return rounded(accuracy(_joined(panel), scale, ("model", SERIES)))
 
 
-def _last_value(train, keys):
-    level = train.groupBy(*keys).agg(F.max_by("arrivals", PERIOD).alias("forecast"))
-    return _over_test(level, train, keys)
-
-
-def _over_test(level, train, keys):
-    """A flat level over the 13 periods after each fold's training rows."""
-    last = train.groupBy(*keys).agg(F.max(PERIOD).alias("_last")).join(level, list(keys))
-    return last.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(13)))).withColumn(
-        PERIOD, F.date_add("_last", F.col("h") * 7)
-    )
-
-
-def _mean_of_four(train, keys):
-    level = recent_level(train, ["arrivals"], 4, keys=keys).withColumnRenamed("arrivals", "forecast")
-    return _over_test(level, train, keys)
-
-
-def _smoothing(train, keys):
-    fit = fit_smoothing(train, "arrivals", [0.1, 0.3, 0.5], keys=keys)
-    return _over_test(fit.withColumnRenamed("level", "forecast"), train, keys)
-
-
-def _trend_line(train, keys):
-    rows = train.withColumn("t", trend(ordered(keys)).cast("double"))
-    model = fit_linear(rows, "arrivals", ["t"], keys)
-    ends = rows.groupBy(*keys).agg(F.max(PERIOD).alias("_last"), F.max("t").alias("_t"))
-    future = ends.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(13)))).select(
-        *keys, F.date_add("_last", F.col("h") * 7).alias(PERIOD), (F.col("_t") + F.col("h")).alias("t")
-    )
-    return predict_linear(future, model, ["t"], keys, "forecast")
-
-
-def _convolution(weights):
-    def forecaster(train, keys):
-        w = ordered(keys)
-        rows = extend(
-            train.select(*keys, PERIOD, "applications"),
-            13,
-            {"applications": rolling("applications", 4, w=w)},
-            keys=keys,
-        )
-        out = convolve(rows, weights, "applications", 6, "forecast", keys, weight_keys=(SERIES,))
-        return out.filter(F.col("h") > 0)
-
-    return forecaster
-
-
 @query(
     "rolling_origin_backtest_e5",
-    f"""WITH RECURSIVE {ORDERS_SQL}, {WEIGHTS_SQL}, num AS (SELECT *, row_number() {_W} AS i,
-      count(*) OVER (PARTITION BY series) AS n FROM po),
+    f"""WITH RECURSIVE {ORDERS_SQL}, {dense_sql("po", "dense")},
+    num AS (SELECT *, row_number() {_W} AS i, count(*) OVER (PARTITION BY series) AS n FROM dense),
     folds AS (SELECT num.*, CAST(f AS INTEGER) AS fold, n - 8 + f - 1 AS te FROM num,
-      range(1, 5) AS g(f) WHERE i <= n - 8 + f - 1 + 13),
+      range(1, 5) AS g(f) WHERE i <= n - 8 + f - 1 + 13 AND n - 8 + f - 1 > 0),
     tr AS (SELECT *, te - i + 1 AS back FROM folds WHERE i <= te),
     te AS (SELECT series, fold, period, arrivals AS actual FROM folds WHERE i > te),
     lv AS (SELECT series, fold, max(period) AS last, arg_max(arrivals, i) AS walk,
@@ -323,11 +281,16 @@ def _convolution(weights):
       FROM sm JOIN tr ON tr.series = sm.series AND tr.fold = sm.fold AND tr.i = sm.i + 1),
     best AS (SELECT series, fold, level FROM (SELECT *, row_number() OVER (PARTITION BY series, fold
       ORDER BY sse, alpha) AS k FROM sm WHERE i = te) WHERE k = 1),
-    wide_w AS (SELECT series, list(w ORDER BY k) AS w FROM weights GROUP BY series),
+    lagged AS (SELECT series || '#' || fold AS series, arrivals AS y, i, applications AS x0,
+      {", ".join(f"lag(applications, {k}) OVER (PARTITION BY series, fold ORDER BY i) AS x{k}" for k in range(1, 7))} FROM tr),
+    full_rows AS (SELECT * FROM lagged WHERE i > 6), {nonnegative_sql("full_rows", "y", [f"x{k}" for k in range(7)], "fit", 2500)},
+    size AS (SELECT series, fold, count(*) AS n, sum(applications) AS sx, sum(arrivals) AS sy FROM tr GROUP BY 1, 2),
+    wide_w AS (SELECT s.series, s.fold, [CASE WHEN n > 10 AND sx <> 0 AND sy <> 0 THEN coalesce(x, 0) / greatest(1, {_SIX.replace(",", " +")})
+      ELSE 0 END FOR x IN [{_SIX}]] AS w FROM size s LEFT JOIN fit ON fit.series = s.series || '#' || s.fold),
     apps AS (SELECT series, fold, i, applications AS x FROM tr UNION ALL
       SELECT lv.series, lv.fold, t + h, apps4 FROM lv, range(1, 14) AS g(h)),
-    conv AS (SELECT a.series, a.fold, a.i, sum(coalesce(wide_w.w[k + 1], 0) * b.x) AS y
-      FROM apps a JOIN wide_w ON wide_w.series = a.series, range(0, 7) AS g(k)
+    conv AS (SELECT a.series, a.fold, a.i, sum(wide_w.w[k + 1] * b.x) AS y
+      FROM apps a JOIN wide_w ON wide_w.series = a.series AND wide_w.fold = a.fold, range(0, 7) AS g(k)
       JOIN apps b ON b.series = a.series AND b.fold = a.fold AND b.i = a.i - k GROUP BY 1, 2, 3),
     fc AS (SELECT lv.*, CAST(h AS INTEGER) AS h, last + CAST(h * 7 AS INTEGER) AS period, level
       FROM lv JOIN best ON best.series = lv.series AND best.fold = lv.fold, range(1, 14) AS g(h)),
@@ -337,21 +300,22 @@ def _convolution(weights):
       UNION ALL SELECT 'trend', series, fold, period, a + b * (t + h) FROM fc
       UNION ALL SELECT 'convolution', fc.series, fc.fold, period, y FROM fc JOIN conv
         ON conv.series = fc.series AND conv.fold = fc.fold AND conv.i = fc.t + fc.h),
-    joined AS (SELECT long.*, actual FROM long JOIN te ON te.series = long.series
-      AND te.fold = long.fold AND te.period = long.period), {_ERRORS.format(src="joined")},
-    m AS (SELECT model, fold, {_METRICS} FROM errors GROUP BY model, fold)
-    SELECT model, fold, n_forecasts, {rs("mae", "rmse", "bias", "mape")} FROM m""",
+    models AS (SELECT unnest(['walk', 'mean4', 'smoothing', 'trend', 'convolution']) AS model),
+    joined AS (SELECT m.model, te.*, forecast FROM te CROSS JOIN models m LEFT JOIN long ON long.series = te.series
+      AND long.fold = te.fold AND long.period = te.period AND long.model = m.model), {_ERRORS.format(src="joined")},
+    m AS (SELECT model, fold, {_METRICS}, count(*) - count(forecast) AS n_missing FROM errors GROUP BY model, fold)
+    SELECT model, fold, n_forecasts, {rs("mae", "rmse", "bias", "mape", digits=5)}, n_missing FROM m""",
 )
 def _(spark, d):
-    folds = expanding_folds(written_panel(spark, d), 4, 13)
+    folds = fold_panel(materialise(dense_orders(spark, d)), "arrivals", 4, 13)
     forecasters = {
-        "walk": _last_value,
-        "mean4": _mean_of_four,
-        "smoothing": _smoothing,
-        "trend": _trend_line,
-        "convolution": _convolution(weight_arrays(line_weights(spark, d))),
+        "walk": last_value,
+        "mean4": recent_mean,
+        "smoothing": lambda f: smoothing(f, [0.1, 0.3, 0.5]),
+        "trend": trend_line,
+        "convolution": lambda f: convolution(f, "applications", 6),
     }
-    return rounded(backtest(folds, forecasters, "arrivals"))
+    return rounded(prefix_backtest(folds, forecasters), 5)
 
 
 def _scores_sql(src: str) -> str:
