@@ -7,8 +7,10 @@ an estimate of the Jaccard similarity of the shingle sets.  Equal texts have equ
 Near duplicates: signatures are cut into bands; sets that agree in a band and share 80 percent of
 their union are linked, and the classes are the components of all links.  Each set is first compared
 with the least of its band, which is linear in a band's size and settles most bands.  In a band whose
-sets are of several classes after that, and after a few more leaders, all pairs across classes are looked at: sizes and parities
-(exact bounds of the common part) rule out nearly all that do not link, the others are compared.
+sets are of several classes after that, and after a few more leaders, the rest is settled within the band:
+sizes and parities (exact bounds of the common part) tell which pairs across classes may link, only the
+sets of such pairs travel, and a pair is compared where its sets are of different classes still.  What
+leaves a band is a row for each set that may link, then a row for each link that joins two classes.
 
 The edited text of a row ends with the beginning of the next row's text in descending order of
 doc_id (equal ids: by text).  Rows are range-partitioned by doc_id into parts of bounded bytes and
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import arrays
-from panelcast.llm.shingles import WIDTH, linked, needed_sets, whole
+from panelcast.llm.shingles import WIDTH, common, linked, needed_sets, whole
 from panelcast.llm.tables import forest, rooted, share
 from panelcast.sources.tables import materialise
 
@@ -247,8 +249,27 @@ def open_pairs(size: np.ndarray, label: np.ndarray, odd: list[bytes], hot=None):
                 yield some[i], some[j]
 
 
-def rest_pairs(table: DataFrame, state: DataFrame) -> DataFrame:
-    """(a, b): the pairs of sets that agree in a band, are of different components of *state* and may link."""
+class Classes:
+    """Classes of numbered items that grow together."""
+
+    def __init__(self, label: np.ndarray):
+        _, first, back = np.unique(label, return_index=True, return_inverse=True)
+        self.up = first[back].tolist()
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.up[self.find(i)] = self.find(j)
+
+
+def rest_links(docs: DataFrame, table: DataFrame, state: DataFrame) -> DataFrame:
+    """(a, b): links of sets that agree in a band and are of different components of *state*.
+
+    Not every link, but enough that the classes of each band are those of all its links.
+    """
     keyed = _labelled(_keyed(table), state)
     mixed = keyed.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     facts = table.where("set_id <> 0").groupBy("set_id").agg(F.first("size").alias("size"), F.first("odd").alias("odd"))
@@ -262,16 +283,35 @@ def rest_pairs(table: DataFrame, state: DataFrame) -> DataFrame:
     columns = ["band", "value", "hot", "part", "set_id", "label"]
     both = plain.withColumns({"hot": F.lit(None).cast("long"), "part": F.lit(0)}).select(columns).union(dealt.select(columns))
 
-    def body(group):
-        name, label = (group[c].to_numpy() for c in ("set_id", "label"))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in open_pairs(group["size"].to_numpy(), label, group["odd"].to_pylist(), group["hot"][0].as_py()):
-            left.append(name[i])
-            right.append(np.full(len(i), name[j]))
-        u, v = np.concatenate(left), np.concatenate(right)
-        return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v)})
-
-    return both.join(facts, "set_id").groupBy("band", "value", "hot", "part").applyInArrow(body, "a long, b long").distinct()
+    def pairs(group):
+        return open_pairs(group["size"].to_numpy(), group["label"].to_numpy(), group["odd"].to_pylist(), group["hot"][0].as_py())
+
+    def able(group):
+        met = np.zeros(len(group), bool)
+        for i, j in pairs(group):
+            met[i] = met[j] = True
+        return group.filter(pa.array(met))
+
+    def verified(group):
+        name, classes = group["set_id"].to_numpy(), Classes(group["label"].to_numpy())
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["members"].combine_chunks()]
+        left, right = [], []
+        for many, j in pairs(group):
+            for i in many.tolist():
+                if classes.find(i) != classes.find(j):
+                    n = common(sets[i], sets[j])
+                    if 100 * n >= PERCENT * (len(sets[i]) + len(sets[j]) - n):
+                        classes.join(i, j)
+                        left.append(name[i])
+                        right.append(name[j])
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    groups = ("band", "value", "hot", "part")
+    kind = "band int, value binary, hot long, part int, set_id long, label long, size long, odd binary"
+    some = both.join(facts, "set_id").select(*columns, "size", "odd").groupBy(*groups).applyInArrow(able, kind)
+    some = materialise(some)
+    members = needed_sets(docs, some.select("set_id").distinct())
+    return some.join(members, "set_id").groupBy(*groups).applyInArrow(verified, "a long, b long")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -283,7 +323,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     least = table.where("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     state = forest(_linked(docs, band_pairs(table)))
     state = forest(_linked(docs, more_band_pairs(table, state)), state)
-    state = forest(_linked(docs, rest_pairs(table, state)), state)
+    state = forest(rest_links(docs, table, state), state)
     of = least.join(rooted(state).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     near = of.join(of.groupBy("root").agg(F.min("least").alias("near_id")), "root").select("set_id", "near_id")
     hex_ = lambda c: F.lower(F.hex(c))
