@@ -48,6 +48,7 @@ from panelcast.operators.project import (
     stock_flow,
     weight_summary,
 )
+from panelcast.operators.trees import fit_trees, predict_trees
 from panelcast.operators.windows import (
     backlog,
     lag_columns,
@@ -79,6 +80,7 @@ from panelcast.plans.panels import (
 )
 from panelcast.plans.registry import query, r, rounded, rs
 from panelcast.schema import PERIOD, SERIES, STAGES
+from panelcast.sources.tables import materialise
 
 _BY = "PARTITION BY series ORDER BY period"
 _W = f"OVER ({_BY})"
@@ -190,6 +192,48 @@ def _(spark, d):
     return model.transform(rows).select(SERIES, PERIOD, "arrivals", "prediction")
 
 
+_TREE_XS = ["v1", "v2", "a1", "t"]
+
+
+def stump_sql(src: str, y: str, xs: list[str], name: str) -> str:
+    """The best single cut of residuals *y* over all features, and what is left after 0.1 of its leaves."""
+    values = " UNION ALL ".join(f"SELECT {i} AS feature, {x}::DOUBLE AS value, {y} AS r FROM {src} WHERE {x} IS NOT NULL" for i, x in enumerate(xs))
+    value = "CASE feature " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(xs)) + " END"
+    return f"""
+{name}_v AS (SELECT feature, value, count(*) AS n, sum(r) AS r FROM ({values}) GROUP BY 1, 2),
+{name}_c AS (SELECT *, sum(n) OVER w AS nl, sum(r) OVER w AS rl, sum(n) OVER (PARTITION BY feature) AS nn,
+  sum(r) OVER (PARTITION BY feature) AS rr FROM {name}_v WINDOW w AS (PARTITION BY feature ORDER BY value)),
+{name}_g AS (SELECT feature, value AS threshold, round(rl * rl / nl + (rr - rl) * (rr - rl) / (nn - nl) - rr * rr / nn, 9) AS gain
+  FROM {name}_c WHERE nl < nn),
+{name}_b AS (SELECT * FROM {name}_g WHERE gain > 0 ORDER BY gain DESC, feature, threshold LIMIT 1),
+{name}_s AS (SELECT s.*, coalesce({value} <= threshold, false) AS goes_left FROM {src} s, {name}_b),
+{name} AS (SELECT * EXCLUDE ({y}, goes_left), {y} - 0.1::DOUBLE * avg({y}) OVER (PARTITION BY goes_left) AS {y} FROM {name}_s)"""
+
+
+@query(
+    "boosted_stumps_m3",
+    f"""WITH {ORDERS_SQL}, {_LAGGED}, r0 AS (SELECT series, period, arrivals, v1, v2, a1, t,
+      arrivals - avg(arrivals) OVER () AS r FROM lagged), {stump_sql("r0", "r", _TREE_XS, "s1")},
+    {stump_sql("s1", "r", _TREE_XS, "s2")}
+    SELECT series, period, {r("arrivals - r", "prediction")} FROM s2""",
+)
+def _(spark, d):
+    rows = materialise(_lagged(spark, d))
+    model = fit_trees(rows, "arrivals", _TREE_XS, rounds=2, depth=1)
+    return rounded(predict_trees(rows, model, _TREE_XS, 2, 1).select(SERIES, PERIOD, "prediction"))
+
+
+@query("boosted_forecast_m3")
+def _(spark, d):
+    history = dense_orders(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
+    ahead = extend(history, 13, {"visas_issued": rolling("visas_issued", 4), "applications": rolling("applications", 4)})
+    features = lag_columns(["visas_issued", "applications"], [1, 2]) | {"t": trend().cast("double")}
+    rows = materialise(ahead.withColumns(features))
+    xs = [c for c in features]
+    model = fit_boosted(rows.filter("h = 0"), "arrivals", xs)
+    return model.transform(rows.filter("h > 0")).select(SERIES, "h", PERIOD, "prediction")
+
+
 _BOUNDS = ("forecast", "lo80", "hi80", "lo95", "hi95")
 
 
@@ -233,7 +277,17 @@ def _(spark, d):
     )
 
 
-@query("smoothing_free_start_m5")
+@query(
+    "smoothing_free_start_m5",
+    f"""WITH {PARTS_SQL}, {dense_sql("px", "dense")}, ys AS (SELECT series, list(applications ORDER BY period) AS y FROM dense GROUP BY series),
+    al AS (SELECT unnest({list(_ALPHAS)})::DOUBLE AS alpha),
+    st AS (SELECT series, alpha, len(y) AS n, list_reduce(list_prepend([0, 1, 0, 0, 0]::DOUBLE[], list_transform(y, lambda v: [v])),
+      lambda s, x: [s[1] + alpha * (x[1] - s[1]), s[2] * (1 - alpha), s[3] + (x[1] - s[1]) * (x[1] - s[1]),
+                    s[4] + (x[1] - s[1]) * s[2], s[5] + s[2] * s[2]]) AS s FROM ys, al),
+    fit AS (SELECT series, alpha, n, s[1] + s[2] * s[4] / s[5] AS level, s[3] - s[4] * s[4] / s[5] AS sse FROM st)
+    SELECT series, alpha, {r("level")}, {r("sse")}, n FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY sse, alpha) AS k
+      FROM fit) WHERE k = 1""",
+)
 def _(spark, d):
     dense = dense_parts(spark, d)
     return rounded(fit_smoothing(dense, "applications", _ALPHAS, start="optimal"))
