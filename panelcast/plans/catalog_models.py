@@ -368,22 +368,29 @@ def _(spark, d):
     return rounded(model.select(SERIES, "n", "intercept", "sse"), 5)
 
 
-@query(
-    "autoregression_forecast_m6",
-    f"""WITH RECURSIVE {ORDERS_SQL}, {dense_sql("po", "dense")}, hist AS (SELECT * FROM dense WHERE period <= DATE '{CUTOFF}'),
+#: AR(2) of the dense orders panel up to the cutoff, rolled forward: ``roll`` has series, h, e and y.
+AR_SQL = f"""hist AS (SELECT * FROM dense WHERE period <= DATE '{CUTOFF}'),
     l AS (SELECT *, lag(arrivals) {_W} AS y1, lag(arrivals, 2) {_W} AS y2 FROM hist),
     {two_regressor_sql("l", "arrivals", "y1", "y2", "fit")},
     roll AS (SELECT f.series, 1 AS h, max(l.period) AS e, arg_max(l.arrivals, l.period) AS p1, arg_max(y1, l.period) AS p2,
         any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2,
         any_value(b0) + any_value(b1) * arg_max(l.arrivals, l.period) + any_value(b2) * arg_max(y1, l.period) AS y
       FROM fit f JOIN l ON l.series = f.series GROUP BY f.series
-      UNION ALL SELECT series, h + 1, e, y, p1, b0, b1, b2, b0 + b1 * y + b2 * p1 FROM roll WHERE h < 13)
+      UNION ALL SELECT series, h + 1, e, y, p1, b0, b1, b2, b0 + b1 * y + b2 * p1 FROM roll WHERE h < 13)"""
+
+
+def autoregression_forecast(history):
+    model, _, _ = fit_autoregression(history, "arrivals", p=2)
+    return project_autoregression(extend(history, 13, {}), model, "arrivals", p=2)
+
+
+@query(
+    "autoregression_forecast_m6",
+    f"""WITH RECURSIVE {ORDERS_SQL}, {dense_sql("po", "dense")}, {AR_SQL}
     SELECT series, h, e + CAST(h * 7 AS INTEGER) AS period, {r("y", "forecast")} FROM roll""",
 )
 def _(spark, d):
-    history = dense_orders(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
-    model, _, _ = fit_autoregression(history, "arrivals", p=2)
-    return rounded(project_autoregression(extend(history, 13, {}), model, "arrivals", p=2))
+    return rounded(autoregression_forecast(dense_orders(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))))
 
 
 @query(

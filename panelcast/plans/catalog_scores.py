@@ -13,6 +13,8 @@ from panelcast.operators.evaluate import (
     scoreboard,
     with_errors,
 )
+from panelcast.operators.aggregate import TOTAL
+from panelcast.operators.fit import flat_forecast, random_walk
 from panelcast.operators.folds import (
     convolution,
     fold_panel,
@@ -32,8 +34,15 @@ from panelcast.operators.paths import (
     summarise_paths,
     total_paths,
 )
-from panelcast.operators.windows import difference, ordered
-from panelcast.plans.catalog_models import _LONG_SQL, _SIX, long_forecasts, nonnegative_sql
+from panelcast.operators.windows import difference, ordered, recent_level
+from panelcast.plans.catalog_models import (
+    _LONG_SQL,
+    _SIX,
+    AR_SQL,
+    autoregression_forecast,
+    long_forecasts,
+    nonnegative_sql,
+)
 from panelcast.plans.catalog_tables import WALK_SQL, walk_of
 from panelcast.plans.panels import (
     CUTOFF,
@@ -47,6 +56,7 @@ from panelcast.plans.panels import (
 )
 from panelcast.plans.registry import query, r, rounded, rs
 from panelcast.schema import PERIOD, SERIES
+from panelcast.sources.adapters import ForecastShape, adapt_forecast
 from panelcast.sources.tables import materialise
 
 _W = "OVER (PARTITION BY series ORDER BY period)"
@@ -330,12 +340,74 @@ SELECT scope, model, n_forecasts, {rs("mae", "rmse", "bias", "mape")},
 FROM m"""
 
 
-@query("scoreboard_e6", f"WITH {ORDERS_SQL}, {_LONG_SQL}, {_scores_sql('fc')}")
+@query("scoreboard_of_series_e6", f"WITH {ORDERS_SQL}, {_LONG_SQL}, {_scores_sql('fc')}")
 def _(spark, d):
     panel = written_panel(spark, d)
     return rounded(scoreboard([long_forecasts(panel)], _actuals(panel), keys=(SERIES,)))
 
 
+def forecast_tables(panel):
+    """Six forecasters of the weekly total, each in a table of its own shape: (table, how it is written).
+
+    Dated, undated, a running total, several rows a date (twice), and one whose dates are lost.
+    """
+    history = panel.filter(F.col(PERIOD) <= F.lit(CUTOFF))
+    total = history.groupBy(PERIOD).agg(F.sum("arrivals").alias("arrivals")).withColumn(SERIES, F.lit(TOTAL))
+    walk = random_walk(total, "arrivals", 13).select(F.col(PERIOD).alias("Week ending"), F.col("forecast").alias("Point"), "lo80", "hi80")
+    mean4 = flat_forecast(recent_level(total, ["arrivals"], 4), total, 13, "arrivals")
+    overall = flat_forecast(total.groupBy(SERIES).agg(F.avg("arrivals").alias("level")), total, 13)
+    level8 = flat_forecast(recent_level(history, ["arrivals"], 8), history, 13, "arrivals")
+    lost = walk.select(F.lit(None).cast("date").alias("data"), "Point")
+    return [
+        (walk, ForecastShape("walk", "Point", period="Week ending", bounds=(("lo80", "lo80"), ("hi80", "hi80")))),
+        (mean4.select("h", F.col("forecast").alias("mean")), ForecastShape("mean4", "mean", ordinal="h")),
+        (
+            overall.select(F.col(PERIOD).alias("Week"), (F.col("forecast") * F.col("h")).alias("Total")),
+            ForecastShape("running", "Total", period="Week", cumulative=True),
+        ),
+        (level8.withColumnRenamed("forecast", "Expected"), ForecastShape("by_series", "Expected", period=PERIOD, additive=True)),
+        (autoregression_forecast(history), ForecastShape("autoregression", "forecast", period=PERIOD, additive=True)),
+        (lost, ForecastShape("lost_dates", "Point", period="data")),
+    ]
+
+
+_TABLES_SQL = f"""{dense_sql("po", "dense")}, {AR_SQL},
+    tot AS (SELECT period, sum(arrivals) AS y FROM hist GROUP BY period),
+    st AS (SELECT arg_max(y, period) AS walk, max(period) AS e, avg(y) AS level FROM tot),
+    m4 AS (SELECT avg(y) AS m FROM (SELECT y FROM tot ORDER BY period DESC LIMIT 4)),
+    m8 AS (SELECT sum(m) AS m FROM (SELECT avg(arrivals) AS m FROM (SELECT *, row_number() OVER (PARTITION BY series
+      ORDER BY period DESC) AS i FROM hist) WHERE i <= 8 GROUP BY series)),
+    hs AS (SELECT CAST(h AS INTEGER) AS h, e + CAST(h * 7 AS INTEGER) AS period, walk, level FROM st, range(1, 14) AS g(h)),
+    fc AS (SELECT 'walk' AS model, period, walk AS forecast FROM hs
+      UNION ALL SELECT 'mean4', period, m FROM hs, m4
+      UNION ALL SELECT 'running', period, level FROM hs
+      UNION ALL SELECT 'by_series', period, m FROM hs, m8
+      UNION ALL SELECT 'autoregression', e + CAST(h * 7 AS INTEGER), sum(y) FROM roll GROUP BY 2
+      UNION ALL SELECT 'lost_dates', NULL, walk FROM hs),
+    joined AS (SELECT fc.*, actual FROM fc LEFT JOIN (SELECT period, sum(arrivals) AS actual FROM dense GROUP BY period) a
+      ON a.period = fc.period)"""
+
+
+@query(
+    "scoreboard_e6",
+    f"""WITH RECURSIVE {ORDERS_SQL}, {_TABLES_SQL}, {_ERRORS.format(src="joined")},
+    t AS (SELECT model, CASE WHEN count(*) = count(forecast) THEN sum(forecast) END AS forecast,
+      CASE WHEN count(*) = count(actual) THEN sum(actual) END AS actual FROM joined GROUP BY model),
+    {_ERRORS.replace("errors AS", "t_errors AS").format(src="t")},
+    m AS (SELECT 'period' AS scope, model, {_METRICS} FROM errors GROUP BY model
+      UNION ALL SELECT 'horizon', model, {_METRICS} FROM t_errors GROUP BY model)
+    SELECT scope, model, n_forecasts, {rs("mae", "rmse", "bias", "mape")},
+      CAST(row_number() OVER (PARTITION BY scope ORDER BY mae ASC NULLS LAST, model) AS INTEGER) AS rank
+    FROM m""",
+)
+def _(spark, d):
+    panel = materialise(dense_orders(spark, d))
+    weeks = panel.filter(F.col(PERIOD) > F.lit(CUTOFF)).select(PERIOD).distinct()
+    adapted = [adapt_forecast(table, shape, weeks) for table, shape in forecast_tables(panel)]
+    actual = panel.groupBy(PERIOD).agg(F.sum("arrivals").alias("actual"))
+    return rounded(scoreboard(adapted, actual))
+
+
 @query(
     "scoreboard_common_horizon_e6",
     f"""WITH {ORDERS_SQL}, {_LONG_SQL},

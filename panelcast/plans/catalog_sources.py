@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.operators.aggregate import profile
+from panelcast.operators.ranges import running_sums
 from panelcast.operators.windows import running_total, trend
 from panelcast.plans.panels import (
     CUTOFF,
@@ -65,16 +66,7 @@ def _(spark, d):
     undated = late.select(SERIES, "applications", trend().alias("step"))
     total = late.groupBy(PERIOD).agg(F.sum("arrivals").alias("n"))
     # one vector without series: weekly totals, then their running total over the weeks
-    so_far = (
-        total.agg(F.sort_array(F.collect_list(F.struct(PERIOD, "n"))).alias("v"))
-        .select(F.posexplode("v").alias("i", "x"), "v")
-        .select(
-            F.col(f"x.{PERIOD}").alias("Week"),
-            F.aggregate(
-                F.slice("v", F.lit(1), F.col("i") + 1), F.lit(0.0), lambda s, x: s + x["n"]
-            ).alias("Running"),
-        )
-    )
+    so_far = running_sums(total, [], [PERIOD], ["n"]).select(F.col(PERIOD).alias("Week"), F.col("n_upto").alias("Running"))
     parts = [
         adapt_forecast(
             dated, ForecastShape("dated", "Issued.total", period="Week ending", series=SERIES)

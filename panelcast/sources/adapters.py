@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.joins import positional_join
+from panelcast.operators.ranges import previous
 from panelcast.operators.windows import decumulate
 from panelcast.schema import PERIOD, SERIES
 
@@ -33,21 +34,12 @@ class ForecastShape:
     bounds: tuple[tuple[str, str], ...] = ()
 
 
-def _increments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Running totals → increments for a single vector, one entry per period of the horizon."""
-    packed = df.agg(F.sort_array(F.collect_list(F.struct(PERIOD, *columns))).alias("_v"))
-    steps = F.transform(
-        "_v",
-        lambda x, i: F.struct(
-            x[PERIOD].alias(PERIOD),
-            (
-                x["forecast"]
-                - F.when(i > 0, F.get("_v", i - 1)["forecast"]).otherwise(F.lit(0.0))
-            ).alias("forecast"),
-            *[x[c].alias(c) for c in columns if c != "forecast"],
-        ),
-    )
-    return packed.select(F.inline(steps))
+def _increments(df: DataFrame) -> DataFrame:
+    """Running totals → increments for a single vector of any length: each range of periods goes on
+    from the last value of the range before.  A row without a period stays as it is."""
+    dated = previous(df.filter(F.col(PERIOD).isNotNull()), [], [PERIOD], "forecast", "_before")
+    steps = dated.withColumn("forecast", F.col("forecast") - F.coalesce("_before", F.lit(0.0))).drop("_before")
+    return steps.unionByName(df.filter(F.col(PERIOD).isNull()))
 
 
 def adapt_forecast(
@@ -76,7 +68,7 @@ def adapt_forecast(
         out = (
             decumulate(out, "forecast", keys)
             if keys
-            else _increments(out, ["forecast", *bound_names])
+            else _increments(out)
         )
     return out.select(F.lit(shape.model).alias("model"), *keys, PERIOD, "forecast", *bound_names)
 
