@@ -163,8 +163,11 @@ def hold_out_fraction(
     )
 
 
-def recent(df: DataFrame, n: int, keys: Sequence[str] = (SERIES,)) -> DataFrame:
-    """Only the last *n* periods of each series."""
+def recent(df: DataFrame, n: int, keys: Sequence[str] = (SERIES,), step_days: int | None = None) -> DataFrame:
+    """Only the last *n* rows of each series or, with *step_days*, those of its last *n* periods."""
+    if step_days:
+        last = F.max(PERIOD).over(Window.partitionBy(*keys))
+        return df.withColumn("_from", F.date_sub(last, n * step_days)).filter(F.col(PERIOD) > F.col("_from")).drop("_from")
     return (
         df.withColumn("_rank", F.row_number().over(_newest_first(keys)))
         .filter(F.col("_rank") <= n)

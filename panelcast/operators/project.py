@@ -169,16 +169,18 @@ def extend(
 def replay_last(
     df: DataFrame, h: int, columns: Sequence[str], step_days: int = WEEK, keys: Sequence[str] = (SERIES,)
 ) -> DataFrame:
-    """Future rows that repeat the last *h* observed ones in order: (keys, h, period, columns)."""
-    newest = Window.partitionBy(*keys).orderBy(F.col(PERIOD).desc())
-    rank = F.row_number().over(newest)
+    """Future periods that repeat the last *h* ones of the calendar: (keys, h, period, columns).
+
+    Step k takes the values of *h* steps before it, null where that period has no row.
+    """
     end = F.max(PERIOD).over(whole(keys))
-    have = F.least(F.lit(h), F.count(F.lit(1)).over(whole(keys)))
-    return (
-        df.withColumns({"_rank": rank, "_end": end, "_have": have})
-        .filter(F.col("_rank") <= h)
-        .withColumn("h", (F.col("_have") - F.col("_rank") + 1).cast("int"))
-        .select(*keys, "h", F.date_add("_end", F.col("h") * step_days).alias(PERIOD), *columns)
+    late = df.withColumn("_end", end).withColumn("_k", h - F.datediff("_end", PERIOD) / step_days)
+    late = late.filter(F.col("_k") > 0)
+    at = F.map_from_entries(F.collect_list(F.struct(F.col("_k").cast("int"), F.struct(*columns))))
+    packed = late.groupBy(*keys).agg(F.first("_end").alias("_end"), at.alias("_at"))
+    steps = packed.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(h)))).withColumn("_v", F.try_element_at("_at", F.col("h")))
+    return steps.select(
+        *keys, "h", F.date_add("_end", F.col("h") * step_days).alias(PERIOD), *[F.col(f"_v.{c}").alias(c) for c in columns]
     )
 
 

@@ -2,6 +2,10 @@
 
 Build several of them in one ``withColumns``: features with the same partitioning share
 one exchange and one sort.  Rows are periods, so a partition is at most the calendar.
+
+Lags count rows, which is right on a dense panel.  With *step_days* they count periods of the calendar
+instead: a frame over day numbers finds the row exactly k steps before, and a missing period is a
+missing lag.  That needs no densified panel.
 """
 
 from __future__ import annotations
@@ -24,21 +28,38 @@ def whole(keys: Sequence[str] = (SERIES,)) -> WindowSpec:
     return Window.partitionBy(*keys)
 
 
+def by_day(keys: Sequence[str] = (SERIES,)) -> WindowSpec:
+    """Rows of a series by day number, for frames that count days."""
+    return Window.partitionBy(*keys).orderBy(F.unix_date(PERIOD))
+
+
+def at_lag(c: ColumnLike, k: int, step_days: int, keys: Sequence[str] = (SERIES,)) -> Column:
+    """The value exactly *k* steps of the calendar before (after, if negative); null where there is no row."""
+    return F.max(_col(c)).over(by_day(keys).rangeBetween(-k * step_days, -k * step_days))
+
+
 def lag_columns(
     columns: Sequence[str],
     lags: Sequence[int],
     name: str = "{col}_lag{k}",
     w: WindowSpec | None = None,
+    step_days: int | None = None,
 ) -> dict[str, Column]:
     """Lags of many columns; *name* may use {col} and {k}."""
     w = w or ordered()
-    return {name.format(col=c, k=k): F.lag(c, k).over(w) for c in columns for k in lags}
+    lag = (lambda c, k: at_lag(c, k, step_days)) if step_days else (lambda c, k: F.lag(c, k).over(w))
+    return {name.format(col=c, k=k): lag(c, k) for c in columns for k in lags}
 
 
-def lag_or(c: ColumnLike, k: int, default: ColumnLike | float, w: WindowSpec | None = None) -> Column:
-    """Lag with a default for the first k rows only (a stored null stays null)."""
+def lag_or(
+    c: ColumnLike, k: int, default: ColumnLike | float, w: WindowSpec | None = None, step_days: int | None = None
+) -> Column:
+    """Lag with a default for the first k rows or periods only (a stored null stays null)."""
     w = w or ordered()
     d = F.lit(default) if isinstance(default, (int, float)) else _col(default)
+    if step_days:
+        age = F.unix_date(PERIOD) - F.min(F.unix_date(PERIOD)).over(whole())
+        return F.when(age < k * step_days, d).otherwise(at_lag(c, k, step_days))
     return F.when(F.row_number().over(w) <= k, d).otherwise(F.lag(_col(c), k).over(w))
 
 
@@ -50,15 +71,15 @@ def lead(c: ColumnLike, k: int = 1, w: WindowSpec | None = None) -> Column:
     return F.lead(_col(c), k).over(w or ordered())
 
 
-def difference(c: ColumnLike, k: int = 1, w: WindowSpec | None = None) -> Column:
+def difference(c: ColumnLike, k: int = 1, w: WindowSpec | None = None, step_days: int | None = None) -> Column:
     c = _col(c)
-    return c - F.lag(c, k).over(w or ordered())
+    return c - (at_lag(c, k, step_days) if step_days else F.lag(c, k).over(w or ordered()))
 
 
-def growth(c: ColumnLike, w: WindowSpec | None = None) -> Column:
-    """Relative change; 0 where the previous value is not positive, null on the first row."""
+def growth(c: ColumnLike, w: WindowSpec | None = None, step_days: int | None = None) -> Column:
+    """Relative change; 0 where the previous value is not positive, null where there is none."""
     c = _col(c)
-    previous = F.lag(c).over(w or ordered())
+    previous = at_lag(c, 1, step_days) if step_days else F.lag(c).over(w or ordered())
     return ratio(c - previous, previous, "zero")
 
 
@@ -96,19 +117,32 @@ def with_stock(
 
 
 def rolling(
-    c: ColumnLike, n: int, how=F.avg, complete: bool = False, w: WindowSpec | None = None
+    c: ColumnLike,
+    n: int,
+    how=F.avg,
+    complete: bool = False,
+    w: WindowSpec | None = None,
+    step_days: int | None = None,
 ) -> Column:
-    """Aggregate of the last n rows; with *complete*, null until n non-null values exist."""
+    """Aggregate of the last n rows or periods; with *complete*, null unless they hold n values."""
     c = _col(c)
-    frame = (w or ordered()).rowsBetween(-(n - 1), 0)
+    if step_days:
+        frame = by_day().rangeBetween(-(n - 1) * step_days, 0)
+    else:
+        frame = (w or ordered()).rowsBetween(-(n - 1), 0)
     out = how(c).over(frame)
     return F.when(F.count(c).over(frame) == n, out) if complete else out
 
 
-def rolling_centred(c: ColumnLike, n: int = 3, w: WindowSpec | None = None) -> Column:
-    """Mean over n rows around the row (n odd), null at both ends."""
+def rolling_centred(
+    c: ColumnLike, n: int = 3, w: WindowSpec | None = None, step_days: int | None = None
+) -> Column:
+    """Mean over n rows or periods around the row (n odd), null where one of them is missing."""
     c, half = _col(c), n // 2
-    frame = (w or ordered()).rowsBetween(-half, half)
+    if step_days:
+        frame = by_day().rangeBetween(-half * step_days, half * step_days)
+    else:
+        frame = (w or ordered()).rowsBetween(-half, half)
     return F.when(F.count(c).over(frame) == n, F.avg(c).over(frame))
 
 
@@ -179,13 +213,21 @@ def conversion(num: ColumnLike, den: ColumnLike, k: int, w: WindowSpec | None =
 
 
 def recent_level(
-    df: DataFrame, columns: Sequence[str], n: int = 4, how: str = "mean", keys: Sequence[str] = (SERIES,)
+    df: DataFrame,
+    columns: Sequence[str],
+    n: int = 4,
+    how: str = "mean",
+    keys: Sequence[str] = (SERIES,),
+    step_days: int | None = None,
 ) -> DataFrame:
-    """Per series: mean or median of the last n rows, or the last value, of each column."""
+    """Per series: mean or median of the last n rows or periods, or the last value, of each column."""
     if how == "last":
         newest = F.max_by(F.struct(*columns), PERIOD).alias("s")
         return df.groupBy(*keys).agg(newest).select(*keys, "s.*")
     fn = {"mean": F.avg, "median": F.median}[how]
+    if step_days:
+        late = F.col(PERIOD) > F.date_sub(F.max(PERIOD).over(whole(keys)), n * step_days)
+        return df.withColumn("_late", late).filter("_late").groupBy(*keys).agg(*[fn(c).alias(c) for c in columns])
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(PERIOD).desc()))
     return (
         df.withColumn("_rank", rank)

@@ -28,6 +28,7 @@ from panelcast.functions.weeks import (
 )
 from panelcast.operators.calendar import (
     DAY,
+    WEEK,
     densify,
     densify_within,
     expanding_folds,
@@ -47,7 +48,7 @@ from panelcast.operators.reshape import (
     relocate,
     screen_features,
 )
-from panelcast.operators.windows import lag_columns, ordered, stack, with_stock
+from panelcast.operators.windows import at_lag, lag_columns, ordered, stack, with_stock
 from panelcast.plans.panels import (
     CUTOFF,
     EVENTS_SQL,
@@ -112,17 +113,16 @@ def _(spark, d):
 
 @query(
     "null_to_constant_p4",
-    f"""WITH {EVENTS_SQL} SELECT series, period,
-      coalesce(lag(arrivals) {_W}, 0) AS arrivals_lag1,
-      coalesce(lag(visas_issued, 2) {_W}, 0) AS visas_issued_lag2 FROM pe""",
+    f"""WITH {EVENTS_SQL}, {dense_sql("pe", "dense", 1, None)}, l AS (SELECT *, coalesce(lag(arrivals) {_W}, 0) AS arrivals_lag1,
+      coalesce(lag(visas_issued, 2) {_W}, 0) AS visas_issued_lag2 FROM dense)
+    SELECT series, period, arrivals_lag1, visas_issued_lag2 FROM l WHERE arrivals IS NOT NULL""",
 )
 def _(spark, d):
-    w = ordered()
     df = events_panel(spark, d).select(
         SERIES,
         PERIOD,
-        F.lag("arrivals").over(w).alias("arrivals_lag1"),
-        F.lag("visas_issued", 2).over(w).alias("visas_issued_lag2"),
+        at_lag("arrivals", 1, DAY).alias("arrivals_lag1"),
+        at_lag("visas_issued", 2, DAY).alias("visas_issued_lag2"),
     )
     return fill_numeric(df, 0)
 
@@ -167,8 +167,8 @@ def _(spark, d):
 
 @query(
     "drop_incomplete_rows_p7",
-    f"""WITH {EVENTS_SQL}, f AS (SELECT series, period, arrivals / nullif(visas_issued, 0) AS rate,
-      lag(arrivals) {_W} AS lag1 FROM pe)
+    f"""WITH {EVENTS_SQL}, {dense_sql("pe", "dense", 1, None)}, f AS (SELECT series, period,
+      arrivals / nullif(visas_issued, 0) AS rate, lag(arrivals) {_W} AS lag1 FROM dense)
     SELECT series, period, {rs("rate", "lag1")} FROM f WHERE rate IS NOT NULL AND lag1 IS NOT NULL""",
 )
 def _(spark, d):
@@ -176,7 +176,7 @@ def _(spark, d):
         SERIES,
         PERIOD,
         F.try_divide("arrivals", "visas_issued").alias("rate"),
-        F.lag("arrivals").over(ordered()).alias("lag1"),
+        at_lag("arrivals", 1, DAY).alias("lag1"),
     )
     return rounded(drop_incomplete(df, ["rate", "lag1"]))
 
@@ -194,14 +194,14 @@ def _(spark, d):
 
 @query(
     "feature_screen_p9",
-    f"""WITH {EVENTS_SQL}
-    SELECT series, period, coalesce(lag(applications) {_W}, 0) AS applications_lag1,
-      coalesce(lag(arrivals) {_W}, 0) AS arrivals_lag1 FROM pe""",
+    f"""WITH {EVENTS_SQL}, {dense_sql("pe", "dense", 1, None)}, l AS (SELECT *, coalesce(lag(applications) {_W}, 0) AS applications_lag1,
+      coalesce(lag(arrivals) {_W}, 0) AS arrivals_lag1 FROM dense)
+    SELECT series, period, applications_lag1, arrivals_lag1 FROM l WHERE arrivals IS NOT NULL""",
 )
 def _(spark, d):
     df = (
         events_panel(spark, d)
-        .withColumns(lag_columns(["applications", "arrivals"], [1]))
+        .withColumns(lag_columns(["applications", "arrivals"], [1], step_days=DAY))
         .withColumns({"constant": F.lit(1.0), "empty": F.lit(None).cast("double")})
         .select(SERIES, PERIOD, "applications_lag1", "arrivals_lag1", "constant", "empty")
     )
@@ -437,10 +437,13 @@ def _(spark, d):
 
 @query(
     "recent_window_t9",
-    f"WITH {PARTS_SQL}, {_NUMBERED.format(src='px')} SELECT {_COLS} FROM num WHERE i > n - 12",
+    f"""WITH {PARTS_SQL}, {dense_sql("px", "dense", 7, None)}, k AS (SELECT *, max(CASE WHEN arrivals IS NOT NULL THEN period END)
+      OVER (PARTITION BY series) AS e FROM dense),
+    i AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY period DESC) AS i FROM k WHERE period <= e)
+    SELECT {_COLS} FROM i WHERE i <= 12 AND arrivals IS NOT NULL""",
 )
 def _(spark, d):
-    return recent(parts_panel(spark, d), 12)
+    return recent(parts_panel(spark, d), 12, step_days=WEEK)
 
 
 # --- grids -------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.operators.calendar import horizon
+from panelcast.operators.calendar import DAY, WEEK, densify_within, horizon
 from panelcast.operators.fit import (
     beta_moments,
     candidate_fits,
@@ -499,7 +499,7 @@ def _(spark, d):
 @query("delay_weights_shrunk_m8")
 def _(spark, d):
     fits = fit_delay_weights(
-        events_panel(spark, d), "visas_issued", "arrivals", 26, cap=0.999, shrink=True
+        densify_within(events_panel(spark, d), DAY, fill=0.0), "visas_issued", "arrivals", 26, cap=0.999, shrink=True
     )
     return rounded(weight_rows(fits))
 
@@ -805,11 +805,9 @@ def _(spark, d):
 
 @query(
     "replayed_features_m19",
-    f"""WITH {PARTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY period DESC)
-      AS i, max(period) OVER (PARTITION BY series) AS e, count(*) OVER (PARTITION BY series) AS n FROM px)
-    SELECT series, CAST(least(12, n) - i + 1 AS INTEGER) AS h,
-      e + CAST((least(12, n) - i + 1) * 7 AS INTEGER) AS period, applications, arrivals
-    FROM n WHERE i <= 12""",
+    f"""WITH {PARTS_SQL}, e AS (SELECT series, max(period) AS e FROM px GROUP BY series)
+    SELECT e.series, CAST(h AS INTEGER) AS h, e + CAST(h * 7 AS INTEGER) AS period, applications, arrivals
+    FROM e CROSS JOIN range(1, 13) AS g(h) LEFT JOIN px ON px.series = e.series AND px.period = e + CAST((h - 12) * 7 AS INTEGER)""",
 )
 def _(spark, d):
     return replay_last(parts_panel(spark, d), 12, ["applications", "arrivals"])
@@ -817,15 +815,16 @@ def _(spark, d):
 
 @query(
     "decaying_projection_m20",
-    f"""WITH {PARTS_SQL}, l AS (SELECT series, avg(applications) AS level, max(e) AS e FROM (
-      SELECT *, row_number() OVER (PARTITION BY series ORDER BY period DESC) AS i,
-        max(period) OVER (PARTITION BY series) AS e FROM px) WHERE i <= 8 GROUP BY series)
+    f"""WITH {PARTS_SQL}, {dense_sql("px", "dense", 7, None)}, k AS (SELECT *, max(CASE WHEN arrivals IS NOT NULL THEN period END)
+      OVER (PARTITION BY series) AS e FROM dense),
+    l AS (SELECT series, avg(applications) AS level, max(e) AS e FROM (
+      SELECT *, row_number() OVER (PARTITION BY series ORDER BY period DESC) AS i FROM k WHERE period <= e) WHERE i <= 8 GROUP BY series)
     SELECT series, CAST(h AS INTEGER) AS h, e + CAST(h * 7 AS INTEGER) AS period,
       {r("level * exp(-0.01::DOUBLE * h)", "forecast")} FROM l, range(1, 13) AS g(h)""",
 )
 def _(spark, d):
-    panel = parts_panel(spark, d)
-    level = recent_level(panel, ["applications"], 8).withColumnRenamed("applications", "level")
+    panel = written_panel(spark, d, parts_panel)
+    level = recent_level(panel, ["applications"], 8, step_days=WEEK).withColumnRenamed("applications", "level")
     flat = flat_forecast(level, panel, 12)
     return rounded(flat.withColumn("forecast", decaying(F.col("forecast"), F.col("h"))))
 

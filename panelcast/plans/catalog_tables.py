@@ -12,7 +12,7 @@ from panelcast.operators.aggregate import (
     period_totals,
     with_total_rows,
 )
-from panelcast.operators.calendar import period_grid, recent
+from panelcast.operators.calendar import DAY, WEEK, period_grid, recent
 from panelcast.operators.evaluate import leaderboard
 from panelcast.operators.fit import random_walk
 from panelcast.operators.joins import (
@@ -25,13 +25,14 @@ from panelcast.operators.joins import (
     with_period_total,
 )
 from panelcast.operators.reshape import pivot_series, row_totals, to_long
-from panelcast.operators.windows import first_rows, ordered, recent_level, stack
+from panelcast.operators.windows import at_lag, first_rows, ordered, recent_level, stack
 from panelcast.plans.panels import (
     CUTOFF,
     EVENTS_SQL,
     ORDERS_SQL,
     PARTS_SQL,
     PRIORITIES,
+    dense_sql,
     events_panel,
     orders_panel,
     parts_panel,
@@ -226,13 +227,13 @@ def _(spark, d):
 
 @query(
     "null_strict_sum_a2",
-    f"""WITH {EVENTS_SQL}, f AS (SELECT series, lag(arrivals) {_W} AS x, visas_issued AS y FROM pe)
-    SELECT series, CASE WHEN count(*) = count(x) THEN sum(x) END AS x, sum(y) AS y FROM f
+    f"""WITH {EVENTS_SQL}, {dense_sql("pe", "dense", 1, None)}, f AS (SELECT series, lag(arrivals) {_W} AS x, visas_issued AS y FROM dense)
+    SELECT series, CASE WHEN count(*) = count(x) THEN sum(x) END AS x, sum(y) AS y FROM f WHERE y IS NOT NULL
     GROUP BY series""",
 )
 def _(spark, d):
     f = events_panel(spark, d).select(
-        SERIES, F.lag("arrivals").over(ordered()).alias("x"), F.col("visas_issued").alias("y")
+        SERIES, at_lag("arrivals", 1, DAY).alias("x"), F.col("visas_issued").alias("y")
     )
     return period_totals(f, ["x", "y"], [SERIES], strict=True)
 
@@ -524,16 +525,18 @@ def _(spark, d):
 
 @query(
     "recent_level_w17",
-    f"""WITH {PARTS_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY period DESC)
-      AS i FROM px)
+    f"""WITH {PARTS_SQL}, {dense_sql("px", "dense", 7, None)}, k AS (SELECT *, max(CASE WHEN arrivals IS NOT NULL THEN period END)
+      OVER (PARTITION BY series) AS e FROM dense),
+    l AS (SELECT * EXCLUDE (arrivals), CASE WHEN period = e THEN arrivals END AS arrivals,
+      row_number() OVER (PARTITION BY series ORDER BY period DESC) AS i FROM k WHERE period <= e)
     SELECT series, {r("avg(CASE WHEN i <= 4 THEN applications END)", "mean4")},
       {r("median(CASE WHEN i <= 4 THEN visas_issued END)", "median4")},
       {r("arg_max(arrivals, period)", "last")} FROM l GROUP BY series""",
 )
 def _(spark, d):
-    panel = parts_panel(spark, d)
-    mean = recent_level(panel, ["applications"], 4).withColumnRenamed("applications", "mean4")
-    median = recent_level(panel, ["visas_issued"], 4, "median").withColumnRenamed(
+    panel = written_panel(spark, d, parts_panel)
+    mean = recent_level(panel, ["applications"], 4, step_days=WEEK).withColumnRenamed("applications", "mean4")
+    median = recent_level(panel, ["visas_issued"], 4, "median", step_days=WEEK).withColumnRenamed(
         "visas_issued", "median4"
     )
     last = recent_level(panel, ["arrivals"], how="last").withColumnRenamed("arrivals", "last")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.functions.exprs import ratio
-from panelcast.operators.calendar import densify
+from panelcast.operators.calendar import DAY, WEEK, densify
 from panelcast.operators.windows import (
     backlog,
     conversion,
@@ -43,16 +43,20 @@ from panelcast.schema import PERIOD, SERIES, STAGES
 _BY = "PARTITION BY series ORDER BY period"
 _W = f"OVER ({_BY})"
 _LAGS = (1, 2, 3, 4)
+#: Twins of calendar lags: lags over the dense calendar, of which the stored rows are kept.
+_DENSE_PARTS = dense_sql("px", "dense", 7, None)
+_DENSE_EVENTS = dense_sql("pe", "dense", 1, None)
 
 
 @query(
     "many_lags_w1",
-    f"WITH {PARTS_SQL} SELECT series, period, "
+    f"WITH {PARTS_SQL}, {_DENSE_PARTS}, l AS (SELECT *, "
     + ", ".join(f"lag({c}, {k}) {_W} AS {c}_lag{k}" for c in STAGES for k in _LAGS)
-    + " FROM px",
+    + " FROM dense) SELECT * EXCLUDE (applications, visas_issued, arrivals) FROM l WHERE applications IS NOT NULL",
 )
 def _(spark, d):
-    return parts_panel(spark, d).withColumns(lag_columns(STAGES, _LAGS)).drop(*STAGES)
+    lags = lag_columns(STAGES, _LAGS, step_days=WEEK)
+    return parts_panel(spark, d).withColumns(lags).drop(*STAGES)
 
 
 @query(
@@ -68,18 +72,19 @@ def _(spark, d):
 
 @query(
     "lag_with_default_w2",
-    f"""WITH {EVENTS_SQL}, n AS (SELECT *, row_number() {_W} AS i FROM pe)
-    SELECT series, period, CASE WHEN i <= 2 THEN 0 ELSE lag(visas_issued, 2) {_W} END AS zero,
-      {r(f"CASE WHEN i <= 1 THEN avg(arrivals) OVER (PARTITION BY series) ELSE lag(arrivals) {_W} END",
-         "own_mean")} FROM n""",
+    f"""WITH {EVENTS_SQL}, {_DENSE_EVENTS}, n AS (SELECT *, lag(visas_issued, 2) {_W} AS v2, lag(arrivals) {_W} AS a1,
+      avg(arrivals) OVER (PARTITION BY series) AS m,
+      period - min(CASE WHEN arrivals IS NOT NULL THEN period END) OVER (PARTITION BY series) AS i FROM dense)
+    SELECT series, period, CASE WHEN i < 2 THEN 0 ELSE v2 END AS zero,
+      {r("CASE WHEN i < 1 THEN m ELSE a1 END", "own_mean")} FROM n WHERE arrivals IS NOT NULL""",
 )
 def _(spark, d):
     return rounded(
         events_panel(spark, d).select(
             SERIES,
             PERIOD,
-            lag_or("visas_issued", 2, 0.0).alias("zero"),
-            lag_or("arrivals", 1, series_mean("arrivals")).alias("own_mean"),
+            lag_or("visas_issued", 2, 0.0, step_days=DAY).alias("zero"),
+            lag_or("arrivals", 1, series_mean("arrivals"), step_days=DAY).alias("own_mean"),
         )
     )
 
@@ -94,20 +99,23 @@ def _(spark, d):
 
 @query(
     "first_difference_w4",
-    f"WITH {PARTS_SQL} SELECT series, period, applications - lag(applications) {_W} AS change FROM px",
+    f"""WITH {PARTS_SQL}, {_DENSE_PARTS}, l AS (SELECT *, applications - lag(applications) {_W} AS change FROM dense)
+    SELECT series, period, change FROM l WHERE applications IS NOT NULL""",
 )
 def _(spark, d):
-    return parts_panel(spark, d).select(SERIES, PERIOD, difference("applications").alias("change"))
+    change = difference("applications", step_days=WEEK).alias("change")
+    return parts_panel(spark, d).select(SERIES, PERIOD, change)
 
 
 @query(
     "growth_rate_w5",
-    f"""WITH {EVENTS_SQL}, l AS (SELECT *, lag(arrivals) {_W} AS p FROM pe) SELECT series, period,
-      {r("CASE WHEN p > 0 THEN (arrivals - p) / p WHEN p IS NOT NULL THEN 0 END", "growth")} FROM l""",
+    f"""WITH {EVENTS_SQL}, {_DENSE_EVENTS}, l AS (SELECT *, lag(arrivals) {_W} AS p FROM dense) SELECT series, period,
+      {r("CASE WHEN p > 0 THEN (arrivals - p) / p WHEN p IS NOT NULL THEN 0 END", "growth")} FROM l
+    WHERE arrivals IS NOT NULL""",
 )
 def _(spark, d):
     return rounded(
-        events_panel(spark, d).select(SERIES, PERIOD, growth("arrivals").alias("growth"))
+        events_panel(spark, d).select(SERIES, PERIOD, growth("arrivals", step_days=DAY).alias("growth"))
     )
 
 
@@ -165,28 +173,26 @@ def _(spark, d):
 
 @query(
     "rolling_complete_w10",
-    f"""WITH {PARTS_SQL} SELECT series, period,
-      {r(f"CASE WHEN count(*) OVER ({_BY} ROWS 3 PRECEDING) = 4 THEN avg(applications) "
-         f"OVER ({_BY} ROWS 3 PRECEDING) END", "mean4")} FROM px""",
+    f"""WITH {PARTS_SQL}, {_DENSE_PARTS}, l AS (SELECT *, count(applications) OVER ({_BY} ROWS 3 PRECEDING) AS n,
+      avg(applications) OVER ({_BY} ROWS 3 PRECEDING) AS m FROM dense)
+    SELECT series, period, {r("CASE WHEN n = 4 THEN m END", "mean4")} FROM l WHERE applications IS NOT NULL""",
 )
 def _(spark, d):
     return rounded(
         parts_panel(spark, d).select(
-            SERIES, PERIOD, rolling("applications", 4, complete=True).alias("mean4")
+            SERIES, PERIOD, rolling("applications", 4, complete=True, step_days=WEEK).alias("mean4")
         )
     )
 
 
 @query(
     "rolling_centred_w11",
-    f"""WITH {EVENTS_SQL} SELECT series, period,
-      {r(f"CASE WHEN count(*) OVER ({_BY} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 3 "
-         f"THEN avg(arrivals) OVER ({_BY} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END", "mean3")}
-    FROM pe""",
+    f"""WITH {EVENTS_SQL}, {_DENSE_EVENTS}, l AS (SELECT *, lag(arrivals) {_W} AS p, lead(arrivals) {_W} AS q FROM dense)
+    SELECT series, period, {r("(p + arrivals + q) / 3", "mean3")} FROM l WHERE arrivals IS NOT NULL""",
 )
 def _(spark, d):
     return rounded(
-        events_panel(spark, d).select(SERIES, PERIOD, rolling_centred("arrivals").alias("mean3"))
+        events_panel(spark, d).select(SERIES, PERIOD, rolling_centred("arrivals", step_days=DAY).alias("mean3"))
     )
 
 
