@@ -11,38 +11,27 @@ from panelcast.operators.aggregate import exact_quantiles, group_quantiles
 from panelcast.operators.project import stock_flow
 from panelcast.schema import PERIOD, SERIES
 
-# Constants of the draw (fixed values): a prime modulus below 2**31 and multipliers.
-_MODULUS = 2147483647
-_SIM, _STEP, _SEED = 7919, 104729, 15485863
-_MIX = 65537
-_LCG = 48271
-
 # Usual quantile sets.
 OUTER = {"q05": 0.05, "q20": 0.20, "q80": 0.80, "q95": 0.95}
 TAILS = {"lo95": 0.025, "lo80": 0.10, "median": 0.50, "hi80": 0.90, "hi95": 0.975}
 FIVE = {"p05": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95}
 
 
-def series_code(series: Column) -> Column:
-    """A number below 2³¹ that only depends on the series' name."""
-    return F.conv(F.substring(F.md5(series), 1, 7), 16, 10).cast("long")
-
-
 def draw(series: Column, sim: Column, h: Column, seed: int, n: Column) -> Column:
-    """Pseudo-random index 0..n−1 from whole-number arithmetic.
+    """Pseudo-random index 0..n−1: the leading 60 bits of md5 of the text ``series|sim|h|seed``, modulo n.
 
-    Depends on the key values only, so it is the same for any partitioning and after a
-    lost task is run again; ``rand()`` is neither.  All products stay below 2⁶³.
+    A counter-based draw: it depends on the key values only, so it is the same for any partitioning and
+    after a lost task is run again, and any engine with md5 can replay it; ``rand()`` is neither.
     """
-    m = F.lit(_MODULUS).cast("long")
-    x = (
-        series_code(series)
-        + sim.cast("long") * _SIM
-        + h.cast("long") * _STEP
-        + F.lit(seed).cast("long") * _SEED
-    ) % m
-    x = (x * (x % F.lit(_MIX).cast("long") + 1)) % m
-    return (x * F.lit(_LCG).cast("long") % m) % n
+    key = F.concat_ws("|", series, sim.cast("string"), h.cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % n
+
+
+def _pool(values: DataFrame, column: str, name: str) -> DataFrame:
+    """(series, *name*): a series' values in time order, one entry per period, so bounded by the calendar."""
+    entries = F.sort_array(F.collect_list(F.struct(PERIOD, F.col(column).alias("r"))))
+    packed = values.filter(F.col(column).isNotNull()).groupBy(SERIES).agg(entries.alias("_p"))
+    return packed.select(SERIES, F.transform("_p", lambda s: s["r"]).alias(name))
 
 
 def bootstrap_paths(
@@ -53,23 +42,26 @@ def bootstrap_paths(
     mode: str = "add",
     residual: str = "residual",
     blocks: int = 1,
+    fallback: DataFrame | None = None,
+    min_residuals: int = 1,
 ) -> DataFrame:
     """Resample residuals around a point forecast: (series, sim, h, period, value ≥ 0).
 
     *mode* add: point + residual; multiply: point · exp(residual); level: the drawn value
     itself (use recent levels as *residuals*).  A series' residuals travel as one array
-    (one entry per period, so bounded by the calendar) and each path row picks from it:
-    the big table, series × sims × steps, is made by explode and never shuffled.  For few
+    and each path row picks from it: the big table, series × sims × steps, is made by explode
+    and never shuffled.  A series with fewer than *min_residuals* draws whole values from its pool in
+    *fallback* (series, period, level) instead; without one its paths are there with NULL values.  For few
     series with very many paths, *blocks* > 1 spreads the paths of a series over that many
     partitions before they are made.
     """
-    pool = (
-        residuals.filter(F.col(residual).isNotNull())
-        .groupBy(SERIES)
-        .agg(F.sort_array(F.collect_list(F.struct(PERIOD, F.col(residual).alias("r")))).alias("_p"))
-        .select(SERIES, F.transform("_p", lambda s: s["r"]).alias("_pool"))
-    )
-    seeds = forecast.join(pool, SERIES)
+    seeds = forecast.join(_pool(residuals, residual, "_pool"), SERIES, "left")
+    enough = F.coalesce(F.size("_pool") >= min_residuals, F.lit(False))
+    if fallback is not None:
+        seeds = seeds.join(_pool(fallback, "level", "_levels"), SERIES, "left")
+    else:
+        seeds = seeds.withColumn("_levels", F.lit(None).cast("array<double>"))
+    seeds = seeds.withColumn("_enough", enough)
     first, last = F.lit(1), F.lit(n_sims)
     if blocks > 1:
         size = -(-n_sims // blocks)
@@ -77,14 +69,22 @@ def bootstrap_paths(
         seeds = seeds.withColumn("_from", F.explode(starts)).repartition(SERIES, "_from")
         first, last = F.col("_from"), F.least(F.col("_from") + size - 1, last)
     fan = seeds.withColumn("sim", F.explode(F.sequence(first, last)))
-    index = draw(F.col(SERIES), F.col("sim"), F.col("h"), seed, F.size("_pool").cast("long"))
-    drawn = F.get("_pool", index.cast("int"))
+
+    def drawn(pool: str) -> Column:
+        index = draw(F.col(SERIES), F.col("sim"), F.col("h"), seed, F.size(pool).cast("long"))
+        return F.get(pool, index.cast("int"))
+
+    pick = drawn("_pool")
     value = {
-        "add": F.col("forecast") + drawn,
-        "multiply": F.col("forecast") * F.exp(drawn),
-        "level": drawn,
+        "add": F.col("forecast") + pick,
+        "multiply": F.col("forecast") * F.exp(pick),
+        "level": pick,
     }[mode]
-    return fan.select(SERIES, "sim", "h", PERIOD, F.greatest(F.lit(0.0), value).alias("value"))
+    value = F.when(F.col("_enough"), value).otherwise(drawn("_levels"))
+    # greatest() would skip a null
+    return fan.withColumn("_v", value).select(
+        SERIES, "sim", "h", PERIOD, F.when(F.col("_v") > 0, F.col("_v")).when(F.col("_v").isNotNull(), 0.0).alias("value")
+    )
 
 
 def summarise_paths(

@@ -34,7 +34,8 @@ from panelcast.operators.paths import (
     summarise_paths,
     total_paths,
 )
-from panelcast.operators.windows import difference, ordered, recent_level
+from panelcast.operators.project import log_residuals
+from panelcast.operators.windows import difference, recent_level, rolling
 from panelcast.plans.catalog_models import (
     _LONG_SQL,
     _SIX,
@@ -47,10 +48,12 @@ from panelcast.plans.catalog_tables import WALK_SQL, walk_of
 from panelcast.plans.panels import (
     CUTOFF,
     ORDERS_SQL,
+    PARTS_SQL,
     PATHS_SQL,
     dense_orders,
     dense_sql,
     event_paths,
+    parts_panel,
     table,
     written_panel,
 )
@@ -59,20 +62,21 @@ from panelcast.schema import PERIOD, SERIES
 from panelcast.sources.adapters import ForecastShape, adapt_forecast
 from panelcast.sources.tables import materialise
 
-_W = "OVER (PARTITION BY series ORDER BY period)"
+_BY = "PARTITION BY series ORDER BY period"
+_W = f"OVER ({_BY})"
 _N_SIMS = 100
 
-_DRAW_SQL = """
-(((x1 * (x1 % 65537 + 1)) % 2147483647) * 48271 % 2147483647) % n"""
+
+
+def _draw_sql(seed: int, n: str = "n", of: str = "w") -> str:
+    return f"CAST('0x' || substr(md5({of}.series || '|' || s || '|' || {of}.h || '|{seed}'), 1, 15) AS BIGINT) % {n}"
+
 
 _BOOT_SQL = f"""{WALK_SQL},
 pool AS (SELECT series, list(d ORDER BY period) AS p, count(*) AS n FROM tr_d WHERE d IS NOT NULL
   GROUP BY series),
-keyed AS (SELECT w.series, w.h, w.period, w.forecast, CAST(s AS INTEGER) AS sim, p, n,
-  (CAST('0x' || substr(md5(w.series), 1, 7) AS BIGINT) + s * 7919 + w.h * 104729
-    + 42 * 15485863) % 2147483647 AS x1
-  FROM walk w JOIN pool ON pool.series = w.series, range(1, {_N_SIMS + 1}) AS g(s)),
-boot AS (SELECT series, sim, h, period, greatest(0, forecast + p[({_DRAW_SQL}) + 1]) AS value FROM keyed)"""
+boot AS (SELECT w.series, CAST(s AS INTEGER) AS sim, w.h, w.period, greatest(0, w.forecast + p[{_draw_sql(42)} + 1]) AS value
+  FROM walk w JOIN pool ON pool.series = w.series, range(1, {_N_SIMS + 1}) AS g(s))"""
 
 
 def _boot(spark, d):
@@ -95,12 +99,9 @@ def _(spark, d):
     f"""WITH {ORDERS_SQL}, {WALK_SQL}, rec AS (SELECT *, row_number() OVER (PARTITION BY series
       ORDER BY period DESC) AS i FROM tr),
     pool AS (SELECT series, list(arrivals ORDER BY period) AS p, count(*) AS n FROM rec WHERE i <= 12
-      GROUP BY series),
-    keyed AS (SELECT w.series, w.h, w.period, CAST(s AS INTEGER) AS sim, p, n,
-      (CAST('0x' || substr(md5(w.series), 1, 7) AS BIGINT) + s * 7919 + w.h * 104729
-        + 7 * 15485863) % 2147483647 AS x1
-      FROM walk w JOIN pool ON pool.series = w.series, range(1, {_N_SIMS + 1}) AS g(s))
-    SELECT series, sim, h, period, p[({_DRAW_SQL}) + 1] AS value FROM keyed""",
+      GROUP BY series)
+    SELECT w.series, CAST(s AS INTEGER) AS sim, w.h, w.period, p[{_draw_sql(7)} + 1] AS value
+    FROM walk w JOIN pool ON pool.series = w.series, range(1, {_N_SIMS + 1}) AS g(s)""",
 )
 def _(spark, d):
     panel = written_panel(spark, d)
@@ -109,6 +110,30 @@ def _(spark, d):
     return bootstrap_paths(walk_of(panel), levels, _N_SIMS, seed=7, mode="level")
 
 
+@query(
+    "multiplied_paths_b1",
+    f"""WITH {PARTS_SQL}, tr AS (SELECT *, avg(applications) OVER ({_BY} ROWS 3 PRECEDING) AS mu,
+        row_number() OVER (PARTITION BY series ORDER BY period DESC) AS i FROM px WHERE period <= DATE '{CUTOFF}'),
+    late AS (SELECT *, ln((applications + 1) / (mu + 1)) AS x FROM tr WHERE i <= 20),
+    res AS (SELECT *, x - avg(x) OVER (PARTITION BY series) AS residual FROM late),
+    pool AS (SELECT series, list(residual ORDER BY period) AS p, count(*) AS n,
+      list(applications ORDER BY period) FILTER (WHERE i <= 12) AS q FROM res GROUP BY series),
+    w AS (SELECT series, CAST(h AS INTEGER) AS h, e + CAST(h * 7 AS INTEGER) AS period, forecast FROM (
+      SELECT series, max(period) AS e, arg_max(applications, period) AS forecast FROM tr GROUP BY series), range(1, 5) AS g(h)),
+    v AS (SELECT w.series, CAST(s AS INTEGER) AS sim, w.h, w.period, CASE WHEN n >= 20 THEN forecast * exp(p[{_draw_sql(5)} + 1])
+      ELSE q[{_draw_sql(5, "len(q)")} + 1] END AS value FROM w JOIN pool ON pool.series = w.series, range(1, 6) AS g(s))
+    SELECT series, sim, h, period, {r("greatest(0, value)", "value")} FROM v""",
+)
+def _(spark, d):
+    train = materialise(parts_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF)))
+    fitted = recent(train.withColumn("mu", rolling("applications", 4)), 20)
+    residuals = log_residuals(fitted, "applications", "mu").select(SERIES, PERIOD, "residual")
+    levels = recent(train, 12).select(SERIES, PERIOD, F.col("applications").alias("level"))
+    walk = random_walk(train, "applications", 4)
+    paths = bootstrap_paths(walk, residuals, 5, seed=5, mode="multiply", fallback=levels, min_residuals=20)
+    return rounded(paths)
+
+
 def _q(probs: dict[str, float], value: str = "value") -> str:
     return ", ".join(r(f"quantile_cont({value}, {p})", n) for n, p in probs.items())
 
