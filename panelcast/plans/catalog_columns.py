@@ -393,7 +393,7 @@ def _(spark, d):
       ELSE 'test' END AS role FROM po""",
 )
 def _(spark, d):
-    train, test = split_at(orders_panel(spark, d), CUTOFF)
+    train, test = split_at(written_panel(spark, d), CUTOFF)
     return stack({"train": train, "test": test}, "role")
 
 
@@ -485,7 +485,7 @@ def _(spark, d):
     {dense_sql("merged", "dense", 1)} SELECT {_COLS} FROM dense""",
 )
 def _(spark, d):
-    once = events_panel(spark, d)
+    once = written_panel(spark, d, events_panel)
     return densify(merge_cells(once.unionByName(once)), DAY, fill=0.0)
 
 

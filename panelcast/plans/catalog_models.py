@@ -267,7 +267,7 @@ smooth AS (SELECT series, alpha, level, sse, n FROM (
     SELECT series, CAST(h AS INTEGER) AS h, alpha, {r("level", "forecast")}, {r("sse", "sse", 4)} FROM smooth, range(1, 14) AS g(h)""",
 )
 def _(spark, d):
-    panel = orders_panel(spark, d)
+    panel = written_panel(spark, d)
     fit = fit_smoothing(panel, "arrivals", _ALPHAS)
     flat = flat_forecast(fit, panel, 13)
     return rounded(
@@ -617,7 +617,7 @@ ext AS (SELECT period, series, applications, visas_issued, arrivals, CAST(h AS I
 
 
 def _extended(spark, d, h=13):
-    history = orders_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
+    history = written_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
     return extend(history, h, {"applications": rolling("applications", 4)})
 
 
@@ -658,7 +658,7 @@ def _(spark, d):
     FROM px JOIN w ON w.series = px.series WHERE arrivals <> 0 GROUP BY 1, 2""",
 )
 def _(spark, d):
-    panel = parts_panel(spark, d)
+    panel = written_panel(spark, d, parts_panel)
     weights = panel.select(SERIES).distinct().withColumn(
         "weights", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.125))
     )
@@ -677,7 +677,7 @@ def _(spark, d):
       {r("last * (lag1 + lag2 + lag3) / 3", "forecast")} FROM s, range(1, 13) AS g(h)""",
 )
 def _(spark, d):
-    panel = orders_panel(spark, d)
+    panel = written_panel(spark, d)
     fit = lag_ratio_projection(panel, "visas_issued", "arrivals")
     grid = horizon(panel, 12)
     return rounded(
@@ -707,7 +707,7 @@ flow AS (
 
 
 def _flow_inputs(spark, d):
-    history = orders_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
+    history = written_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
     state = history.groupBy(SERIES).agg(
         F.greatest(F.lit(0.0), F.sum(F.col("applications") - F.col("visas_issued"))).alias(
             "app_backlog"
@@ -750,7 +750,7 @@ def _(spark, d):
 )
 def _(spark, d):
     w = ordered()
-    history = orders_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
+    history = written_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
     history = history.withColumn("backlog", backlog("visas_issued", "arrivals"))
     rows = history.withColumns(
         {"b1x": F.lag("backlog").over(w), "i1": F.lag("visas_issued").over(w)}
@@ -791,7 +791,7 @@ def _(spark, d):
     FROM filled) SELECT * FROM f WHERE h > 0""",
 )
 def _(spark, d):
-    history = orders_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
+    history = written_panel(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF))
     future = extend(
         history,
         13,
@@ -943,7 +943,7 @@ def _(spark, d):
     FROM j JOIN fit ON fit.series = j.series""",
 )
 def _(spark, d):
-    panel = _lagged(spark, d)
+    panel = materialise(_lagged(spark, d))
     first = fit_smoothing(panel, "arrivals", _ALPHAS)
     fitted = smoothing_fitted(panel, "arrivals", first)
     out = stacked_regression(panel, fitted, "arrivals", ["v1"])

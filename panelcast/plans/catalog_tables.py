@@ -77,8 +77,9 @@ def walk_forecast(spark, d, h=13):
     FROM walk w LEFT JOIN po ON po.series = w.series AND po.period = w.period""",
 )
 def _(spark, d):
-    actual = orders_panel(spark, d).select(SERIES, PERIOD, F.col("arrivals").alias("actual"))
-    forecast = walk_forecast(spark, d).select(SERIES, PERIOD, "forecast")
+    panel = written_panel(spark, d)
+    actual = panel.select(SERIES, PERIOD, F.col("arrivals").alias("actual"))
+    forecast = walk_of(panel).select(SERIES, PERIOD, "forecast")
     return forecast.join(actual, [SERIES, PERIOD], "left")
 
 
@@ -91,7 +92,7 @@ def _(spark, d):
     FROM grid LEFT JOIN pe ON pe.series = grid.series AND pe.period = grid.period""",
 )
 def _(spark, d):
-    panel = events_panel(spark, d)
+    panel = written_panel(spark, d, events_panel)
     return natural_left_join(period_grid(panel, 1), panel)
 
 
@@ -150,7 +151,7 @@ def _(spark, d):
       (SELECT unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM b)""",
 )
 def _(spark, d):
-    return period_grid(events_panel(spark, d), 1)
+    return period_grid(written_panel(spark, d, events_panel), 1)
 
 
 @query(
@@ -162,8 +163,9 @@ def _(spark, d):
     FROM v JOIN cal ON v.h = cal.h""",
 )
 def _(spark, d):
-    undated = walk_forecast(spark, d, 12).select(SERIES, F.col("h").alias("step"), "forecast")
-    calendar = orders_panel(spark, d).filter(F.col(PERIOD) > F.lit(CUTOFF))
+    panel = written_panel(spark, d)
+    undated = walk_of(panel, 12).select(SERIES, F.col("h").alias("step"), "forecast")
+    calendar = panel.filter(F.col(PERIOD) > F.lit(CUTOFF))
     return positional_join(undated, calendar)
 
 

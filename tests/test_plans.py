@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.operators.calendar import densify
 from panelcast.operators.fit import fit_linear, lagged_design
 from panelcast.operators.windows import first_rows
+from panelcast.plans.catalog import QUERIES
 from panelcast.plans.panels import orders_panel, table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -50,3 +51,15 @@ def test_first_rows_limit_groups_before_the_shuffle(spark):
 def test_aggregates_combine_before_the_shuffle(spark):
     plan = plan_of(orders_panel(spark, SF_DIR))
     assert "partial_sum" in plan
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["date_cutoff_split_t5", "forecast_to_actual_j1", "positional_join_j6", "recent_level_w17", "lag_ratio_projection_m15",
+     "stock_flow_m16", "regression_feedback_m17", "decaying_projection_m20", "stacked_regression_m26"],
+)
+def test_facts_are_read_for_one_written_panel(spark, name):
+    """Queries that use a panel several times write it once: their own plans scan no fact table."""
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    facts = [x for x in plan.splitlines() if "Relation" in x and ("l_shipdate" in x or "o_orderdate" in x)]
+    assert not facts, facts
