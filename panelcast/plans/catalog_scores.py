@@ -24,6 +24,7 @@ from panelcast.operators.folds import (
     smoothing,
     trend_line,
 )
+from panelcast.operators.forecaster import delay_forecast, delay_paths
 from panelcast.operators.paths import (
     FIVE,
     OUTER,
@@ -138,6 +139,48 @@ def _q(probs: dict[str, float], value: str = "value") -> str:
     return ", ".join(r(f"quantile_cont({value}, {p})", n) for n, p in probs.items())
 
 
+_FORECAST_SQL = f"""{dense_sql("po", "dense")},
+    hist AS (SELECT *, row_number() {_W} AS t FROM dense WHERE period <= DATE '{CUTOFF}'),
+    fr1 AS (SELECT * FROM (SELECT series, visas_issued AS y, {", ".join(f"lag(applications, {k}) {_W} AS x{k}" for k in range(3))}
+      FROM hist) WHERE x2 IS NOT NULL),
+    fr2 AS (SELECT * FROM (SELECT series, arrivals AS y, {", ".join(f"lag(visas_issued, {k}) {_W} AS x{k}" for k in range(7))}
+      FROM hist) WHERE x6 IS NOT NULL),
+    {nonnegative_sql("fr1", "y", ["x0", "x1", "x2"], "f1", 1500)},
+    {nonnegative_sql("fr2", "y", [f"x{k}" for k in range(7)], "f2", 2500)},
+    sums AS (SELECT series, count(*) AS n, sum(applications) AS sa, sum(visas_issued) AS sv, sum(arrivals) AS sr FROM hist GROUP BY series),
+    k1 AS (SELECT s.series, [CASE WHEN n > 6 AND sa <> 0 AND sv <> 0 THEN coalesce(x, 0) / greatest(1, w0 + w1 + w2) ELSE 0 END
+      FOR x IN [w0, w1, w2]] AS w FROM sums s LEFT JOIN f1 ON f1.series = s.series),
+    k2 AS (SELECT s.series, [CASE WHEN n > 10 AND sv <> 0 AND sr <> 0 THEN coalesce(x, 0) / greatest(1, {_SIX.replace(",", " +")}) ELSE 0 END
+      FOR x IN [{_SIX}]] AS w FROM sums s LEFT JOIN f2 ON f2.series = s.series),
+    last AS (SELECT series, max(t) AS t, max(period) AS e, avg(CASE WHEN back <= 4 THEN applications END) AS ahead FROM (
+      SELECT *, row_number() OVER (PARTITION BY series ORDER BY period DESC) AS back FROM hist) GROUP BY series),
+    ext AS (SELECT series, t, 0 AS h, period, applications, visas_issued, arrivals FROM hist UNION ALL
+      SELECT series, t + h, h, e + CAST(h * 7 AS INTEGER), ahead, NULL, NULL FROM last, range(1, 14) AS g(h)),
+    c1 AS (SELECT a.series, a.t, greatest(0, sum(w[k + 1] * b.applications)) AS y FROM ext a JOIN k1 ON k1.series = a.series, range(0, 3) AS g(k)
+      JOIN ext b ON b.series = a.series AND b.t = a.t - k GROUP BY 1, 2),
+    iss AS (SELECT ext.*, CASE WHEN h = 0 THEN visas_issued ELSE y END AS v FROM ext JOIN c1 ON c1.series = ext.series AND c1.t = ext.t),
+    c2 AS (SELECT a.series, a.t, sum(w[k + 1] * b.v) AS y FROM iss a JOIN k2 ON k2.series = a.series, range(0, 7) AS g(k)
+      JOIN iss b ON b.series = a.series AND b.t = a.t - k GROUP BY 1, 2),
+    pool AS (SELECT hist.series, list(arrivals - y ORDER BY period) AS p, count(*) AS n FROM hist JOIN c2 ON c2.series = hist.series
+      AND c2.t = hist.t WHERE hist.t > 6 GROUP BY hist.series),
+    w AS (SELECT ext.series, CAST(h AS INTEGER) AS h, period, greatest(0, y) AS forecast FROM ext JOIN c2 ON c2.series = ext.series
+      AND c2.t = ext.t WHERE h > 0),
+    path AS (SELECT w.series, CAST(s AS INTEGER) AS sim, w.period, greatest(0, forecast + p[{_draw_sql(11)} + 1]) AS value
+      FROM w JOIN pool ON pool.series = w.series, range(1, 201) AS g(s)),
+    every AS (SELECT * FROM path UNION ALL SELECT '{TOTAL}', sim, period, sum(value) FROM path GROUP BY sim, period)"""
+
+
+@query(
+    "delay_forecast_m14",
+    f"""WITH RECURSIVE {ORDERS_SQL}, {_FORECAST_SQL} SELECT series, period, {r("avg(value)", "mean", 4)},
+      {", ".join(r(f"quantile_cont(value, {p})", n, 4) for n, p in OUTER.items())} FROM every GROUP BY series, period""",
+)
+def _(spark, d):
+    history = materialise(dense_orders(spark, d).filter(F.col(PERIOD) <= F.lit(CUTOFF)))
+    paths = materialise(delay_paths(history, 13, (2, 6), 4, 200, seed=11))
+    return rounded(delay_forecast(paths), 4)
+
+
 @query(
     "path_summary_b2",
     f"""WITH {PATHS_SQL} SELECT series, period, {r("avg(value)", "mean")}, {_q(OUTER)}
