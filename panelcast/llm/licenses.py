@@ -45,12 +45,13 @@ TEMPLATES = (
 )
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_PLACE = "(?<![^ ])(?=(?:" + "|".join(PHRASES) + ")(?: |$))"
+_PLACE = "(?<![^ ])(?=(?:" + "|".join(PHRASES) + ")(?: |\\z))"  # not $, which also matches before a last line separator
 
 
 def normal(text: Column) -> Column:
-    """Words in lower case with one space between."""
-    return F.trim(F.regexp_replace(F.lower(text), _GAP, " "))
+    """Words, A-Z in lower case, with one space between."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.trim(F.regexp_replace(lower, _GAP, " "))
 
 
 def template_words(text: str) -> list[str]:
@@ -146,13 +147,14 @@ def _sql() -> str:
     labels = ", ".join(
         f"CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' {p} ') THEN '{label}' END" for p, label in PHRASES.items()
     )
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
-         regexp_extract_all(lower(coalesce(text, '')), '{cls}') AS w FROM documents),
+         regexp_extract_all(translate(coalesce(text, ''), {letters}), '{cls}') AS w FROM documents),
 t(k, label, own) AS (VALUES {templates}),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-b AS (SELECT DISTINCT r, list_distinct(regexp_extract_all(lower(line), '{cls}')) AS b FROM l),
+b AS (SELECT DISTINCT r, list_distinct(regexp_extract_all(translate(line, {letters}), '{cls}')) AS b FROM l),
 m AS (SELECT r, label, len(list_intersect(b, own)) / len(own) AS share FROM b, t
       WHERE 100 * len(list_intersect(b, own)) >= {PERCENT} * len(own)),
 g AS (SELECT r, list(label) AS more, max(share) AS share FROM m GROUP BY r),

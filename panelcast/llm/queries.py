@@ -88,8 +88,8 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT *, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
              max(page_id) OVER (PARTITION BY h) AS last FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to
+  CASE WHEN payload_bytes >= 1000 AND last IS NOT NULL AND last IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND last IS DISTINCT FROM page_id THEN last END AS refers_to
 FROM g
 """
 

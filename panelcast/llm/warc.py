@@ -12,9 +12,10 @@ closing empty lines, the digest of a response's payload.  A broken archive is an
 place; nothing is skipped.
 
 Of records with equal payloads of LEAST_REVISIT bytes at least, the one with the largest page_id is
-the response and the others revisit it.  Nulls: a null html is an empty payload; a record without
-page_id is always a response (there is nothing to refer by); a null url is left out.  Repeated rows:
-of equal ids one is the response, the others revisit it; if small, all are responses.
+the response and the others revisit it, also those without page_id; if none of them has a page_id, all
+are responses, as there is nothing to refer by.  Nulls: a null html is an empty payload, a null url is
+left out.  Repeated rows: of equal ids one is the response, the others revisit it; if small, all are
+responses.  A revisit names its response by the WARC-Record-ID, so any reader can resolve it.
 """
 
 from __future__ import annotations
@@ -41,20 +42,26 @@ def _clean(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in value)
 
 
+def record_name(page_id, digest: str, url=None) -> str:
+    """The id of a record; a response is named by page and digest alone, so its revisits know its name."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}' if url is None else f'{page_id}:{digest}:{url}')}>"
+
+
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if refers_to is None else http
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}:{url}:{digest}:{kind}")
+    plain = refers_to is None and page_id is not None
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{name}>"),
+        ("WARC-Record-ID", record_name(page_id, digest) if plain else record_name(page_id, digest, f"{kind}:{url}")),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
         ("WARC-Target-URI", None if url is None else _clean(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Page-ID", page_id),
         ("X-Payload-Bytes", len(payload)),
-        ("WARC-Refers-To", refers_to if refers_to is None else f"<urn:page:{refers_to}>"),
+        ("WARC-Refers-To", refers_to if refers_to is None else record_name(refers_to, digest)),
+        ("X-Refers-To-Page-ID", refers_to),
         ("WARC-Profile", None if refers_to is None else "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", len(block)),
@@ -92,14 +99,15 @@ def parse(raw: bytes, where: str) -> dict:
         need(hashlib.sha1(payload).hexdigest() == digest, "payload digest differs")
     else:
         need(not payload and "WARC-Refers-To" in fields, "revisit with payload or without reference")
-    page, refers = fields.get("X-Page-ID"), fields.get("WARC-Refers-To")
+        need(fields["WARC-Refers-To"] == record_name(fields.get("X-Refers-To-Page-ID"), digest), "reference to another record")
+    page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
     return {
         "page_id": None if page is None else int(page),
         "url": fields.get("WARC-Target-URI"),
         "payload_bytes": len(payload) if kind == "response" else None,
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": None if refers is None else int(refers[len("<urn:page:") : -1]),
+        "refers_to": None if refers is None else int(refers),
         "payload": payload if kind == "response" else None,
     }
 
@@ -146,7 +154,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     """(archive, content) of one record for each row of *pages* (page_id, url, html), in the shared folder."""
     html = F.coalesce(F.col("html"), F.lit(""))
     known = pages.select("page_id", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
-    large = known.where((F.col("n") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
+    large = known.where(F.col("n") >= LEAST_REVISIT)
     groups = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("times")).where("times > 1")
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     # what is repeated is joined by digest, a short row; the page itself moves once at most
@@ -157,7 +165,8 @@ def write_archives(pages: DataFrame) -> DataFrame:
         met = met.withColumn("again", F.when(F.col("page_id") == F.col("last"), again).otherwise(1))
     else:
         met = met.withColumn("again", F.lit(1))
-    other = F.col("last").isNotNull() & F.col("page_id").isNotNull() & ((F.col("page_id") != F.col("last")) | (F.col("again") > 1))
+    # a page without an id revisits the largest one; where no page has an id, all are responses
+    other = F.col("last").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("last")) | (F.col("again") > 1))
     met = met.select("page_id", "url", "html", "digest", F.when(other, F.col("last")).alias("refers_to"))
 
     def body(batches):
