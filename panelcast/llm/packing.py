@@ -28,8 +28,8 @@ from panelcast.llm.tables import share
 from panelcast.sources.tables import materialise
 
 LENGTH, CLASS, TOLERANCE, MOST_ROUNDS, PART_ROWS = 1024, 8, 0.001, 5000, 50_000
-#: Pretokens that a worker remembers before it starts afresh.
-MOST_KNOWN = 2_000_000
+#: Pretokens that a task remembers, and their ids; beyond either it starts afresh.  Both stores are made once.
+MOST_KNOWN, MOST_IDS = 200_000, 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -82,8 +82,23 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.code = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        """Pretokens by their hashes in order, their numbers, and the ids of each number."""
+        self.known, self.code = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.at = np.empty(MOST_IDS, np.uint32), np.zeros(MOST_KNOWN + 1, np.int64)
+        self.n = 0
+
+    def _learn(self, keys: np.ndarray, found: list[list[int]]) -> None:
+        """Adds pretokens that are not known; afterwards all known hashes are in order again."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        a, b, n = int(self.at[self.n]), int(self.at[self.n] + sizes.sum()), self.n + len(found)
+        if n >= len(self.at) or b > len(self.ids):  # one run with more than all the room: a store of its own
+            self.at = np.concatenate((self.at[: self.n + 1], np.zeros(len(found), np.int64)))
+            self.ids = np.concatenate((self.ids[:a], np.empty(b - a, np.uint32)))
+        self.ids[a:b] = np.fromiter((i for x in found for i in x), np.uint32, b - a)
+        self.at[self.n + 1 : n + 1] = a + np.cumsum(sizes)
+        order = np.argsort(known := np.concatenate((self.known, keys)), kind="stable")
+        self.code = np.concatenate((self.code, np.arange(self.n, n, dtype=np.int32)))[order]
+        self.known, self.n = known[order], n
 
     def _plain(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of rows of plain text and where each row begins."""
@@ -99,29 +114,27 @@ class Encoder:
         e = np.append(s[1:], len(data))
         key = arrays.hashed(data, s, e)
         uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.known, uniq)
-        new = place == len(self.known)
-        new[~new] = self.known[place[~new]] != uniq[~new]
+        new = self._unknown(uniq)
+        if self.n + new.sum() > MOST_KNOWN or self.at[self.n] > MOST_IDS // 2:
+            self.forget()
+            new = self._unknown(uniq)
         if new.any():
             raw, i = data.tobytes(), first[new]
-            found = [self.whole.encode_ordinary(raw[a:b].decode()) for a, b in zip(s[i].tolist(), e[i].tolist(), strict=True)]
-            code = len(self.at) - 1 + np.arange(len(found))
-            self.known = np.insert(self.known, place[new], uniq[new])
-            self.code = np.insert(self.code, place[new], code)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), np.uint32, sizes.sum())))
-            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
-            place = np.searchsorted(self.known, uniq)
-        code = self.code[place][back.reshape(-1)]
+            self._learn(uniq[new], [self.whole.encode_ordinary(raw[a:b].decode()) for a, b in zip(s[i].tolist(), e[i].tolist(), strict=True)])
+        code = self.code[np.searchsorted(self.known, uniq)][back.reshape(-1)]
         size = self.at[code + 1] - self.at[code]
         ends = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(self.at[code] - ends[:-1], size) + np.arange(ends[-1])]
         return ids, ends[np.searchsorted(s, at)]
 
+    def _unknown(self, keys: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.known, keys)
+        new = place == len(self.known)
+        new[~new] = self.known[place[~new]] != keys[~new]
+        return new
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, a 0 after each text, and where each text begins."""
-        if len(self.known) > MOST_KNOWN:
-            self.forget()
         bad = np.concatenate(([0], np.cumsum(_ODD[data])))
         two = np.zeros(len(data), bool)
         two[1:] = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # signs among the letters
@@ -146,17 +159,14 @@ class Encoder:
         return np.insert(ids, first[1:], 0), first + np.arange(len(first))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """doc_id, start, length, ids_crc32 and doc_tokens of every piece."""
 
     def body(batches):
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+        encoder = Encoder(path)  # goes with the task
         for batch in batches:
             data, at = arrays.utf8(batch.column(1))
-            for lo, hi in arrays.runs(at, 4 * arrays.RUN_BYTES):
+            for lo, hi in arrays.runs(at):
                 part = batch.slice(lo, hi - lo)
                 ids, first = encoder.encode(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 ids = ids.astype("<u4")
@@ -170,6 +180,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                     [part.column(0).take(pa.array(columns[0])), *map(pa.array, columns[1:])],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
+        del encoder
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return docs.select("doc_id", "text").mapInArrow(body, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
