@@ -10,18 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import jaccard, language, mixing, packing, secrets
+from panelcast.llm.tables import small_batches
 from panelcast.sources.tables import materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language, with the fused language as their lang; others go.
 
-    The web pages take part in the counts.  Rows without doc_id stay as they are.
+    The web pages take part in the counts.  Rows without doc_id stay as they are, and so do all rows with
+    some text where nothing declares a language.
     """
+    small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     records = language.document_records(docs).unionByName(language.page_records(pages, asked=False))
-    found = language.identify(records).where("kept and doc_id is not null").groupBy("doc_id").agg(F.max("lang").alias("__lang"))
-    met = docs.join(found, "doc_id", "left").where("__lang is not null or doc_id is null")
+    found = language.identify(records).where("kept and doc_id is not null").groupBy("doc_id").agg(F.max("lang").alias("__lang"), F.lit(True).alias("__kept"))
+    met = docs.join(found, "doc_id", "left").where("__kept or doc_id is null")
     return met.withColumn("lang", F.coalesce("__lang", "lang")).select(docs.columns)
 
 
@@ -31,6 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of several rows with that doc_id one stays.  Documents without words are linked with nothing and
     stay, and so do rows without doc_id.
     """
+    small_batches(spark)
     groups = materialise(jaccard.jaccard_join(docs).where("doc_id is not null"))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
@@ -43,6 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their texts replaced by a mark."""
+    small_batches(spark)
     return secrets.redacted(docs)
 
 
@@ -53,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 ids."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

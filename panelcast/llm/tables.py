@@ -14,6 +14,8 @@ from panelcast.sources.tables import materialise
 MOST_BITS = 28
 #: Words for each bucket of packed hashes, and the fewest buckets.
 BUCKET_WORDS, LEAST_BUCKETS = 1_000_000, 64
+#: Rows of an Arrow batch in the pipeline.
+BATCH_ROWS = 1000
 
 
 def bit_set(values: DataFrame, n: int) -> Bits:
@@ -77,5 +79,12 @@ def rooted(edges: DataFrame) -> DataFrame:
     )
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark hands at most BATCH_ROWS rows at once to Python: what a batch of long texts needs
+    beside the heap, once in the executor and once in each of its Python workers, shrinks with it."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def share(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
