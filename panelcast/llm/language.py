@@ -14,10 +14,11 @@ prior.  A uniform model stands for text of no known language.  A record is rejec
 wins or when no language reaches LEAST; a record without any text is rejected as well.
 
 Every declared language has a model; the models are smoothed towards the text of all languages, which
-matters for those with little text.  A declaration that fewer than LEAST_RECORDS records carry is too
-little evidence to overrule: a record with it and with some text keeps it.  Nulls: missing evidence
-is left out.  Repeated rows and null ids are rows like others; extra columns are ignored; without any
-known language all records are rejected with a null language.
+matters for those with little text.  A declaration counts as DECLARED further records that say the
+same, so it decides where records are few and fades with their number; no count switches a rule.
+The evidence of a record is one array over the languages.  Nulls: missing evidence is left out.
+Repeated rows and null ids are rows like others; extra columns are ignored; without any known language
+there is no model to judge by, and all records with some text are kept with a null language.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from panelcast.llm import arrays
 from panelcast.llm.tables import share
 from panelcast.sources.tables import materialise
 
-SLOTS, TEMPER, LEAST, LEAST_RECORDS, STRENGTH = 1 << 16, 0.2, 0.5, 10, 5.0
+SLOTS, TEMPER, LEAST, STRENGTH, DECLARED = 1 << 16, 0.2, 0.5, 5.0, 5.0
 #: Trigrams of all languages' text that are added to each language.
 SHARED = 1000.0
 _FOLD = arrays.LOWER.copy()
@@ -126,9 +127,20 @@ def _text_scores(records: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _counts(scored: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    """For each value of *key*, how many records each language has by text alone."""
-    per = F.array(*(F.sum((F.col("text_lang") == i).cast("double")) for i in range(n)))
-    return scored.where(F.col(key).isNotNull()).groupBy(key).agg(per.alias(name))
+    """For each value of *key*, how many records each of *n* languages has by text alone, as an array."""
+    cells = scored.where(F.col(key).isNotNull()).groupBy(key, "text_lang").agg(F.count("*").cast("double").alias("c"))
+    known = F.when(F.col("text_lang").isNotNull(), F.struct("text_lang", "c"))
+    per = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(known)).alias("_m"))
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+    return per.select(key, F.transform(places, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias(name))
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
+def _plus(*xs: Column) -> Column:
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), xs)
 
 
 def identify(records: DataFrame) -> DataFrame:
@@ -136,51 +148,46 @@ def identify(records: DataFrame) -> DataFrame:
 
     Records that are not asked for take part in the counts only.
     """
-    seen = dict(records.where("declared is not null").groupBy("declared").count().collect())  # a row a language
-    languages = sorted(seen)
+    languages = sorted(r[0] for r in records.where("declared is not null").select("declared").distinct().collect())  # a row a language
     if not languages:
-        none = F.lit(None).cast("string")
-        return records.where("asked").select("doc_id", "kind", none.alias("lang"), "declared", F.lit(0.0).alias("posterior"), none.alias("text_lang"), F.lit(False).alias("kept"))
+        none, some = F.lit(None).cast("string"), F.coalesce(F.octet_length("text"), F.lit(0)) > 2
+        return records.where("asked").select("doc_id", "kind", none.alias("lang"), "declared", F.lit(0.0).alias("posterior"), none.alias("text_lang"), some.alias("kept"))
     n = len(languages)
     counts = _trigram_counts(records, languages)
     best = F.when(F.array_max("scores") > F.element_at("scores", n + 1), F.array_position("scores", F.array_max("scores")).cast("int") - 1)
     best = F.when(F.col("n_grams") > 0, best)
     base = materialise(_text_scores(records, counts).withColumn("text_lang", best))
-    total = base.agg(*(F.sum((F.col("text_lang") == i).cast("double")) for i in range(n))).first()
-    total = [x or 0.0 for x in total]
-    prior = [(x + 1) / (sum(total) + n) for x in total]
+    by = dict(base.where("text_lang is not null").groupBy("text_lang").count().collect())  # a row a language
+    total = [float(by.get(i, 0)) for i in range(n)]
+    array = lambda xs: F.array(*map(F.lit, xs))
+    names, zeros, totals = array(languages), array([0.0] * n), array(total)
 
     met = base.where("asked")
     for key in ("declared", "suffix", "host", "domain"):
         met = met.join(_counts(base, key, n, f"n_{key}"), key, "left")
-    own = lambda i: F.coalesce((F.col("text_lang") == i).cast("double"), F.lit(0.0))
-    cell = lambda key, i: F.coalesce(F.element_at(f"n_{key}", i + 1), F.lit(0.0))
-
-    def smoothed(key: str, i: int, parent: Column) -> Column:
-        all_ = reduce(lambda a, b: a + b, [cell(key, j) - own(j) for j in range(n)])
-        known = F.col(f"n_{key}").isNotNull()
-        return F.when(known, (F.greatest(cell(key, i) - own(i), F.lit(0.0)) + STRENGTH * parent) / (F.greatest(all_, F.lit(0.0)) + STRENGTH)).otherwise(parent)
-
-    logs = []
-    for i in range(n):
-        host = smoothed("host", i, smoothed("domain", i, F.lit(prior[i])))
-        seen_as = lambda key, i=i: F.when(  # noqa: E731  likelihood of this value under language i
-            F.col(f"n_{key}").isNotNull(), F.log((cell(key, i) + 1.0) / (total[i] + n + 1.0))
-        ).otherwise(F.lit(0.0))
-        logs.append(F.element_at("scores", i + 1) + F.log(host) + seen_as("declared") + seen_as("suffix"))
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+    met = met.withColumn("own", F.transform(places, lambda i: F.coalesce((F.col("text_lang") == i).cast("double"), F.lit(0.0))))
+
+    def smoothed(key: str, parent: str) -> Column:
+        """Shares of the languages among the other records of this value, drawn towards *parent*."""
+        others = F.zip_with(F.col(f"n_{key}"), F.col("own"), lambda c, o: F.greatest(c - o, F.lit(0.0)))
+        all_ = _sum(others) + STRENGTH
+        return F.when(F.col(f"n_{key}").isNotNull(), F.zip_with(others, F.col(parent), lambda c, p: (c + STRENGTH * p) / all_)).otherwise(F.col(parent))
+
+    met = met.withColumn("prior", array([(x + 1) / (sum(total) + n) for x in total]))
+    met = met.withColumn("prior", smoothed("domain", "prior")).withColumn("prior", smoothed("host", "prior"))
+    said = F.transform(names, lambda x: F.coalesce((x == F.col("declared")).cast("double"), F.lit(0.0)))
+    declared = F.zip_with(_plus(F.col("n_declared"), F.transform(said, lambda x: DECLARED * x)), totals, lambda c, t: F.log((c + 1.0) / (t + (n + 1.0 + DECLARED))))
+    suffix = F.zip_with(F.col("n_suffix"), totals, lambda c, t: F.log((c + 1.0) / (t + (n + 1.0))))
+    parts = (F.slice("scores", 1, n), F.transform("prior", lambda x: F.log(x)), F.coalesce(declared, zeros), F.coalesce(suffix, zeros))
     unknown = F.element_at("scores", n + 1) + F.lit(float(np.log(1.0 / (n + 1.0)))) * (
         1 + F.col("n_declared").isNotNull().cast("int") + F.col("n_suffix").isNotNull().cast("int")
     )
-    met = met.select("doc_id", "kind", "declared", "n_grams", "text_lang", F.array(*logs, unknown).alias("logs"))
-    few = [x for x in languages if seen[x] < LEAST_RECORDS]
-    names = F.array(*map(F.lit, languages))
-    keeps = F.coalesce(F.col("declared").isin(few) & (F.col("n_grams") > 0), F.lit(False))
-    top = F.array_position("logs", F.array_max("logs"))
-    met = met.withColumn("few", keeps).withColumn("at", F.when(F.col("few"), F.array_position(names, F.col("declared"))).otherwise(top).cast("int"))
-    met = met.withColumn("top", F.element_at("logs", F.col("at")))
-    weight = F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
-    lang = F.when((F.col("at") <= n), F.element_at(names, F.least("at", F.lit(n))))
-    kept = F.col("few") | (lang.isNotNull() & (1.0 / weight >= LEAST) & (F.col("n_grams") > 0))
+    met = met.select("doc_id", "kind", "declared", "n_grams", "text_lang", F.concat(_plus(*parts), F.array(unknown)).alias("logs"))
+    met = met.withColumn("top", F.array_max("logs")).withColumn("at", F.array_position("logs", F.col("top")).cast("int"))
+    weight = _sum(F.transform("logs", lambda x: F.exp(x - F.col("top"))))
+    lang = F.when(F.col("at") <= n, F.element_at(names, F.least("at", F.lit(n))))
+    kept = lang.isNotNull() & (1.0 / weight >= LEAST) & (F.col("n_grams") > 0)
     return met.select(
         "doc_id", "kind", lang.alias("lang"), "declared", (1.0 / weight).alias("posterior"),
         F.element_at(names, F.col("text_lang") + 1).alias("text_lang"), kept.alias("kept"),

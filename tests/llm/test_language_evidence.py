@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -58,7 +59,11 @@ def test_pages_have_rows_by_suffix_host_and_domain(spark, tmp_path):
                     n = [seen[k][r[k]][j] - (b == j) for j in (0, 1)]
                     p = (n[i] + language.STRENGTH * p) / (sum(n) + language.STRENGTH)
             x = score[i] + math.log(p)
-            x += sum(math.log((seen[k][r[k]][i] + 1) / (total[i] + 3)) for k in ("declared", "suffix") if r[k] is not None)
+            if r.declared is not None:  # counts as further records that say the same
+                more = language.DECLARED
+                x += math.log((seen["declared"][r.declared][i] + 1 + more * (names[i] == r.declared)) / (total[i] + 3 + more))
+            if r.suffix is not None:
+                x += math.log((seen["suffix"][r.suffix][i] + 1) / (total[i] + 3))
             logs.append(x)
         logs.append(score[2] + math.log(1 / 3) * (1 + (r.declared is not None) + (r.suffix is not None)))
         weight = sum(math.exp(x - max(logs)) for x in logs)
@@ -82,3 +87,22 @@ def test_rare_languages_keep_their_documents_in_large_and_small_tables(spark, n)
     assert all(got[r[0]].lang == r[2] for r in rows if 1000 <= r[0] < 5000)
     assert not got[5000].kept and not got[5001].kept
     assert all(0 < r.posterior <= 1 for r in got.values())
+
+
+def test_without_declared_languages_nothing_is_rejected_but_empty_texts(spark):
+    rows = [(1, "der die das", None, None, 1), (2, "", None, None, 1), (3, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.lang, r.kept) for r in language.identify(language.document_records(frame)).collect()}
+    assert got == {1: (None, True), 2: (None, False), 3: (None, False)}
+
+
+def test_many_declared_languages(spark):
+    """Evidence is an array over the languages: many of them do not make the plan grow."""
+    rng = random.Random(6)
+    stems = {k: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(12)] for k in range(80)}
+    rows = [(k * 3 + j, " ".join(rng.choices(stems[k], k=40)), f"l{k:02}", f"s{k % 7}", 1) for k in range(80) for j in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    start = time.time()
+    got = language.identify(language.document_records(frame)).collect()
+    assert time.time() - start < 60
+    assert all(r.kept and r.lang == f"l{r.doc_id // 3:02}" for r in got)
