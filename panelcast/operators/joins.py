@@ -1,8 +1,8 @@
 """Equi-joins of panels, forecasts and calendars.
 
-No broadcast hints: which side is small depends on the data, and the adaptive planner
-picks a broadcast from the measured size of a finished stage and splits skewed
-partitions otherwise.
+No broadcast hints but for totals of one row a period, which the calendar bounds: which side is
+small depends on the data, and the adaptive planner picks a broadcast from the measured size of a
+finished stage and splits skewed partitions otherwise.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.calendar import WEEK
+from panelcast.operators.windows import by_day
 from panelcast.schema import PERIOD, SERIES
 
 
@@ -61,10 +62,12 @@ def with_period_total(df: DataFrame, value: str, total: str) -> DataFrame:
     """Attach the total over all series of the row's period.
 
     Aggregate and join back rather than a window by period: a window would sort all
-    series of one period in one task, the aggregate shrinks them map-side.
+    series of one period in one task, the aggregate shrinks them map-side.  The totals are one row
+    a period, so the calendar bounds what is sent to every task, and the panel itself does not move.
+    *df* is read twice: pass a written panel.
     """
     totals = df.groupBy(PERIOD).agg(F.sum(value).alias(total))
-    return df.join(totals, PERIOD)
+    return df.join(F.broadcast(totals), PERIOD)
 
 
 def lagged_long(
@@ -72,12 +75,12 @@ def lagged_long(
 ) -> DataFrame:
     """Long lag table (keys, period, k, value at period − k·step) for periods of *df*.
 
-    Joins by date, so it is right on panels with gaps, where a row-based lag is not.
+    A frame over day numbers finds the rows that a period can look back to, so it is right on panels
+    with gaps, where a row-based lag is not, and the panel moves once however many lags there are.
     """
-    shifted = df.select(
-        *keys,
-        PERIOD,
-        F.col(value).alias("x"),
-        F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("k"),
-    ).withColumn(PERIOD, F.date_add(PERIOD, F.col("k") * step_days))
-    return df.select(*keys, PERIOD).join(shifted, [*keys, PERIOD])
+    day = F.unix_date(PERIOD)
+    back = by_day(keys).rangeBetween(-max_lag * step_days, 0)
+    seen = F.collect_list(F.struct(day.alias("d"), F.col(value).alias("x"))).over(back)
+    rows = df.select(*keys, PERIOD, seen.alias("_s")).select(*keys, PERIOD, F.explode("_s").alias("_s"))
+    age = F.unix_date(PERIOD) - F.col("_s.d")
+    return rows.filter(age % step_days == 0).select(*keys, PERIOD, (age / step_days).cast("int").alias("k"), F.col("_s.x").alias("x"))

@@ -222,14 +222,15 @@ def convolve_sparse(
     """The same sum on a panel with gaps: every row sends w_k·x to the period k steps on.
 
     Returns (keys, period, name) for every period that receives something, also beyond
-    the last observed one.  Parts for one cell are added map-side.
+    the last observed one.  Parts for one cell are added map-side.  A series without weights keeps its
+    own periods, with NULL.
     """
-    sent = df.join(weights.select(*keys, F.col("weights").alias("_w")), list(keys)).select(
-        *keys, PERIOD, F.col(x).alias("_x"), F.posexplode("_w").alias("k", "w")
+    sent = df.join(weights.select(*keys, F.col("weights").alias("_w")), list(keys), "left").select(
+        *keys, PERIOD, F.col(x).alias("_x"), F.col("_w").isNull().alias("_none"), F.posexplode_outer("_w").alias("k", "w")
     )
     return (
-        sent.filter((F.col("w") != 0) & (F.col("_x") != 0))
-        .withColumn(PERIOD, F.date_add(PERIOD, F.col("k") * step_days))
+        sent.filter(F.col("_none") | ((F.col("w") != 0) & (F.col("_x") != 0)))
+        .withColumn(PERIOD, F.date_add(PERIOD, F.coalesce("k", F.lit(0)) * step_days))
         .groupBy(*keys, PERIOD)
         .agg(F.sum(F.col("w") * F.col("_x")).alias(name))
     )
@@ -450,11 +451,11 @@ def cap_outflow(
 # --- simple projections and combinations -------------------------------------
 
 
-def decaying(level: Column, h: Column, rate: float = 0.01) -> Column:
+def decaying(level: Column, h: Column, rate: float) -> Column:
     return level * F.exp(F.lit(-rate) * h)
 
 
-def bands(point: Column, low: float = 0.75, high: float = 1.25) -> dict[str, Column]:
+def bands(point: Column, low: float, high: float) -> dict[str, Column]:
     """Rounded percentage band around a point forecast."""
     return {"lower": F.bround(point * low), "upper": F.bround(point * high)}
 

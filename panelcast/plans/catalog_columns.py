@@ -236,7 +236,7 @@ def _(spark, d):
 )
 def _(spark, d):
     return rounded(
-        composition_share(orders_panel(spark, d), "visas_issued").select(SERIES, PERIOD, "share")
+        composition_share(written_panel(spark, d), "visas_issued").select(SERIES, PERIOD, "share")
     )
 
 

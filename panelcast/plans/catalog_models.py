@@ -826,7 +826,7 @@ def _(spark, d):
     panel = written_panel(spark, d, parts_panel)
     level = recent_level(panel, ["applications"], 8, step_days=WEEK).withColumnRenamed("applications", "level")
     flat = flat_forecast(level, panel, 12)
-    return rounded(flat.withColumn("forecast", decaying(F.col("forecast"), F.col("h"))))
+    return rounded(flat.withColumn("forecast", decaying(F.col("forecast"), F.col("h"), 0.01)))
 
 
 _MIX = {"walk": 0.2, "mean4": 0.55, "flat": 0.25, "unused": 0.0}
@@ -882,7 +882,7 @@ def _(spark, d):
 )
 def _(spark, d):
     walk = walk_forecast(spark, d).select(SERIES, PERIOD, "forecast")
-    return walk.withColumns(bands(F.col("forecast")))
+    return walk.withColumns(bands(F.col("forecast"), 0.75, 1.25))
 
 
 @query(
@@ -903,7 +903,7 @@ def _(spark, d):
     "dispersion_m24",
     f"""WITH {PARTS_SQL}, {dense_sql("px", "dense")}, f AS (SELECT series, arrivals AS y,
       greatest(avg(arrivals) OVER ({_BY} ROWS 7 PRECEDING), 0.000001::DOUBLE) AS mu FROM dense)
-    SELECT series, count(*) AS n, {r('''CASE WHEN count(*) >= 20 AND sum((y - mu) * (y - mu) - mu) > 0.0001
+    SELECT series, count(*) AS n, {r('''CASE WHEN count(*) >= 20 AND sum((y - mu) * (y - mu) - mu) > 0
       THEN sum(mu * mu) / sum((y - mu) * (y - mu) - mu) END''', "theta", 3)} FROM f GROUP BY series""",
 )
 def _(spark, d):

@@ -218,16 +218,21 @@ def _(spark, d):
     return rounded(summarise_paths(totals, FIVE, keys=(SERIES,)))
 
 
-def _sim_rate(spark, d, kind, name):
-    hit = F.count_if(F.col("event_type") == kind)
-    return (
+def _sim_rates(spark, d):
+    """Daily events of each path and the shares of them that are views and purchases, aggregated once."""
+    hit = lambda kind: F.count_if(F.col("event_type") == kind) / (F.count(F.lit(1)) + 1)
+    return materialise(
         table(spark, d, "events")
         .groupBy(
             (F.col("user_id") % 5).cast("string").alias(SERIES),
             (F.col("user_id") % 50).cast("int").alias("sim"),
             F.to_date("ts").alias(PERIOD),
         )
-        .agg((hit / (F.count(F.lit(1)) + 1)).alias(name), F.count(F.lit(1)).cast("double").alias("n"))
+        .agg(
+            hit("view").alias("issue_rate"),
+            hit("purchase").alias("arrival_rate"),
+            F.count(F.lit(1)).cast("double").alias("n"),
+        )
     )
 
 
@@ -258,15 +263,14 @@ roll AS (
 )
 def _(spark, d):
     keys = [SERIES, "sim", PERIOD]
-    issue = _sim_rate(spark, d, "view", "issue_rate")
-    arrive = _sim_rate(spark, d, "purchase", "arrival_rate").drop("n")
-    inflow = issue.select(*keys, F.col("n").alias("applications"))
-    state = issue.groupBy(SERIES).agg(
+    rates = _sim_rates(spark, d)
+    inflow = rates.select(*keys, F.col("n").alias("applications"))
+    state = rates.groupBy(SERIES).agg(
         # odd divisors, so that no stock is a short decimal that could sit on a rounding tie
         (F.sum("n") / 997).alias("app_backlog"),
         (F.sum("n") / 1999).alias("visa_stock"),
     )
-    return rounded(scenario_paths(inflow, issue.drop("n"), arrive, state), 9)
+    return rounded(scenario_paths(inflow, rates.select(*keys, "issue_rate"), rates.select(*keys, "arrival_rate"), state), 9)
 
 
 # --- evaluation ------------------------------------------------------------------------

@@ -201,7 +201,7 @@ def _(spark, d):
       CAST(sum(applications) OVER (PARTITION BY period) AS DOUBLE) AS total FROM px""",
 )
 def _(spark, d):
-    joined = with_period_total(parts_panel(spark, d), "applications", "total")
+    joined = with_period_total(written_panel(spark, d, parts_panel), "applications", "total")
     return joined.select(SERIES, PERIOD, "applications", "total")
 
 
