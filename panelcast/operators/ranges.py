@@ -25,7 +25,8 @@ def _ranged(df: DataFrame, keys: list[str], by: list[str], parts: int | None) ->
 
 
 def _carried(keys: list[str]):
-    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")
+    """One row for each group and partition; without keys all partitions are one group."""
+    return Window.partitionBy(*(keys or [F.pmod("_part", F.lit(1))])).orderBy("_part")
 
 
 def running_sums(
@@ -40,7 +41,7 @@ def running_sums(
     ranged = _ranged(df, keys, by, parts)
     sums = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(c) for c in columns])
     before = _carried(keys).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    whole = Window.partitionBy(*(keys or [F.pmod("_part", F.lit(1))]))
     sums = sums.select(
         *keys,
         "_part",
