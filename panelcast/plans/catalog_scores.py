@@ -424,7 +424,7 @@ def forecast_tables(panel):
     Dated, undated, a running total, several rows a date (twice), and one whose dates are lost.
     """
     history = panel.filter(F.col(PERIOD) <= F.lit(CUTOFF))
-    total = history.groupBy(PERIOD).agg(F.sum("arrivals").alias("arrivals")).withColumn(SERIES, F.lit(TOTAL))
+    total = materialise(history.groupBy(PERIOD).agg(F.sum("arrivals").alias("arrivals")).withColumn(SERIES, F.lit(TOTAL)))
     walk = random_walk(total, "arrivals", 13).select(F.col(PERIOD).alias("Week ending"), F.col("forecast").alias("Point"), "lo80", "hi80")
     mean4 = flat_forecast(recent_level(total, ["arrivals"], 4), total, 13, "arrivals")
     overall = flat_forecast(total.groupBy(SERIES).agg(F.avg("arrivals").alias("level")), total, 13)
