@@ -59,7 +59,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, seed: str = "mix", part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row.
 
-    The text is read once, for its words and its part of the key; after that rows are numbers.
+    Texts are read for their number of words and their part of the key, by each pass that needs them;
+    what is shuffled are numbers.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(text))))
@@ -92,24 +93,33 @@ def mixture(docs: DataFrame, seed: str = "mix", part_rows: int = PART_ROWS) -> D
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """*docs* as the mix takes them: a row for each full epoch, and the cut row with its first words only.
 
-    Rows that the mix does not take go.  A row is known by doc_id, source and text; equal rows are
-    taken together.  Rows without words have nothing to take.  n_chars follows the text.
+    Rows that the mix does not take go.  A row is known by doc_id, source and number of words; rows
+    that agree in these share what is taken evenly.  Rows without words have nothing to take.  n_chars
+    follows the text.  Further columns may have any names.
     """
     taken = mixture(docs, seed).where("taken > 0")
-    per_id = taken.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("copies"))
-    rows = docs.select("*", n_words(F.col("text")).alias("__size"))
-    met = rows.alias("d").join(
-        per_id.alias("t"),
-        F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("__size") == F.col("t.size")),
+    size, copies, part, epoch, doc, of = _free(docs.columns, 6)
+    per_id = taken.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(of), F.col("size").alias(size)).agg(
+        F.sum("taken").alias(part), F.count("*").alias(copies)
     )
-    share = F.ceil(F.col("t.taken") / F.col("copies"))
-    step = F.explode(F.sequence(F.lit(0), (F.ceil(share / F.col("t.size")) - 1).cast("int")))
-    out = met.select("d.*", share.alias("__taken"), step.alias("__epoch"))
-    left = (F.col("__taken") - F.col("__epoch") * F.col("__size")).cast("int")
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")), 1, F.greatest(left, F.lit(1))), " ")
-    text = F.when(left >= F.col("__size"), F.col("text")).otherwise(words)
-    changed = {"text": text} | ({"n_chars": F.char_length("text").cast("long")} if "n_chars" in docs.columns else {})
-    return out.withColumn("text", changed["text"]).withColumns({k: v for k, v in changed.items() if k == "n_chars"}).select(docs.columns)
+    words = f"{size}_own"
+    met = docs.withColumn(words, n_words(F.col("text"))).join(
+        per_id, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(of)) & (F.col(words) == F.col(size))
+    )
+    share = F.ceil(F.col(part) / F.col(copies))
+    out = met.withColumn(part, share).withColumn(epoch, F.explode(F.sequence(F.lit(0), (F.ceil(F.col(part) / F.col(size)) - 1).cast("int"))))
+    left = (F.col(part) - F.col(epoch) * F.col(size)).cast("int")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")), 1, F.greatest(left, F.lit(1))), " ")
+    out = out.withColumn("text", F.when(left >= F.col(size), F.col("text")).otherwise(first))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def _free(columns: list[str], n: int) -> list[str]:
+    """*n* column names that differ from all *columns*, whatever their case."""
+    longest = max((len(c) for c in columns), default=0)
+    return [f"mix{'_' * longest}{i}" for i in range(n)]
 
 
 SQL = f"""

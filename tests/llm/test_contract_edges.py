@@ -47,3 +47,21 @@ def test_places_at_the_end_of_a_text(spark, end):
     assert got == sorted(twin.fetchall())
     first = next(r for r in got if r[0] == 0)
     assert first[names.index("n_base")] == (1 if end in ("", " ", "\n") else 0)
+
+
+def test_mixed_documents_with_clashing_columns(spark):
+    from panelcast.llm import mixing
+
+    rows = [(i, " ".join(["w"] * (5 + i % 7)), ["a", "b", None][i % 3], 1, "c", 2, "t", 0) for i in range(60)]
+    rows += [(None, "x y z", "a", 1, "c", 2, "t", 0), (None, "p q r", "a", 1, "c", 2, "t", 0), (7, None, "b", 1, "c", 2, "t", 0)]
+    names = "doc_id long, text string, source string, n_chars long, copies string, __size int, taken string, size int"
+    frame = spark.createDataFrame(rows, names).repartition(3)
+    plain = mixing.mixed_documents(frame.select("doc_id", "text", "source", "n_chars"))
+    mixed = mixing.mixed_documents(frame)
+    assert mixed.columns == frame.columns
+    key = lambda r: (str(r.doc_id), r.text, str(r.source), r.n_chars)
+    got = mixed.collect()
+    assert sorted(map(key, got)) == sorted(map(key, plain.collect())) and got
+    assert all((r.copies, r["__size"], r.taken, r["size"]) == ("c", 2, "t", 0) for r in got)
+    taken = sum(r.taken for r in mixing.mixture(frame).collect())
+    assert abs(sum(len(r.text.split()) for r in got) - taken) <= 1
