@@ -40,7 +40,7 @@ def test_a_small_calendar_is_left_to_the_planner(spark, weekly):
     assert "REPARTITION" not in densify(weekly)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["smoothing_free_start_m5", "series_line_m2"])
+@pytest.mark.parametrize("name", ["smoothing_free_start_m5", "series_line_m2", "dispersion_m24"])
 def test_fits_run_in_as_many_tasks_as_their_calendar_needs(spark, lines, name):
     out = QUERIES[name](spark, lines)
     assert out.rdd.getNumPartitions() >= SERIES_N * WEEKS // TASK_CELLS
