@@ -193,19 +193,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def _keyed(table: DataFrame) -> DataFrame:
-    """(set_id, band, value): every set with its bands."""
+def shared_bands(table: DataFrame) -> DataFrame:
+    """(band, value, set_id, a): the sets of each band that has several, with the least of them."""
     width = 2 * PERMUTATIONS // BANDS
     bands = F.array(*(F.substring("sig", 1 + i * width, width) for i in range(BANDS)))
     sets = table.where("set_id <> 0").groupBy("set_id").agg(F.first("sig").alias("sig"))
-    return sets.select("set_id", F.posexplode(bands).alias("band", "value"))
+    keyed = sets.select("set_id", F.posexplode(bands).alias("band", "value"))
+    least = keyed.groupBy("band", "value").agg(F.min("set_id").alias("a"), F.max("set_id").alias("top")).where("a < top")
+    return keyed.join(least.drop("top"), ["band", "value"])
 
 
-def band_pairs(table: DataFrame) -> DataFrame:
+def band_pairs(shared: DataFrame) -> DataFrame:
     """(a, b): each set with the least set of each of its bands."""
-    keyed = _keyed(table)
-    least = keyed.groupBy("band", "value").agg(F.min("set_id").alias("a"), F.max("set_id").alias("top")).where("a < top")
-    return keyed.join(least.drop("top"), ["band", "value"]).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
+    return shared.where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
 
 
 def _labelled(sets: DataFrame, state: DataFrame) -> DataFrame:
@@ -213,9 +213,9 @@ def _labelled(sets: DataFrame, state: DataFrame) -> DataFrame:
     return sets.join(of, "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
 
 
-def more_band_pairs(table: DataFrame, state: DataFrame) -> DataFrame:
+def more_band_pairs(shared: DataFrame, state: DataFrame) -> DataFrame:
     """(a, b): each set of a band with several classes in *state* with further leaders of other classes."""
-    keyed = _labelled(_keyed(table), state)
+    keyed = _labelled(shared.drop("a"), state)
     rank = [F.min(F.struct(F.xxhash64("set_id", "band", F.lit(t)), F.col("set_id").alias("a"), F.col("label").alias("of"))) for t in range(MORE_LEADERS)]
     mixed = keyed.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*rank).alias("to")).where("lo < hi")
     met = keyed.join(mixed.select("band", "value", "to"), ["band", "value"])
@@ -265,15 +265,16 @@ class Classes:
         self.up[self.find(i)] = self.find(j)
 
 
-def rest_links(docs: DataFrame, table: DataFrame, state: DataFrame) -> DataFrame:
+def rest_links(docs: DataFrame, table: DataFrame, shared: DataFrame, state: DataFrame) -> DataFrame:
     """(a, b): links of sets that agree in a band and are of different components of *state*.
 
     Not every link, but enough that the classes of each band are those of all its links.
     """
-    keyed = _labelled(_keyed(table), state)
+    keyed = _labelled(shared.drop("a"), state)
     mixed = keyed.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    facts = table.where("set_id <> 0").groupBy("set_id").agg(F.first("size").alias("size"), F.first("odd").alias("odd"))
     rows = materialise(keyed.join(mixed.select("band", "value"), ["band", "value"]))
+    named = table.join(rows.select("set_id").distinct(), "set_id", "left_semi")
+    facts = named.groupBy("set_id").agg(F.first("size").alias("size"), F.first("odd").alias("odd"))
     count = rows.groupBy("band", "value", "label").agg(F.count("*").alias("n")).where(F.col("n") > BAND_PART)
     hot = count.select("band", "value", F.col("label").alias("hot"), F.ceil(F.col("n") / F.lit(BAND_PART)).cast("int").alias("parts"))
     # the sets of a hot class go to one part each, the other sets of its band to all parts
@@ -321,9 +322,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     table = materialise(with_next(docs))
     least = table.where("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    state = forest(_linked(docs, band_pairs(table)))
-    state = forest(_linked(docs, more_band_pairs(table, state)), state)
-    state = forest(rest_links(docs, table, state), state)
+    # most bands have one set: what follows reads the others only
+    shared = materialise(shared_bands(table))
+    state = forest(_linked(docs, band_pairs(shared)))
+    state = forest(_linked(docs, more_band_pairs(shared, state)), state)
+    state = forest(rest_links(docs, table, shared, state), state)
     of = least.join(rooted(state).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     near = of.join(of.groupBy("root").agg(F.min("least").alias("near_id")), "root").select("set_id", "near_id")
     hex_ = lambda c: F.lower(F.hex(c))
